@@ -90,10 +90,10 @@ def fuzzy_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFr
 
     query = texts.select("text", sim.sorted_words("text").alias("sorted")).select("text", sim.chars("sorted").alias("q_cs"))
     query = query.filter(F.size("q_cs") > 0).select(
-        "text", "q_cs", F.size("q_cs").alias("q_len"), sim.block_tokens("q_cs").alias("_tokens"))
+        "text", F.size("q_cs").alias("q_len"), sim.block_tokens("q_cs").alias("_tokens"))
     shortest = F.ceil(F.col("q_len") * F.lit(cut / (200.0 - cut)) - F.lit(eps))
     q_prefix = F.slice("_tokens", F.lit(1), (F.col("q_len") - need(F.col("q_len"), shortest) + 1).cast("int"))
-    blocks = query.select("text", "q_cs", "q_len", F.explode(q_prefix).alias("block"))
+    blocks = query.select("text", "q_len", F.explode(q_prefix).alias("block"))
 
     var = dictionary.fuzzy_texts
     low = F.greatest(F.lit(1), F.ceil(F.col("len") * F.lit(cut / (200.0 - cut)) - F.lit(eps)).cast("int"))
@@ -104,8 +104,9 @@ def fuzzy_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFr
                        F.greatest(F.lit(0), F.col("len") - need(F.col("q_len"), F.col("len")) + 1).cast("int"))
     index = sized.select("q_len", "var_no", F.explode(v_prefix).alias("block"))
 
-    pairs = blocks.join(dictionary.side(index), ["q_len", "block"]).select("text", "q_cs", "q_len", "var_no").distinct()
-    scored = pairs.join(dictionary.side(var.drop("block_tokens")), "var_no")
+    pairs = blocks.join(dictionary.side(index), ["q_len", "block"]).select("text", "var_no").distinct()
+    scored = (pairs.join(dictionary.side(var.drop("block_tokens")), "var_no")
+              .withColumn("q_cs", sim.chars(sim.sorted_words("text"))).withColumn("q_len", F.size("q_cs")))
     lcs = F.when(F.col("masks").isNotNull(), sim.lcs_by_masks("q_cs", "masks", "len")).otherwise(
         sim.lcs_by_rows("q_cs", "cs"))
     return (scored.withColumn("score", sim.ratio(lcs, "q_len", "len")).filter(F.col("score") >= cut)
@@ -123,23 +124,28 @@ def fuzzy_match(texts: DataFrame, dictionary: Dictionary, threshold: float = FUZ
 
 def tfidf_scores(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Cosine of every (text, corpus spelling) pair that shares an n-gram: a sparse dot product as an
-    equi-join on the n-gram."""
-    grams = texts.select("text", F.explode(sim.ngrams("text")).alias("gram"))
-    counted = grams.groupBy("text", "gram").agg(F.count("*").alias("tf"))
-    raw = counted.join(dictionary.side(dictionary.gram_idf), "gram").select(
-        "text", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hits = raw.join(dictionary.side(dictionary.gram_weights), "gram")
-    dots = hits.groupBy("text", "var_no").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, "text").select("text", "var_no", (F.col("dot") / F.col("norm")).alias("score"))
-    return scored.join(dictionary.side(dictionary.corpus), "var_no").select(
-        "text", "var_no", "form", "canonical", "guard", "score")
+    equi-join on the n-gram.
+
+    The one shuffle groups a text's known n-grams; the sums per (text, spelling) reuse its layout.
+    """
+    grams = texts.select("text", sim.ngrams("text").alias("all")).select(
+        "text", "all", F.explode(F.array_distinct("all")).alias("gram"))
+    tf = F.size(F.filter("all", lambda g: g == F.col("gram")))
+    raw = grams.join(dictionary.side(dictionary.gram_idf), "gram").select(
+        "text", F.struct("gram", (tf * F.col("idf")).alias("w")).alias("g"))
+    vectors = raw.groupBy("text").agg(F.collect_list("g").alias("gs"))
+    length = F.sqrt(F.aggregate("gs", F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
+    unit = vectors.select("text", length.alias("norm"), F.explode("gs").alias("g"))
+    hits = unit.select("text", "g.gram", (F.col("g.w") / F.col("norm")).alias("w")).join(
+        dictionary.side(dictionary.gram_weights), "gram")
+    return hits.groupBy("text", "var_no").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
 def tfidf_match(texts: DataFrame, dictionary: Dictionary, threshold: float = SEMANTIC_THRESHOLD,
                 gap: float = SEMANTIC_GAP, gap_scope: str = "text") -> DataFrame:
     """M5: best TF-IDF cosine. A pair sharing no n-gram scores 0, which only matters below the gap."""
     scored = tfidf_scores(texts, dictionary).filter(F.col("score") >= threshold - gap)
+    scored = scored.join(dictionary.side(dictionary.corpus), "var_no")
     best = _best_with_lead(scored, threshold, gap, gap_scope)
     return best.select("text", "canonical", "guard", F.col("score").alias("confidence"),
                        F.col("form").alias("variation"))
@@ -196,59 +202,60 @@ def _fuzzy_label() -> Column:
     return F.when(F.col("confidence") >= SYNONYM_CONFIDENCE, F.lit("synonym")).otherwise(F.lit("fuzzy"))
 
 
-def _attach_tier(names: DataFrame, hits: DataFrame, spaced: str, expanded: str, label: Column | str) -> DataFrame:
-    """Tier results on both texts of every name; the expanded one counts only if it differs."""
-    hits = hits.select("text", _candidate(label).alias("_hit"))
-    first = hits.withColumnsRenamed({"text": "spaced", "_hit": spaced})
-    second = hits.withColumnsRenamed({"text": "expanded", "_hit": expanded})
-    out = names.join(first, "spaced", "left").join(second, "expanded", "left")
-    return out.withColumn(expanded, F.when(F.col("expanded") != F.col("spaced"), F.col(expanded)))
-
-
-def _open(names: DataFrame, tiers: list[str]) -> DataFrame:
-    """Names no tier so far settles for every value: a hit without a guard would."""
-    settled = F.lit(False)
-    for tier in tiers:
-        settled = settled | (F.col(tier).isNotNull() & F.col(tier)["guard"].isNull())
-    return names.filter(~settled)
-
-
-def _open_texts(names: DataFrame, tiers: list[str]) -> DataFrame:
-    both = F.explode(F.array_distinct(F.array("spaced", "expanded")))
-    return _open(names, tiers).select(both.alias("text")).distinct()
+def _unguarded(hits: DataFrame) -> DataFrame:
+    """Texts whose hit holds for every value, so that no later tier is ever asked."""
+    return hits.filter(F.col("guard").isNull()).select("text")
 
 
 def match_names(names: DataFrame, dictionary: Dictionary, fuzzy_threshold: float = FUZZY_THRESHOLD,
                 semantic_threshold: float = SEMANTIC_THRESHOLD, gap_scope: str = "text",
-                text_vectors: DataFrame | None = None, corpus_vectors: DataFrame | None = None) -> DataFrame:
+                text_vectors: DataFrame | None = None, corpus_vectors: DataFrame | None = None,
+                persisted: list[DataFrame] | None = None) -> DataFrame:
     """M9 per name: one candidate column per tier for the distinct names of ``name_texts``.
 
-    Costly tiers see only names that an earlier tier does not settle. The intermediate name tables
-    are persisted since the next tier and the final join both read them.
+    The tiers run on distinct texts, and a costly tier sees only texts that no earlier tier settles
+    for every value. Intermediate tables are read twice; with ``persisted`` they are kept and listed
+    there for the caller to release.
     """
+    def keep(df: DataFrame) -> DataFrame:
+        if persisted is None:
+            return df
+        persisted.append(df.persist())
+        return df
+
+    exact_hit = F.struct("canonical", "guard", F.lit("exact").alias("match_type"), F.lit(1.0).alias("confidence"),
+                         F.col("spaced").alias("variation")).cast(CANDIDATE)
     exact = exact_lookup(names, dictionary).select(
-        *names.columns,
-        F.when(F.col("canonical").isNotNull(), F.struct(
-            "canonical", "guard", F.lit("exact").alias("match_type"), F.lit(1.0).alias("confidence"),
-            F.col("spaced").alias("variation"))).cast(CANDIDATE).alias("exact")).persist()
-
-    tokens = _open_texts(exact, ["exact"])
-    contained = containment(tokens, dictionary)
-    step = _attach_tier(exact, contained, "prefix", "abbrev", "prefix")
-    step = step.withColumn("abbrev", F.when(F.col("abbrev").isNotNull(), F.col("abbrev").withField("match_type", F.lit("abbrev"))))
-    step = step.persist()
-
-    fuzzy = fuzzy_match(_open_texts(step, TIERS[:3]), dictionary, fuzzy_threshold, gap_scope=gap_scope)
-    step2 = _attach_tier(step, fuzzy, "fuzzy_spaced", "fuzzy_expanded", _fuzzy_label()).persist()
-
-    rest = _open_texts(step2, TIERS[:5])
+        *names.columns, F.when(F.col("canonical").isNotNull(), exact_hit).alias("exact"))
+    open_names = exact.filter(F.col("exact").isNull() | F.col("exact.guard").isNotNull())
+    texts = keep(open_names.select(F.explode(F.array("spaced", "expanded")).alias("text")).distinct())
+
+    contained = keep(containment(texts, dictionary))
+    open1 = keep(texts.join(_unguarded(contained), "text", "left_anti"))
+    fuzzy = keep(fuzzy_match(open1, dictionary, fuzzy_threshold, gap_scope=gap_scope))
+    open2 = open1.join(_unguarded(fuzzy), "text", "left_anti")
     if text_vectors is not None:
-        rest = rest.join(text_vectors, "text", "left")
-        semantic = semantic_match(rest, dictionary, corpus_vectors, semantic_threshold)
+        semantic = semantic_match(open2.join(text_vectors, "text", "left"), dictionary, corpus_vectors, semantic_threshold)
     else:
-        semantic = tfidf_match(rest, dictionary, semantic_threshold, gap_scope=gap_scope)
-    return _attach_tier(step2, semantic, "semantic_spaced", "semantic_expanded", "semantic").select(
-        "norm", "spaced", "expanded", "n", *TIERS)
+        semantic = tfidf_match(open2, dictionary, semantic_threshold, gap_scope=gap_scope)
+
+    tiers = {"contain": (contained, "prefix"), "fuzzy": (fuzzy, _fuzzy_label()), "semantic": (semantic, "semantic")}
+    long = None
+    for tier, (hits, label) in tiers.items():
+        part = hits.select("text", F.lit(tier).alias("tier"), _candidate(label).alias("hit"))
+        long = part if long is None else long.unionByName(part)
+    per_text = keep(long.groupBy("text").agg(
+        *[F.first(F.when(F.col("tier") == t, F.col("hit")), ignorenulls=True).alias(t) for t in tiers]))
+    first = per_text.select(F.col("text").alias("spaced"), F.col("contain").alias("prefix"),
+                            F.col("fuzzy").alias("fuzzy_spaced"), F.col("semantic").alias("semantic_spaced"))
+    second = per_text.select(F.col("text").alias("expanded"),
+                             F.col("contain").withField("match_type", F.lit("abbrev")).alias("abbrev"),
+                             F.col("fuzzy").alias("fuzzy_expanded"), F.col("semantic").alias("semantic_expanded"))
+    out = exact.join(first, "spaced", "left").join(second, "expanded", "left")
+    differs = F.col("expanded") != F.col("spaced")
+    for tier in ["abbrev", "fuzzy_expanded", "semantic_expanded"]:
+        out = out.withColumn(tier, F.when(differs & F.col(tier).isNotNull(), F.col(tier)))
+    return out.select("norm", "spaced", "expanded", "n", *TIERS)
 
 
 def resolve(name: Column | str, value: Column | str) -> Column:

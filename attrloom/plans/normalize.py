@@ -27,8 +27,10 @@ def name_mapping(records: DataFrame, dictionary: Dictionary, name: str = "attrib
     is joined back per row. Writing it once cuts the lineage and makes its size known.
     """
     names = name_texts(records.select(tx.strip(F.coalesce(name, F.lit(""))).alias(name)), name).persist()
-    mapping = materialize(match_names(names, dictionary, **options), "name-mapping")
-    names.unpersist()
+    persisted = [names]
+    mapping = materialize(match_names(names, dictionary, persisted=persisted, **options), "name-mapping")
+    for df in persisted:
+        df.unpersist()
     return mapping
 
 
