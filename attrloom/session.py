@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A repeated JSON key keeps its last value instead of failing the document.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # A header that appears twice in a row keeps its last cell.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
 }
 
