@@ -93,7 +93,7 @@ def order_names(d: Dialect) -> str:
           ELSE ' ' || o_orderpriority || ' '
         END AS value
       FROM (SELECT *, {d.idiv(k, n)} % 7 AS kind, {d.at(p, f'{k} % {n}')} AS phrase,
-                   {d.idiv(k, f'7 * {n}')} % length({d.at(p, f'{k} % {n}')}) AS at FROM {d.table('orders')}) o) x"""
+                   {d.idiv(k, f'7 * {n}')} % length({d.at(p, f'{k} % {n}')}) AS cut FROM {d.table('orders')}) o) x"""
 
 
 def order_records(d: Dialect) -> str:
