@@ -75,6 +75,22 @@ def ratio(lcs: Column | str, len_a: Column | str, len_b: Column | str) -> Column
     return (F.lit(1.0) - (total - F.lit(2) * col(lcs)).cast("double") / total) * F.lit(100.0)
 
 
+EPSILON = 1e-9
+
+
+def shared_needed(len_a: Column, len_b: Column, cut: float) -> Column:
+    """Least common subsequence length that brings two lengths to the cut."""
+    return F.ceil((len_a + len_b) * F.lit(cut / 200.0) - F.lit(EPSILON)).cast("int")
+
+
+def shortest_partner(length: Column, cut: float) -> Column:
+    return F.ceil(length * F.lit(cut / (200.0 - cut)) - F.lit(EPSILON)).cast("int")
+
+
+def longest_partner(length: Column, cut: float) -> Column:
+    return F.floor(length * F.lit((200.0 - cut) / cut) + F.lit(EPSILON)).cast("int")
+
+
 def block_tokens(cs: Column | str) -> Column:
     """The characters of a text as numbered tokens, rarest first.
 

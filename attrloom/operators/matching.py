@@ -7,6 +7,8 @@ dictionary text able to influence the outcome.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,27 +87,15 @@ def fuzzy_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFr
     """
     if not cut > 0:
         raise ValueError("the fuzzy threshold must exceed the gap")
-    eps = 1e-9
-    need = lambda a, b: F.ceil((a + b) * F.lit(cut / 200.0) - F.lit(eps))
-
     query = texts.select("text", sim.sorted_words("text").alias("sorted")).select("text", sim.chars("sorted").alias("q_cs"))
     query = query.filter(F.size("q_cs") > 0).select(
         "text", F.size("q_cs").alias("q_len"), sim.block_tokens("q_cs").alias("_tokens"))
-    shortest = F.ceil(F.col("q_len") * F.lit(cut / (200.0 - cut)) - F.lit(eps))
-    q_prefix = F.slice("_tokens", F.lit(1), (F.col("q_len") - need(F.col("q_len"), shortest) + 1).cast("int"))
-    blocks = query.select("text", "q_len", F.explode(q_prefix).alias("block"))
-
-    var = dictionary.fuzzy_texts
-    low = F.greatest(F.lit(1), F.ceil(F.col("len") * F.lit(cut / (200.0 - cut)) - F.lit(eps)).cast("int"))
-    high = F.floor(F.col("len") * F.lit((200.0 - cut) / cut) + F.lit(eps)).cast("int")
-    sized = var.filter(F.col("len") > 0).select(
-        "var_no", "len", "block_tokens", F.explode(F.sequence(low, F.greatest(low, high))).alias("q_len"))
-    v_prefix = F.slice("block_tokens", F.lit(1),
-                       F.greatest(F.lit(0), F.col("len") - need(F.col("q_len"), F.col("len")) + 1).cast("int"))
-    index = sized.select("q_len", "var_no", F.explode(v_prefix).alias("block"))
-
-    pairs = blocks.join(dictionary.side(index), ["q_len", "block"]).select("text", "var_no").distinct()
-    scored = (pairs.join(dictionary.side(var.drop("block_tokens")), "var_no")
+    fewest = sim.shared_needed(F.col("q_len"), sim.shortest_partner(F.col("q_len"), cut), cut)
+    prefix = F.slice("_tokens", F.lit(1), F.col("q_len") - fewest + 1)
+    blocks = query.select("text", "q_len", F.explode(prefix).alias("block"))
+
+    pairs = blocks.join(dictionary.side(dictionary.fuzzy_index(cut)), ["q_len", "block"]).select("text", "var_no").distinct()
+    scored = (pairs.join(dictionary.side(dictionary.fuzzy_texts.drop("block_tokens")), "var_no")
               .withColumn("q_cs", sim.chars(sim.sorted_words("text"))).withColumn("q_len", F.size("q_cs")))
     lcs = F.when(F.col("masks").isNotNull(), sim.lcs_by_masks("q_cs", "masks", "len")).otherwise(
         sim.lcs_by_rows("q_cs", "cs"))
@@ -159,17 +149,17 @@ def embedding_match(texts: DataFrame, corpus: DataFrame, threshold: float = SEMA
     """M6: best cosine of dense vectors.
 
     ``texts(text, vector)`` against ``corpus(var_no, form, canonical, guard, vector)``. The corpus is
-    packed into blocks of CORPUS_BLOCK vectors; a text meets each block once and keeps its two best
+    packed into blocks of about CORPUS_BLOCK vectors; a text meets each block once and keeps its two best
     there, so the exact top two come from a join on the block number with two rows per text and block.
     """
-    packed = corpus.select(
-        (F.dense_rank().over(Window.orderBy("var_no")) - 1).alias("_no"), "var_no", "form", "canonical", "guard",
-        "vector", sim.norm2("vector").alias("length"))
-    blocks = packed.groupBy(F.floor(F.col("_no") / CORPUS_BLOCK).cast("int").alias("block")).agg(
+    n_blocks = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    block = F.pmod(F.xxhash64("var_no"), F.lit(n_blocks)).cast("int")
+    blocks = corpus.select(block.alias("block"), "var_no", "form", "canonical", "guard", "vector",
+                           sim.norm2("vector").alias("length"))
+    blocks = blocks.groupBy("block").agg(
         F.collect_list(F.struct("var_no", "form", "canonical", "guard", "vector", "length")).alias("members"))
-    numbers = blocks.agg(F.max("block").alias("last"))
     query = texts.filter(F.col("vector").isNotNull()).select("text", "vector", sim.norm2("vector").alias("q_length"))
-    spread = query.join(F.broadcast(numbers)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    spread = query.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     score = lambda m: sim.cosine(F.col("vector"), m["vector"], F.col("q_length"), m["length"])
     rated = F.transform("members", lambda m: F.struct(
         score(m).alias("score"), (-m["var_no"]).alias("neg_no"), m["form"].alias("form"),
@@ -210,29 +200,23 @@ def _unguarded(hits: DataFrame) -> DataFrame:
 def match_names(names: DataFrame, dictionary: Dictionary, fuzzy_threshold: float = FUZZY_THRESHOLD,
                 semantic_threshold: float = SEMANTIC_THRESHOLD, gap_scope: str = "text",
                 text_vectors: DataFrame | None = None, corpus_vectors: DataFrame | None = None,
-                persisted: list[DataFrame] | None = None) -> DataFrame:
+                keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> DataFrame:
     """M9 per name: one candidate column per tier for the distinct names of ``name_texts``.
 
     The tiers run on distinct texts, and a costly tier sees only texts that no earlier tier settles
-    for every value. Intermediate tables are read twice; with ``persisted`` they are kept and listed
-    there for the caller to release.
+    for every value. Intermediate tables are read twice; ``keep(table, label)`` may store them, which
+    also keeps the plans short.
     """
-    def keep(df: DataFrame) -> DataFrame:
-        if persisted is None:
-            return df
-        persisted.append(df.persist())
-        return df
-
     exact_hit = F.struct("canonical", "guard", F.lit("exact").alias("match_type"), F.lit(1.0).alias("confidence"),
                          F.col("spaced").alias("variation")).cast(CANDIDATE)
     exact = exact_lookup(names, dictionary).select(
         *names.columns, F.when(F.col("canonical").isNotNull(), exact_hit).alias("exact"))
     open_names = exact.filter(F.col("exact").isNull() | F.col("exact.guard").isNotNull())
-    texts = keep(open_names.select(F.explode(F.array("spaced", "expanded")).alias("text")).distinct())
+    texts = keep(open_names.select(F.explode(F.array("spaced", "expanded")).alias("text")).distinct(), "texts")
 
-    contained = keep(containment(texts, dictionary))
-    open1 = keep(texts.join(_unguarded(contained), "text", "left_anti"))
-    fuzzy = keep(fuzzy_match(open1, dictionary, fuzzy_threshold, gap_scope=gap_scope))
+    contained = keep(containment(texts, dictionary), "containment")
+    open1 = texts.join(_unguarded(contained), "text", "left_anti")
+    fuzzy = keep(fuzzy_match(open1, dictionary, fuzzy_threshold, gap_scope=gap_scope), "fuzzy")
     open2 = open1.join(_unguarded(fuzzy), "text", "left_anti")
     if text_vectors is not None:
         semantic = semantic_match(open2.join(text_vectors, "text", "left"), dictionary, corpus_vectors, semantic_threshold)
@@ -245,7 +229,7 @@ def match_names(names: DataFrame, dictionary: Dictionary, fuzzy_threshold: float
         part = hits.select("text", F.lit(tier).alias("tier"), _candidate(label).alias("hit"))
         long = part if long is None else long.unionByName(part)
     per_text = keep(long.groupBy("text").agg(
-        *[F.first(F.when(F.col("tier") == t, F.col("hit")), ignorenulls=True).alias(t) for t in tiers]))
+        *[F.first(F.when(F.col("tier") == t, F.col("hit")), ignorenulls=True).alias(t) for t in tiers]), "per-text")
     first = per_text.select(F.col("text").alias("spaced"), F.col("contain").alias("prefix"),
                             F.col("fuzzy").alias("fuzzy_spaced"), F.col("semantic").alias("semantic_spaced"))
     second = per_text.select(F.col("text").alias("expanded"),

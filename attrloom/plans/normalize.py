@@ -26,12 +26,8 @@ def name_mapping(records: DataFrame, dictionary: Dictionary, name: str = "attrib
     Names repeat without bound while distinct names do not, so matching runs once per name here and
     is joined back per row. Writing it once cuts the lineage and makes its size known.
     """
-    names = name_texts(records.select(tx.strip(F.coalesce(name, F.lit(""))).alias(name)), name).persist()
-    persisted = [names]
-    mapping = materialize(match_names(names, dictionary, persisted=persisted, **options), "name-mapping")
-    for df in persisted:
-        df.unpersist()
-    return mapping
+    names = materialize(name_texts(records.select(tx.strip(F.coalesce(name, F.lit(""))).alias(name)), name), "names")
+    return materialize(match_names(names, dictionary, keep=materialize, **options), "name-mapping")
 
 
 def match_records(records: DataFrame, dictionary: Dictionary, name: str = "attribute", value: str = "value",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attrloom.functions import similarity as sim
 from attrloom.functions import text as tx
 from attrloom.functions.shapes import guard_kind
+from attrloom.session import materialize
 
 SEED_PATH = str(Path(__file__).resolve().parent.parent / "data" / "seed_dictionary.json")
 
@@ -25,23 +26,16 @@ MAX_GRAMS = 10_000
 ENTRY_SCHEMA = "entry_no int, canonical string, variations array<string>"
 
 
-@dataclass
+@dataclass(eq=False)
 class Dictionary:
-    """Dictionary entries plus the derived lookup tables, each built on first use."""
+    """Dictionary entries plus the derived lookup tables.
+
+    Each table is built on first use and written to the shared folder, so every later plan reads a
+    small file of known size instead of rebuilding it.
+    """
 
     entries: DataFrame
     max_grams: int = MAX_GRAMS
-    _cached: list[DataFrame] = field(default_factory=list, repr=False)
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        df = df.persist()
-        self._cached.append(df)
-        return df
-
-    def unpersist(self) -> None:
-        for df in self._cached:
-            df.unpersist()
-        self._cached.clear()
 
     @cached_property
     def n_texts(self) -> int:
@@ -58,14 +52,14 @@ class Dictionary:
         raw = self.entries.select("entry_no", "canonical", F.posexplode(listed).alias("text_no", "text"))
         spelled = raw.select("entry_no", "canonical", "text_no", F.posexplode(tx.forms("text")).alias("form_no", "form"))
         var_no = F.col("entry_no").cast("bigint") * 10_000_000 + F.col("text_no") * 4 + F.col("form_no")
-        return self._keep(spelled.select(
-            var_no.alias("var_no"), "canonical", "form", (F.col("text_no") == 0).alias("is_canonical")))
+        return materialize(spelled.select(
+            var_no.alias("var_no"), "canonical", "form", (F.col("text_no") == 0).alias("is_canonical")), "dictionary-texts")
 
     @cached_property
     def exact(self) -> DataFrame:
         """Spelling -> canonical; the last entry wins."""
         last = self.texts.groupBy("form").agg(F.max_by("canonical", "var_no").alias("canonical"))
-        return self._keep(last.withColumn("guard", guard_kind("canonical")))
+        return materialize(last.withColumn("guard", guard_kind("canonical")), "dictionary-exact")
 
     @cached_property
     def variations(self) -> DataFrame:
@@ -75,16 +69,16 @@ class Dictionary:
                  .select("var_no"))
         listed = (self.texts.filter("is_canonical").select("var_no").union(first).distinct())
         rows = self.texts.join(listed, "var_no", "left_semi")
-        return self._keep(rows.select(
+        return materialize(rows.select(
             "var_no", "form", "canonical", guard_kind("canonical").alias("guard"),
-            tx.tokens("form").alias("tokens"), F.length("form").alias("form_length")))
+            tx.tokens("form").alias("tokens"), F.length("form").alias("form_length")), "dictionary-variations")
 
     @cached_property
     def token_index(self) -> DataFrame:
         """Token -> the spellings that contain it."""
-        return self._keep(self.variations.select(
+        return materialize(self.variations.select(
             F.explode("tokens").alias("token"), "var_no", F.col("tokens").alias("var_tokens"),
-            "form_length", "canonical", "guard"))
+            "form_length", "canonical", "guard"), "dictionary-token-index")
 
     @cached_property
     def fuzzy_texts(self) -> DataFrame:
@@ -92,27 +86,32 @@ class Dictionary:
         cut = self.variations.select("var_no", "form", "canonical", "guard",
                                      sim.sorted_words("form").alias("sorted"))
         cut = cut.select("*", sim.chars("sorted").alias("cs"))
-        return self._keep(cut.select(
+        return materialize(cut.select(
             "var_no", "form", "canonical", "guard", "cs", F.size("cs").alias("len"),
-            sim.position_masks("cs").alias("masks"), sim.block_tokens("cs").alias("block_tokens")))
+            sim.position_masks("cs").alias("masks"), sim.block_tokens("cs").alias("block_tokens")), "dictionary-fuzzy-texts")
+
+    def fuzzy_index(self, cut: float) -> DataFrame:
+        """Blocks ``(q_len, block) -> var_no``: for every query length a spelling can still match at
+        ``cut``, the leading tokens of the spelling one of which such a query must share."""
+        return _fuzzy_index(self, cut)
 
     @cached_property
     def corpus(self) -> DataFrame:
         """Distinct spellings; the first canonical wins."""
         first = self.variations.groupBy("form").agg(
             F.min("var_no").alias("var_no"), F.min_by("canonical", "var_no").alias("canonical"))
-        return self._keep(first.withColumn("guard", guard_kind("canonical")))
+        return materialize(first.withColumn("guard", guard_kind("canonical")), "dictionary-corpus")
 
     @cached_property
     def gram_idf(self) -> DataFrame:
         """N-gram -> smooth inverse document frequency, over the most frequent n-grams."""
-        n = self.corpus.agg(F.count("*").alias("n"))
+        n = float(self.corpus.count())
         grams = self.corpus.select("var_no", F.explode(sim.ngrams("form")).alias("gram"))
         counted = (grams.groupBy("gram", "var_no").agg(F.count("*").alias("tf"))
                    .groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")))
         kept = counted.orderBy(F.desc("tf"), "gram").limit(self.max_grams)
-        idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-        return self._keep(kept.join(F.broadcast(n)).select("gram", "df", idf.alias("idf")))
+        idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+        return materialize(kept.select("gram", "df", idf.alias("idf")), "dictionary-gram-idf")
 
     @cached_property
     def gram_weights(self) -> DataFrame:
@@ -122,15 +121,26 @@ class Dictionary:
         raw = counted.join(self.side(self.gram_idf), "gram").select(
             "var_no", "gram", (F.col("tf") * F.col("idf")).alias("w"))
         length = raw.groupBy("var_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return self._keep(raw.join(length, "var_no").select(
-            "var_no", "gram", (F.col("w") / F.col("norm")).alias("weight")))
+        return materialize(raw.join(length, "var_no").select(
+            "var_no", "gram", (F.col("w") / F.col("norm")).alias("weight")), "dictionary-gram-weights")
 
     def profile(self, sample: int = 5) -> DataFrame:
         """A10: entries in order with their first variations, and the number of entries."""
-        n = self.entries.agg(F.count("*").alias("entries"))
+        n = self.entries.count()
         shown = F.slice(F.coalesce("variations", F.array().cast("array<string>")), 1, sample)
-        return self.entries.join(F.broadcast(n)).select(
-            "entry_no", "canonical", F.array_join(shown, ", ").alias("sample"), "entries")
+        return self.entries.select("entry_no", "canonical", F.array_join(shown, ", ").alias("sample"),
+                                   F.lit(n).cast("bigint").alias("entries"))
+
+
+@lru_cache(maxsize=64)
+def _fuzzy_index(dictionary: Dictionary, cut: float) -> DataFrame:
+    low = F.greatest(F.lit(1), sim.shortest_partner(F.col("len"), cut))
+    sized = dictionary.fuzzy_texts.filter(F.col("len") > 0).select(
+        "var_no", "len", "block_tokens",
+        F.explode(F.sequence(low, F.greatest(low, sim.longest_partner(F.col("len"), cut)))).alias("q_len"))
+    keep = F.greatest(F.lit(0), F.col("len") - sim.shared_needed(F.col("q_len"), F.col("len"), cut) + 1)
+    prefix = F.slice("block_tokens", F.lit(1), keep.cast("int"))
+    return materialize(sized.select("q_len", F.explode(prefix).alias("block"), "var_no"), "dictionary-fuzzy-index")
 
 
 def dictionary_from(entries: DataFrame, **options) -> Dictionary:
