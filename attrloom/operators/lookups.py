@@ -5,23 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attrloom.session import materialize
+
 # At most this many heavy keys are broadcast; any other key then holds less than 1/HEAVY_KEYS of the rows.
 HEAVY_KEYS = 1024
 SPREAD = 4096
 
+# A stored table is broadcast up to this many rows and characters.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64_000_000
+
 
 def _hashable(df: DataFrame) -> list[Column]:
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     return [F.col(f"`{name}`") for name in plain]
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table is small enough to send to every executor, by its real row count and
+    text size."""
+    size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("chars")
+    got = df.agg(F.count("*").alias("rows"), size).first()
+    return got["rows"] <= max_rows and (got["chars"] or 0) <= max_bytes
+
+
 def join_per_key(big: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Left join ``big`` with ``side`` (unique on ``keys``) when a few keys may hold most rows.
 
     ``weight`` is a column of ``side`` with the number of ``big`` rows of each key; it is not part of
-    the result. The HEAVY_KEYS heaviest keys are joined by a broadcast of exactly that bounded size.
-    Their rows then go through the second join under spread-out keys that match nothing, so no
-    shuffle task of that join receives a heavy key.
+    the result. The side is written to the shared folder first, since its true size decides: small
+    enough, it is broadcast; otherwise the heavy keys are split off.
+    """
+    side = materialize(side, "join-side")
+    if fits_broadcast(side):
+        payload = [c for c in side.columns if c not in keys and c != weight]
+        joined = big.join(F.broadcast(side.drop(weight)), keys, "left")
+        return joined.select(*[F.col(f"`{c}`") for c in [*big.columns, *payload]])
+    return join_heavy_split(big, side, keys, weight)
+
+
+def join_heavy_split(big: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """The large-side way of ``join_per_key``.
+
+    The HEAVY_KEYS heaviest keys are joined by a broadcast of exactly that bounded size. Their rows
+    then go through the second join under spread-out keys that match nothing, so no shuffle task of
+    that join receives a heavy key.
     """
     payload = [c for c in side.columns if c not in keys and c != weight]
     heavy = (side.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)

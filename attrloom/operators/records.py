@@ -60,19 +60,15 @@ def clean_records(df: DataFrame, scope: list[str] | None = None, pos: str = "pos
 def broken_table_flags(records: DataFrame, pos: str = "pos", sample: int = 20) -> DataFrame:
     """Per document, whether the first records look like a wrongly cut table.
 
-    The first records are found by a bounded top-k aggregate that combines on the map side.
+    The rank filter is applied on the map side too (window group limit), so a document of any size
+    sends at most ``sample`` rows per map task.
     """
     attr, val = tx.strip("attribute"), tx.strip("value")
     odd_name = attr.rlike(r"(?U)\A\d+\z") | (F.length(attr) <= 2)
     odd_value = (F.length(val) - F.length(F.replace(val, F.lit("="), F.lit("")))) >= 2
     marked = records.select("doc_id", pos, odd_name.cast("int").alias("odd_name"), odd_value.cast("int").alias("odd_value"))
-    # Two-step top-k: blocks of neighbouring positions first, so one huge document is never sorted in one task.
-    block = F.pmod(F.xxhash64(F.col(pos)), F.lit(256))
-    step1 = Window.partitionBy("doc_id", "_block").orderBy(pos)
-    step2 = Window.partitionBy("doc_id").orderBy(pos)
-    top = (marked.withColumn("_block", block)
-           .withColumn("_rn", F.row_number().over(step1)).filter(F.col("_rn") <= sample)
-           .withColumn("_rn", F.row_number().over(step2)).filter(F.col("_rn") <= sample))
+    order = Window.partitionBy("doc_id").orderBy(pos)
+    top = marked.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
     n = F.count("*")
     least = F.greatest(F.lit(2), F.floor(n / 3))
     return top.groupBy("doc_id").agg(

@@ -15,6 +15,7 @@ from attrloom.operators import grids as gr
 from attrloom.operators.lookups import join_per_key
 from attrloom.operators.nested import flatten_json, flatten_xml
 from attrloom.operators.records import broken_table_flags, dedupe_records, key_value_lines
+from attrloom.session import materialize
 
 NO_EXTRAS = "map<string,string>"
 
@@ -33,6 +34,11 @@ def table_row_records(rows: DataFrame) -> DataFrame:
     return dedupe_records(kept)
 
 
+def _stored(records: DataFrame) -> DataFrame:
+    """Records are read again for counts and routing, so they are written once."""
+    return materialize(records, "records")
+
+
 def _counts(records: DataFrame, name: str = "n_records") -> DataFrame:
     return records.groupBy("doc_id").agg(F.count("*").alias(name))
 
@@ -52,18 +58,19 @@ def _tables_else_lines(table_records: DataFrame, lines: DataFrame) -> DataFrame:
 
 def pdf_records(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Table rows, else key/value lines; nothing for narrative documents, which are tagged."""
-    tables = table_row_records(rows)
+    tables = _stored(table_row_records(rows))
     flags = broken_table_flags(tables).join(_counts(tables, "_n"), "doc_id").select("doc_id", "is_broken", "_n")
     good = join_per_key(tables, flags, ["doc_id"], "_n").filter(~F.col("is_broken")).drop("is_broken")
     records = _tables_else_lines(good, lines)
     verdict = ft.narrative_lines(lines).select("doc_id", "is_narrative", F.col("n_lines").alias("_n"))
-    kept = join_per_key(records, verdict, ["doc_id"], "_n").filter(~F.coalesce("is_narrative", F.lit(False))).drop("is_narrative")
+    kept = join_per_key(records, verdict, ["doc_id"], "_n").filter(~F.coalesce("is_narrative", F.lit(False)))
+    kept = _stored(kept.drop("is_narrative"))
     return kept, _documents("pdf", rows, lines, verdict, kept)
 
 
 def docx_records(rows: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Table rows, else key/value paragraphs; narrative documents are tagged."""
-    records = _tables_else_lines(table_row_records(rows), paragraphs)
+    records = _stored(_tables_else_lines(_stored(table_row_records(rows)), paragraphs))
     verdict = ft.narrative_lines(paragraphs).select("doc_id", "is_narrative", F.col("n_lines").alias("_n"))
     return records, _documents("docx", rows, paragraphs, verdict, records)
 
@@ -126,6 +133,7 @@ def _grid_documents(fmt: str, grid: DataFrame, clean: DataFrame, records: DataFr
     judged = (grid.select("doc_id").distinct().join(flags, "doc_id", "left").join(facts, "doc_id", "left")
               .join(_counts(records), "doc_id", "left")
               .withColumn("_routed", F.coalesce("is_narrative", F.lit(False)) & (F.coalesce("n_records", F.lit(0)) <= 1)))
+    judged = materialize(judged, "judged")
     routed = judged.filter("_routed").select("doc_id")
     texts = gr.joined_text(lines.join(routed, "doc_id", "left_semi"), "line", ["sheet", "row_no"])
     kind = (F.when(F.col("_routed"), F.lit("unstructured"))
@@ -144,26 +152,26 @@ def _wide_or_pairs(clean: DataFrame, pairs) -> DataFrame:
 
 def excel_records(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """N3 for workbooks given as cell grids."""
-    clean = gr.clean_workbook(grid).withColumn("is_multicolumn", F.col("width") > 2).drop("width")
-    return _grid_documents("excel", grid, clean, _wide_or_pairs(clean, gr.extract_pairs))
+    clean = _stored(gr.clean_workbook(grid).withColumn("is_multicolumn", F.col("width") > 2).drop("width"))
+    return _grid_documents("excel", grid, clean, _stored(_wide_or_pairs(clean, gr.extract_pairs)))
 
 
 def csv_records(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """N3 for CSV grids."""
     widths = gr.sheet_widths(grid).select("doc_id", "sheet", "is_multicolumn", F.col("rows").alias("_n"))
     clean = join_per_key(grid, widths, gr.SHEET, "_n")
-    return _grid_documents("csv", grid, clean, _wide_or_pairs(clean, gr.extract_csv_pairs))
+    return _grid_documents("csv", grid, clean, _stored(_wide_or_pairs(clean, gr.extract_csv_pairs)))
 
 
 def json_records(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """N3 for JSON texts ``(doc_id, text)``."""
-    records = flatten_json(docs)
+    records = _stored(flatten_json(docs))
     return records, _nested_documents("json", docs, records)
 
 
 def xml_records(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """N3 for XML texts ``(doc_id, text)``."""
-    records = flatten_xml(docs)
+    records = _stored(flatten_xml(docs))
     return records, _nested_documents("xml", docs, records)
 
 

@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
-from attrloom.operators.lookups import join_per_key
+from attrloom.operators.lookups import fits_broadcast, join_heavy_split
 from attrloom.operators.matching import (
     FUZZY_THRESHOLD, SEMANTIC_THRESHOLD, TIERS, match_names, name_texts, resolve,
 )
 from attrloom.session import materialize
 from attrloom.sources.dictionary import Dictionary
 
-# A name mapping of at most this many rows is broadcast; a larger one is joined per key with the
-# heavy names split off.
-BROADCAST_NAMES = 200_000
-
 MATCH_COLUMNS = ["raw_attr", "canonical_attr", "match_type", "confidence", "matched_variation"]
 
 
@@ -32,16 +28,20 @@ def name_mapping(records: DataFrame, dictionary: Dictionary, name: str = "attrib
 
 def match_records(records: DataFrame, dictionary: Dictionary, name: str = "attribute", value: str = "value",
                   mapping: DataFrame | None = None, **options) -> DataFrame:
-    """Every record with its match columns appended; name and value stay as they are."""
+    """Every record with its match columns appended; name and value stay as they are.
+
+    The stored mapping is broadcast when its checked size allows it; a larger one is joined by key
+    with the heavy names split off.
+    """
     if mapping is None:
         mapping = name_mapping(records, dictionary, name, **options)
     raw = tx.strip(F.coalesce(name, F.lit("")))
     keyed = records.withColumn("norm", tx.normalize(raw))
     side = mapping.select("norm", "n", *TIERS)
-    if mapping.count() <= BROADCAST_NAMES:
+    if fits_broadcast(mapping.select("norm", *TIERS)):
         joined = keyed.join(F.broadcast(side.drop("n")), "norm", "left")
     else:
-        joined = join_per_key(keyed, side, ["norm"], "n")
+        joined = join_heavy_split(keyed, side, ["norm"], "n")
     matched = joined.withColumn("_m", resolve(raw, value))
     return matched.select(
         *[F.col(f"`{c}`") for c in records.columns], raw.alias("raw_attr"), F.col("_m.canonical").alias("canonical_attr"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attrloom.functions import text as tx
 
 MAX_EXTRA_COLUMNS = 10_000
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 ENGINE_COLUMNS = ("doc_id", "sheet", "pos", "extras", "raw_attr", "canonical_attr", "match_type", "confidence",
                   "matched_variation")
 
@@ -37,7 +38,7 @@ def write_csv(records: DataFrame, path: str, keep: list[str] | None = None) -> N
     """K2: K1 as CSV with a header, one folder per document; ``keep`` lists extra source columns."""
     out = output_projection(records, keep).columns
     projected = records.select("doc_id", *[c for c in output_projection_columns(records, out)])
-    projected.write.partitionBy("doc_id").csv(path, header=True, escape='"')
+    projected.write.partitionBy("doc_id").csv(path, **CSV_OPTIONS)
 
 
 def output_projection_columns(records: DataFrame, names: list[str]) -> list[Column]:
@@ -109,7 +110,7 @@ def write_tabular(records: DataFrame, path: str, sheet: str = "sheet", extras: l
     """K5: K1 as one folder per cut sheet name."""
     names = output_projection(records, extras).columns
     records.select(sheet_name(sheet).alias("sheet_name"), *output_projection_columns(records, names)).write.partitionBy(
-        "sheet_name").csv(path, header=True, escape='"')
+        "sheet_name").csv(path, **CSV_OPTIONS)
 
 
 def column_widths(table: DataFrame, keys: list[str] | None = None, padding: int = 4, widest: int = 45) -> DataFrame:
