@@ -5,7 +5,7 @@ Patterns spell the whitespace class out, since Java's ``\\s`` and ``trim`` know
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that count as whitespace.
@@ -163,3 +163,17 @@ def friendly_name(path: Column | str) -> Column:
 
     parts = F.filter(F.split(strip(path), r"\."), lambda p: ~F.lower(p).isin(*PATH_NOISE))
     return F.array_join(F.filter(F.transform(parts, part_text), lambda p: p != ""), " ")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where lambdas would otherwise repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def explode_costly(df: DataFrame, items: Column | str, name: str, pos: str = "_pos") -> DataFrame:
+    """All columns of ``df`` with one row per item of an array that is costly to compute.
+
+    An outer explode and a filter behind it: below an inner explode the optimizer puts a non-empty
+    test that computes the whole array a second time.
+    """
+    return df.select("*", F.posexplode_outer(col(items)).alias(pos, name)).filter(F.col(pos).isNotNull())

@@ -139,46 +139,52 @@ def route_to_free_text(docs: DataFrame, counts: DataFrame, text: str = "text") -
 # ---------------------------------------------------------------- chunking
 
 
+CHUNKS = "array<struct<start:int,text:string>>"
+
+
 def chunk_array(text: Column | str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
-    """T4: overlapping chunks ``array<struct(start, text)>`` of a stripped text.
+    """T4: overlapping chunks ``array<struct(start, text)>`` of an already stripped text.
 
     A fold over as many steps as the text can need: each cut lies beyond 60 % of the window, which
     bounds how little a step advances.
     """
-    t = tx.strip(F.coalesce(tx.col(text), F.lit("")))
+    t = tx.col(text)
     n = F.length(t)
-    advance = max(1, int(max_chars * 0.6) + 2 - overlap)
-    steps = F.sequence(F.lit(1), F.ceil(n / F.lit(advance)).cast("int") + 1)
-    kind = "struct<start:int,done:boolean,chunks:array<struct<start:int,text:string>>>"
+    earliest = int(max_chars * 0.6)
+    steps = F.sequence(F.lit(1), F.ceil(n / F.lit(max(1, earliest + 2 - overlap))).cast("int") + 1)
+    kind = f"struct<start:int,done:boolean,chunks:{CHUNKS}>"
     state = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().alias("chunks")).cast(kind)
 
-    def last_of(window: Column, mark: str) -> Column:
-        back = F.instr(F.reverse(window), mark[::-1])
-        return F.when(back > 0, F.length(window) - back - F.lit(len(mark) - 1)).otherwise(F.lit(-1))
+    def last_cut(window: Column) -> Column:
+        def at(backwards: Column, mark: str) -> Column:
+            found = F.instr(backwards, mark[::-1])
+            return F.when(found > 0, F.length(backwards) - found - F.lit(len(mark) - 1)).otherwise(F.lit(-1))
+        return tx.let(F.reverse(window), lambda b: F.greatest(at(b, "\n"), at(b, ". "), at(b, "; ")))
 
     def step(s: Column, _: Column) -> Column:
-        window = F.substring(t, s["start"] + 1, F.lit(max_chars))
-        cut = F.greatest(last_of(window, "\n"), last_of(window, ". "), last_of(window, "; "))
-        full_end = F.least(s["start"] + F.lit(max_chars), n)
-        end = F.when((full_end < n) & (cut > int(max_chars * 0.6)), s["start"] + cut + 1).otherwise(full_end)
-        chunk = tx.strip(F.substring(t, s["start"] + 1, end - s["start"]))
-        grown = F.when(chunk != "", F.array_append(s["chunks"], F.struct(s["start"].alias("start"), chunk.alias("text")))
-                       ).otherwise(s["chunks"])
-        moved = F.struct(
-            F.greatest(end - F.lit(overlap), s["start"] + 1).cast("int").alias("start"), (end >= n).alias("done"),
-            grown.alias("chunks")).cast(kind)
-        return F.when(s["done"], s).otherwise(moved)
-
-    whole = F.array(F.struct(F.lit(0).alias("start"), t.alias("text"))).cast("array<struct<start:int,text:string>>")
-    return (F.when(n == 0, F.array().cast("array<struct<start:int,text:string>>"))
-            .when(n <= max_chars, whole)
+        start = s["start"]
+
+        def grow(end: Column) -> Column:
+            chunk = tx.strip(F.substring(t, start + 1, end - start))
+            added = tx.let(chunk, lambda c: F.when(c != "", F.array_append(
+                s["chunks"], F.struct(start.alias("start"), c.alias("text")))).otherwise(s["chunks"]))
+            return F.struct(F.greatest(end - F.lit(overlap), start + 1).cast("int").alias("start"),
+                            (end >= n).alias("done"), added.alias("chunks")).cast(kind)
+
+        cut = last_cut(F.substring(t, start + 1, F.lit(max_chars)))
+        end = F.when(start + F.lit(max_chars) >= n, n).otherwise(tx.let(
+            cut, lambda c: F.when(c > earliest, start + c + 1).otherwise(start + F.lit(max_chars))))
+        return F.when(s["done"], s).otherwise(tx.let(end.cast("int"), grow))
+
+    whole = F.array(F.struct(F.lit(0).alias("start"), t.alias("text"))).cast(CHUNKS)
+    return (F.when(n == 0, F.array().cast(CHUNKS)).when(n <= max_chars, whole)
             .otherwise(F.aggregate(steps, state, step, lambda s: s["chunks"])))
 
 
 def chunks(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """T4: ``(doc_id, chunk_no, start, text)``."""
     stripped = docs.select("doc_id", tx.strip(F.coalesce(text, F.lit(""))).alias("_t"))
-    out = stripped.select("doc_id", F.posexplode(chunk_array("_t", max_chars, overlap)).alias("chunk_no", "c"))
+    out = tx.explode_costly(stripped, chunk_array("_t", max_chars, overlap), "c", "chunk_no")
     return out.select("doc_id", "chunk_no", "c.start", "c.text")
 
 
@@ -229,7 +235,7 @@ def _first_of_each(docs: DataFrame, pairs: str, key) -> DataFrame:
     """Explode the pairs of a row, keeping the first of each key; the row never leaves its task."""
     keyed = docs.withColumn("_keys", F.transform(pairs, key))
     kept = F.transform(F.array_distinct("_keys"), lambda k: F.array_position(F.col("_keys"), k).cast("int"))
-    out = keyed.withColumn("_kept", kept).withColumn("_at", F.explode("_kept"))
+    out = tx.explode_costly(keyed.withColumn("_kept", kept), "_kept", "_at")
     picked = F.get(F.col(pairs), F.col("_at") - 1)
     rest = [c for c in docs.columns if c != pairs]
     return out.select(*rest, (F.col("_at") - 1).cast("bigint").alias("pos"), picked["attribute"].alias("attribute"),
@@ -249,7 +255,8 @@ def extract_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def extract_chunked(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Chunk, extract from each chunk, merge in chunk order with one dedupe per document."""
-    cut = docs.withColumn("_chunks", chunk_array(text, max_chars, overlap)).drop(text)
+    stripped = docs.withColumn("_t", tx.strip(F.coalesce(text, F.lit(""))))
+    cut = stripped.withColumn("_chunks", chunk_array("_t", max_chars, overlap)).drop(text, "_t")
     found = cut.withColumn("_pairs", F.filter(
         F.flatten(F.transform("_chunks", lambda c: sentence_pairs(c["text"]))), _usable_pair)).drop("_chunks")
     return _first_of_each(found, "_pairs", lambda p: F.concat(F.lower(tx.strip(p["attribute"])), F.lit("\0"), tx.strip(p["value"])))

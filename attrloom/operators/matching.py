@@ -92,7 +92,7 @@ def fuzzy_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFr
         "text", F.size("q_cs").alias("q_len"), sim.block_tokens("q_cs").alias("_tokens"))
     fewest = sim.shared_needed(F.col("q_len"), sim.shortest_partner(F.col("q_len"), cut), cut)
     prefix = F.slice("_tokens", F.lit(1), F.col("q_len") - fewest + 1)
-    blocks = query.select("text", "q_len", F.explode(prefix).alias("block"))
+    blocks = tx.explode_costly(query.withColumn("_prefix", prefix), "_prefix", "block").select("text", "q_len", "block")
 
     pairs = blocks.join(dictionary.side(dictionary.fuzzy_index(cut)), ["q_len", "block"]).select("text", "var_no").distinct()
     scored = (pairs.join(dictionary.side(dictionary.fuzzy_texts.drop("block_tokens")), "var_no")
@@ -118,14 +118,13 @@ def tfidf_scores(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
 
     The one shuffle groups a text's known n-grams; the sums per (text, spelling) reuse its layout.
     """
-    grams = texts.select("text", sim.ngrams("text").alias("all")).select(
-        "text", "all", F.explode(F.array_distinct("all")).alias("gram"))
+    grams = tx.explode_costly(texts.select("text", sim.ngrams("text").alias("all")), F.array_distinct("all"), "gram")
     tf = F.size(F.filter("all", lambda g: g == F.col("gram")))
     raw = grams.join(dictionary.side(dictionary.gram_idf), "gram").select(
         "text", F.struct("gram", (tf * F.col("idf")).alias("w")).alias("g"))
     vectors = raw.groupBy("text").agg(F.collect_list("g").alias("gs"))
     length = F.sqrt(F.aggregate("gs", F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
-    unit = vectors.select("text", length.alias("norm"), F.explode("gs").alias("g"))
+    unit = tx.explode_costly(vectors.withColumn("norm", length), "gs", "g")
     hits = unit.select("text", "g.gram", (F.col("g.w") / F.col("norm")).alias("w")).join(
         dictionary.side(dictionary.gram_weights), "gram")
     return hits.groupBy("text", "var_no").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))

@@ -159,7 +159,7 @@ def salvage_list(text: Column | str) -> Column:
 def salvaged_records(responses: DataFrame, text: str = "response") -> DataFrame:
     """One record per salvaged object with a name and a value."""
     rest = [c for c in responses.columns if c != text]
-    items = responses.select(*rest, F.posexplode(salvage_list(text)).alias("pos", "item"))
+    items = tx.explode_costly(responses, salvage_list(text), "item", "pos").drop(text)
 
     def member(key: str) -> Column:
         value = F.try_variant_get("item", f"$.{key}", "variant")

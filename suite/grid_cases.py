@@ -203,7 +203,7 @@ def _kv(src: str, where: str = "length(line) >= 3") -> str:
     SELECT doc_id, pos, attribute, value FROM {_kv('l')} r""")
 def e06(t: Tables):
     docs = t.documents.select("doc_id", "text").union(t.sql(q.sentences(q.SPARK)).select((-1 - F.col("doc_id")), "text"))
-    lines = docs.select("doc_id", F.posexplode(tx.lines("text")).alias("pos", "line"))
+    lines = tx.explode_costly(docs, tx.lines("text"), "line", "pos")
     return rc.key_value_lines(lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "line"))
 
 
@@ -359,8 +359,8 @@ def q13(t: Tables):
 @case("n03_narrative_csv_documents")
 def n03c(t: Tables):
     """Documents read as one-cell CSV lines: prose goes to free-text extraction, the rest stays."""
-    grid = t.documents.select(F.col("doc_id"), F.lit("").alias("sheet"), F.posexplode(tx.lines("text")).alias("row_no", "line"))
-    grid = grid.select("doc_id", "sheet", F.col("row_no").cast("bigint").alias("row_no"), F.array("line").alias("cells"))
+    grid = tx.explode_costly(t.documents.select("doc_id", "text"), tx.lines("text"), "line", "row_no")
+    grid = grid.select("doc_id", F.lit("").alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), F.array("line").alias("cells"))
     records, docs = dc.csv_records(grid)
     counted = records.groupBy("doc_id").agg(F.count("*").alias("n"))
     return docs.join(counted, "doc_id", "left").select("doc_id", "doc_type", F.coalesce("n", F.lit(0)).alias("n_records"))

@@ -148,13 +148,6 @@ def s13(t: Tables):
                          F.explode(F.concat(F.array("canonical"), "variations")).alias("text"))
 
 
-DOC_LINES = f"SELECT doc_id, unnest({q.lines('text')}) AS line FROM documents"
-
-
-def _document_lines(t: Tables):
-    return t.documents.select("doc_id", F.explode(tx.lines("text")).alias("line"))
-
-
 for _no, _kind in enumerate(["date", "phone", "email", "amount", "id"], start=1):
     @case(f"v0{_no}_{_kind}_shape", f"""
         SELECT source, k, n_lines, hits FROM (
@@ -168,7 +161,8 @@ for _no, _kind in enumerate(["date", "phone", "email", "amount", "id"], start=1)
           FROM ({q.order_names(q.DUCK)}) r) u""")
     def _shape(t: Tables, kind=_kind):
         is_kind = sh.SHAPES[kind]
-        lines = t.documents.select("source", F.lit("document").alias("k"), F.explode(tx.lines("text")).alias("v"))
+        lines = tx.explode_costly(t.documents.select("source", "text"), tx.lines("text"), "v").select(
+            "source", F.lit("document").alias("k"), "v")
         values = t.sql(q.order_records(q.SPARK)).select(F.col("attribute").alias("source"), F.lit("order").alias("k"), tx.strip("value").alias("v"))
         names = t.sql(q.order_names(q.SPARK)).select(F.lit("note").alias("source"), F.lit("order name").alias("k"), tx.strip("value").alias("v"))
         return lines.union(values).union(names).groupBy("source", "k").agg(
