@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
 from attrloom.functions.text import WS
-from attrloom.operators.records import split_key_value
+from attrloom.operators.records import explode_first, name_value_key, split_key_value, usable_pair
 
 PAIRS = "array<struct<attribute:string,value:string>>"
 MAX_CHARS = 2200
@@ -50,6 +50,36 @@ FIELD_RULES = (
     ("Final Amount", r"(₹\s?\d[\d,]*|\b\d[\d,]*\s?INR\b)", 0, "", "i"),
 )
 
+# Words one of which a text must contain for the rule of that attribute to match; a plain substring
+# search on the folded text that saves the pattern on most texts.
+SENTENCE_TRIGGERS = {
+    "Total Order Value": ("rupee",), "Quantity": ("for",), "Order Date": ("on",), "Payment Method": ("payment",),
+    "Address": ("delivery city",), "Order Number": ("order reference",),
+}
+FIELD_TRIGGERS = {
+    "Workorder Number": ("wo",), "Purchase Order Number": ("po",), "Invoice Number": ("inv",), "Equipment ID": ("eq",),
+    "Tracking ID": ("trk",), "Maintenance Date": ("-", "/"), "Temperature": ("c",), "Pressure": ("psi",),
+    "Engine Capacity": ("cc",), "Mileage": ("kmpl",), "Phone Number": (), "Email Address": ("@",), "Final Amount": ("₹", "inr"),
+}
+PHRASE_TRIGGERS = {
+    "Site": ("plant", "warehouse", "site"),
+    "Customer Name": ("customer", "custmer"),
+    "Assigned Engineer": ("engin", "technician", "tecnician", "account m"),
+    "Machine Type": ("machin type", "machine type", "equipment type", "device type"),
+    "Model Number": ("model",),
+    "Payment Method": ("payment meth", "pay method", "mode of payment"),
+    "Payment Status": ("payment stat", "pay status"),
+    "Order Status": ("order status", "ordeer status"),
+    "Delivery Status": ("delivary status", "delivery status", "shipping status", "dispatch status"),
+    "Billing Entity": ("billing entit", "billing company", "bill to company"),
+    "Shipping Address": ("shpping addres", "shipping address", "delivery address"),
+    "Fuel Type": ("fuel typ",),
+    "Vehicle Type": ("vehcle type", "vehicle type"),
+    "Insurance Status": ("insurence status", "insurance status"),
+    "Ownership Type": ("ownership typ",),
+    "Remarks": ("remarks", "comment"),
+}
+
 # First-match rules for phrases (attribute, pattern with one group).
 PHRASE_RULES = (
     ("Site", r"\bfor\s+(Plant\s+[A-Z0-9]+|Warehouse\s+\d+|Site\s+[A-Z0-9]+)\b"),
@@ -202,27 +232,51 @@ def _only(attribute: str, value: Column) -> Column:
 
 
 
+def folded(text: Column | str) -> Column:
+    """Lower case the way case-insensitive patterns see it: four letters count as i, s and k."""
+    return F.lower(F.translate(tx.col(text), "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _if_triggered(low: Column, words: tuple[str, ...], pairs: Column) -> Column:
+    if not words:
+        return pairs
+    any_word = low.contains(words[0])
+    for word in words[1:]:
+        any_word = any_word | low.contains(word)
+    return F.when(any_word, pairs).otherwise(F.array().cast(PAIRS))
+
+
 def sentence_pairs(text: Column | str) -> Column:
     """T5 before the dedupe: key/value lines, find-all rules, then the two first-match rules."""
     c = tx.col(text)
     lines = F.filter(F.transform(tx.lines(c), split_key_value), lambda p: p.isNotNull()).cast(PAIRS)
-    found = [_pairs(attribute, F.regexp_extract_all(c, F.lit(FLAGS + pattern), 1)) for attribute, pattern in SENTENCE_RULES]
-    return F.concat(lines, *found, _only("Customer Name", F.regexp_extract(c, CUSTOMER_AT_START, 1)),
-                    _only("Product Name", F.regexp_extract(c, PRODUCT_IN_ORDER, 1)))
+
+    def found(low: Column) -> Column:
+        every = [_if_triggered(low, SENTENCE_TRIGGERS[attribute],
+                               _pairs(attribute, F.regexp_extract_all(c, F.lit(FLAGS + pattern), 1)))
+                 for attribute, pattern in SENTENCE_RULES]
+        firsts = [_if_triggered(low, ("placed an order",), _only("Customer Name", F.regexp_extract(c, CUSTOMER_AT_START, 1))),
+                  _if_triggered(low, ("for",), _only("Product Name", F.regexp_extract(c, PRODUCT_IN_ORDER, 1)))]
+        return F.concat(*every, *firsts)
+
+    return F.concat(lines, tx.let(folded(c), found))
 
 
 def field_pairs(text: Column | str) -> Column:
     """Find-all rules on a collapsed text."""
     c = tx.col(text)
-    return F.concat(*[
-        _pairs(attribute, F.regexp_extract_all(c, F.lit(f"(?dU{i})" + pattern), group), suffix)
-        for attribute, pattern, group, suffix, i in FIELD_RULES])
+    return tx.let(folded(c), lambda low: F.concat(*[
+        _if_triggered(low, FIELD_TRIGGERS[attribute],
+                      _pairs(attribute, F.regexp_extract_all(c, F.lit(f"(?dU{i})" + pattern), group), suffix))
+        for attribute, pattern, group, suffix, i in FIELD_RULES]))
 
 
 def phrase_pairs(text: Column | str) -> Column:
     """First-match rules on a collapsed text."""
     c = tx.col(text)
-    return F.concat(*[_only(attribute, F.regexp_extract(c, FLAGS + pattern, 1)) for attribute, pattern in PHRASE_RULES])
+    return tx.let(folded(c), lambda low: F.concat(*[
+        _if_triggered(low, PHRASE_TRIGGERS[attribute], _only(attribute, F.regexp_extract(c, FLAGS + pattern, 1)))
+        for attribute, pattern in PHRASE_RULES]))
 
 
 def keyword_pairs(text: Column | str) -> Column:
@@ -231,26 +285,10 @@ def keyword_pairs(text: Column | str) -> Column:
     return F.when(tx.col(text).rlike(FLAGS + r"\burgent\b"), flag).otherwise(F.array().cast(PAIRS))
 
 
-def _first_of_each(docs: DataFrame, pairs: str, key) -> DataFrame:
-    """Explode the pairs of a row, keeping the first of each key; the row never leaves its task."""
-    keyed = docs.withColumn("_keys", F.transform(pairs, key))
-    kept = F.transform(F.array_distinct("_keys"), lambda k: F.array_position(F.col("_keys"), k).cast("int"))
-    out = tx.explode_costly(keyed.withColumn("_kept", kept), "_kept", "_at")
-    picked = F.get(F.col(pairs), F.col("_at") - 1)
-    rest = [c for c in docs.columns if c != pairs]
-    return out.select(*rest, (F.col("_at") - 1).cast("bigint").alias("pos"), picked["attribute"].alias("attribute"),
-                      picked["value"].alias("value"))
-
-
-def _usable_pair(p: Column) -> Column:
-    a, v = tx.strip(p["attribute"]), tx.strip(p["value"])
-    return (a != "") & (v != "") & ~tx.is_header_row(a, v) & ~tx.is_numeric_only(a)
-
-
 def extract_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """T5: records of the sentence rules, first (lower-cased name, value) per row."""
-    found = docs.withColumn("_pairs", F.filter(sentence_pairs(text), _usable_pair)).drop(text)
-    return _first_of_each(found, "_pairs", lambda p: F.concat(F.lower(tx.strip(p["attribute"])), F.lit("\0"), tx.strip(p["value"])))
+    found = docs.withColumn("_pairs", F.filter(sentence_pairs(text), usable_pair)).drop(text)
+    return explode_first(found, "_pairs", name_value_key)
 
 
 def extract_chunked(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
@@ -258,8 +296,8 @@ def extract_chunked(docs: DataFrame, text: str = "text", max_chars: int = MAX_CH
     stripped = docs.withColumn("_t", tx.strip(F.coalesce(text, F.lit(""))))
     cut = stripped.withColumn("_chunks", chunk_array("_t", max_chars, overlap)).drop(text, "_t")
     found = cut.withColumn("_pairs", F.filter(
-        F.flatten(F.transform("_chunks", lambda c: sentence_pairs(c["text"]))), _usable_pair)).drop("_chunks")
-    return _first_of_each(found, "_pairs", lambda p: F.concat(F.lower(tx.strip(p["attribute"])), F.lit("\0"), tx.strip(p["value"])))
+        F.flatten(F.transform("_chunks", lambda c: sentence_pairs(c["text"]))), usable_pair)).drop("_chunks")
+    return explode_first(found, "_pairs", name_value_key)
 
 
 def extract_fields(docs: DataFrame, text: str = "text", rules: tuple[str, ...] = ("field", "phrase", "keyword")) -> DataFrame:
@@ -269,6 +307,6 @@ def extract_fields(docs: DataFrame, text: str = "text", rules: tuple[str, ...] =
     found = flat.withColumn("_pairs", F.concat(*[parts[r]("_flat") for r in rules])).drop("_flat")
     cleaned = found.withColumn("_pairs", F.filter(
         F.transform("_pairs", lambda p: F.struct(
-            tx.collapse(p["attribute"]).alias("attribute"), tx.collapse(p["value"]).alias("value"))),
+            p["attribute"].alias("attribute"), tx.collapse(p["value"]).alias("value"))),
         lambda p: (p["attribute"] != "") & (p["value"] != "")))
-    return _first_of_each(cleaned, "_pairs", lambda p: F.concat(F.lower(p["attribute"]), F.lit("\0"), F.lower(p["value"])))
+    return explode_first(cleaned, "_pairs", lambda p: F.concat(F.lower(p["attribute"]), F.lit("\0"), F.lower(p["value"])))

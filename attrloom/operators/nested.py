@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
-from attrloom.operators.records import clean_records
+from attrloom.operators.records import explode_first, name_value_key, usable_pair
 
 # An array of objects inside other text, and the keys that may hold the list.
 JSON_ARRAY = r"(?s)\[[%s]*\{.*\}[%s]*\]" % (tx.WS, tx.WS)
@@ -40,45 +40,58 @@ def _children(v: Column) -> Column:
     return F.coalesce(members.cast(kind), items.cast(kind))
 
 
-def json_leaves(docs: DataFrame, text: str = "text", max_depth: int = 12) -> DataFrame:
-    """Keyed scalars of every document with their dotted path.
+NODE = "struct<v:variant,path:string,keyed:boolean,open:boolean>"
 
-    One chain of outer explodes: each step opens containers one level and lets leaves pass, so the
-    documents are read and parsed once. A document deeper than ``max_depth`` fails the job instead of
-    losing values.
+
+def _open_node(node: Column) -> Column:
+    """A container as its children, a leaf as itself, closed."""
+    def child(c: Column) -> Column:
+        at_root = node["path"] == ""
+        named = F.when(at_root, c["key"]).otherwise(F.concat(node["path"], F.lit("."), c["key"]))
+        numbered = F.concat(F.when(at_root, F.lit("item")).otherwise(node["path"]), F.lit("_"), c["item"].cast("string"))
+        return F.struct(c["v"].alias("v"), F.coalesce(named, numbered).alias("path"), c["key"].isNotNull().alias("keyed"),
+                        F.lit(True).alias("open")).cast(NODE)
+
+    closed = F.array(F.struct(node["v"].alias("v"), node["path"].alias("path"), node["keyed"].alias("keyed"),
+                              F.lit(False).alias("open")).cast(NODE))
+    opened = tx.let(_children(node["v"]), lambda kids: F.when(F.size(kids) > 0, F.transform(kids, child)).otherwise(closed))
+    return F.when(node["open"], opened).otherwise(F.array(node))
+
+
+LEAF = "array<struct<attribute:string,value:string,raw_attribute:string>>"
+
+
+def json_leaves(docs: DataFrame, text: str = "text", max_depth: int = 32) -> DataFrame:
+    """Keyed scalars of every document, ``leaves`` holding name, value and dotted path in order.
+
+    A fold inside the row opens all containers one level per step, until none is left; each node is
+    looked at once. A document deeper than ``max_depth`` fails the job instead of losing values.
     """
-    v = F.try_parse_json(tx.col(text))
-    level = docs.select("doc_id", v.alias("v"), F.lit("").alias("path"), F.lit(False).alias("keyed"),
-                        F.array().cast("array<int>").alias("ord"))
-    level = level.filter(F.col("v").isNotNull())
-    for _ in range(max_depth):
-        opened = level.select("*", F.posexplode_outer(_children(F.col("v"))).alias("i", "c"))
-        named = F.when(F.col("path") == "", F.col("c.key")).otherwise(F.concat("path", F.lit("."), F.col("c.key")))
-        numbered = F.concat(F.when(F.col("path") == "", F.lit("item")).otherwise(F.col("path")),
-                            F.lit("_"), F.col("c.item").cast("string"))
-        inner = F.col("i").isNotNull()
-        level = opened.select(
-            "doc_id",
-            F.when(inner, F.col("c.v")).otherwise(F.col("v")).alias("v"),
-            F.when(inner, F.coalesce(named, numbered)).otherwise(F.col("path")).alias("path"),
-            F.when(inner, F.col("c.key").isNotNull()).otherwise(F.col("keyed")).alias("keyed"),
-            F.when(inner, F.array_append("ord", F.col("i"))).otherwise(F.col("ord")).alias("ord"))
-    kind = F.schema_of_variant("v")
-    too_deep = F.size(_children(F.col("v"))) > 0
-    checked = F.when(too_deep, F.raise_error(F.lit("JSON document deeper than max_depth"))).otherwise(scalar_text(F.col("v")))
-    is_container = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return (level.filter(F.col("keyed") & (~is_container | too_deep))
-            .select("doc_id", "ord", F.col("path").alias("raw_attribute"), checked.alias("value")))
-
-
-def flatten_json(docs: DataFrame, text: str = "text", max_depth: int = 12, strip_headers: bool = True) -> DataFrame:
+    parsed = docs.select("doc_id", F.try_parse_json(tx.col(text)).alias("v")).filter(F.col("v").isNotNull())
+    root = F.array(F.struct(F.col("v").alias("v"), F.lit("").alias("path"), F.lit(False).alias("keyed"),
+                            F.lit(True).alias("open")).cast(NODE))
+    step = lambda nodes, _: F.when(
+        F.exists(nodes, lambda n: n["open"]), F.flatten(F.transform(nodes, _open_node))).otherwise(nodes)
+    nodes = F.aggregate(F.sequence(F.lit(0), F.lit(max_depth)), root, step)
+
+    def keep(n: Column) -> Column:
+        kind = F.schema_of_variant(n["v"])
+        return n["keyed"] & (n["open"] | ~(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+
+    too_deep = F.raise_error(F.lit("JSON document deeper than max_depth")).cast("string")
+    leaf = lambda n: F.struct(
+        tx.friendly_name(n["path"]).alias("attribute"),
+        F.when(n["open"], too_deep).otherwise(scalar_text(n["v"])).alias("value"), n["path"].alias("raw_attribute"))
+    kept = parsed.select("doc_id", F.filter(nodes, keep).alias("nodes"))
+    return kept.select("doc_id", F.transform("nodes", leaf).cast(LEAF).alias("leaves"))
+
+
+def flatten_json(docs: DataFrame, text: str = "text", max_depth: int = 32, strip_headers: bool = True) -> DataFrame:
     """Records of JSON documents, friendly names, first (name, value) per document."""
+    filled = lambda p: (tx.strip(p["attribute"]) != "") & (tx.strip(p["value"]) != "")
     leaves = json_leaves(docs, text, max_depth).select(
-        "doc_id", F.col("ord").alias("pos"), tx.friendly_name("raw_attribute").alias("attribute"), "value", "raw_attribute")
-    if strip_headers:
-        return clean_records(leaves)
-    from attrloom.operators.records import dedupe_records
-    return dedupe_records(leaves.filter((tx.strip("attribute") != "") & (tx.strip("value") != "")))
+        "doc_id", F.filter("leaves", usable_pair if strip_headers else filled).alias("leaves"))
+    return explode_first(leaves, "leaves", name_value_key)
 
 
 def unparsable_json(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -86,37 +99,34 @@ def unparsable_json(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.filter(F.try_parse_json(tx.col(text)).isNull())
 
 
-def _xml_parser(id_field: str):
+def _xml_parser():
     # Nested on purpose: shipped by value, so executors need no copy of this package.
     def parse(batches: Iterator) -> Iterator:
         import xml.etree.ElementTree as ET
 
         import pandas as pd
 
-        for batch in batches:
-            out: dict[str, list] = {id_field: [], "pos": [], "raw_attribute": [], "value": [], "error": []}
+        def leaves(text):
+            root = ET.fromstring(text or "")
+            found, stack = [], [(root, root.tag)]
+            while stack:
+                node, path = stack.pop()
+                found += [{"raw_attribute": f"{path}.{key}", "value": value} for key, value in node.attrib.items()]
+                if node.text and node.text.strip():
+                    found.append({"raw_attribute": path, "value": node.text.strip()})
+                stack.extend((child, f"{path}.{child.tag}") for child in reversed(list(node)))
+            return found
 
-            def emit(doc, pos, path, value, error=None):
-                for name, item in zip(out, (doc, pos, path, value, error)):
-                    out[name].append(item)
-
-            for doc, text in zip(batch[id_field], batch["text"]):
+        for batch in batches:
+            parsed, errors = [], []
+            for text in batch["text"]:
                 try:
-                    root = ET.fromstring(text or "")
+                    parsed.append(leaves(text))
+                    errors.append(None)
                 except ET.ParseError as problem:
-                    emit(doc, 0, None, None, str(problem))
-                    continue
-                pos, stack = 0, [(root, root.tag)]
-                while stack:
-                    node, path = stack.pop()
-                    found = [(f"{path}.{key}", value) for key, value in node.attrib.items()]
-                    if node.text and node.text.strip():
-                        found.append((path, node.text.strip()))
-                    for leaf_path, value in found:
-                        emit(doc, pos, leaf_path, value)
-                        pos += 1
-                    stack.extend((child, f"{path}.{child.tag}") for child in reversed(list(node)))
-            yield pd.DataFrame(out)
+                    parsed.append([])
+                    errors.append(str(problem))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "leaves": parsed, "error": errors})
 
     return parse
 
@@ -129,15 +139,16 @@ def xml_leaves(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     slim = docs.select("doc_id", tx.col(text).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, pos bigint, raw_attribute string, value string, error string"
-    return slim.mapInPandas(_xml_parser("doc_id"), schema)
+    schema = f"doc_id {id_type}, leaves array<struct<raw_attribute:string,value:string>>, error string"
+    return slim.mapInPandas(_xml_parser(), schema)
 
 
 def flatten_xml(docs: DataFrame, text: str = "text") -> DataFrame:
     """Records of XML documents, friendly names, first (name, value) per document."""
-    leaves = xml_leaves(docs, text).filter(F.col("error").isNull()).select(
-        "doc_id", "pos", tx.friendly_name("raw_attribute").alias("attribute"), "value", "raw_attribute")
-    return clean_records(leaves)
+    named = F.transform("leaves", lambda n: F.struct(
+        tx.friendly_name(n["raw_attribute"]).alias("attribute"), n["value"].alias("value"), n["raw_attribute"].alias("raw_attribute")))
+    leaves = xml_leaves(docs, text).filter(F.col("error").isNull()).select("doc_id", named.cast(LEAF).alias("leaves"))
+    return explode_first(leaves.withColumn("leaves", F.filter("leaves", usable_pair)), "leaves", name_value_key)
 
 
 def unparsable_xml(docs: DataFrame, text: str = "text") -> DataFrame:

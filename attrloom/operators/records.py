@@ -39,6 +39,31 @@ def usable(df: DataFrame) -> DataFrame:
     return df.filter((a != "") & (v != "") & ~tx.is_header_row("attribute", "value") & ~tx.is_numeric_only(a))
 
 
+def usable_pair(p: Column) -> Column:
+    """``usable`` for a struct with an attribute and a value."""
+    a, v = tx.strip(p["attribute"]), tx.strip(p["value"])
+    return (a != "") & (v != "") & ~tx.is_header_row(a, v) & ~tx.is_numeric_only(a)
+
+
+def name_value_key(p: Column) -> Column:
+    """E8 key of a struct: lower-cased name and value."""
+    return F.concat(F.lower(tx.strip(p["attribute"])), F.lit("\0"), tx.strip(p["value"]))
+
+
+def explode_first(docs: DataFrame, items: str, key) -> DataFrame:
+    """E8, T10 for documents held in one row: the first item of every key as a row.
+
+    Duplicates go before the items leave the row, so nothing is shuffled. ``pos`` is the index in the
+    array; the fields of the items become columns.
+    """
+    keyed = docs.withColumn("_keys", F.transform(items, key))
+    kept = F.transform(F.array_distinct("_keys"), lambda k: F.array_position(F.col("_keys"), k).cast("int"))
+    out = tx.explode_costly(keyed.withColumn("_kept", kept), "_kept", "_at")
+    rest = [c for c in docs.columns if c != items]
+    picked = out.select(*rest, (F.col("_at") - 1).cast("bigint").alias("pos"), F.get(F.col(items), F.col("_at") - 1).alias("_item"))
+    return picked.select(*rest, "pos", "_item.*")
+
+
 def dedupe_records(df: DataFrame, scope: list[str] | None = None, pos: str = "pos",
                    ignore_value_case: bool = False, also: list[str] | None = None) -> DataFrame:
     """The first record per (scope, lower-cased name, value).
