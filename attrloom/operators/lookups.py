@@ -13,7 +13,7 @@ SPREAD = 4096
 
 # A stored table is broadcast up to this many rows and characters.
 BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64_000_000
+BROADCAST_CHARS = 64_000_000
 
 
 def _hashable(df: DataFrame) -> list[Column]:
@@ -21,12 +21,13 @@ def _hashable(df: DataFrame) -> list[Column]:
     return [F.col(f"`{name}`") for name in plain]
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_chars: int | None = None) -> bool:
     """Whether a stored table is small enough to send to every executor, by its real row count and
     text size."""
     size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("chars")
     got = df.agg(F.count("*").alias("rows"), size).first()
-    return got["rows"] <= max_rows and (got["chars"] or 0) <= max_bytes
+    return (got["rows"] <= (BROADCAST_ROWS if max_rows is None else max_rows)
+            and (got["chars"] or 0) <= (BROADCAST_CHARS if max_chars is None else max_chars))
 
 
 def join_per_key(big: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:

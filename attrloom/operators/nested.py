@@ -74,14 +74,17 @@ def json_leaves(docs: DataFrame, text: str = "text", max_depth: int = 32) -> Dat
         F.exists(nodes, lambda n: n["open"]), F.flatten(F.transform(nodes, _open_node))).otherwise(nodes)
     nodes = F.aggregate(F.sequence(F.lit(0), F.lit(max_depth)), root, step)
 
+    def unopened(n: Column) -> Column:
+        return n["open"] & (F.size(_children(n["v"])) > 0)
+
     def keep(n: Column) -> Column:
         kind = F.schema_of_variant(n["v"])
-        return n["keyed"] & (n["open"] | ~(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        return (n["keyed"] & ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))) | unopened(n)
 
     too_deep = F.raise_error(F.lit("JSON document deeper than max_depth")).cast("string")
     leaf = lambda n: F.struct(
         tx.friendly_name(n["path"]).alias("attribute"),
-        F.when(n["open"], too_deep).otherwise(scalar_text(n["v"])).alias("value"), n["path"].alias("raw_attribute"))
+        F.when(unopened(n), too_deep).otherwise(scalar_text(n["v"])).alias("value"), n["path"].alias("raw_attribute"))
     kept = parsed.select("doc_id", F.filter(nodes, keep).alias("nodes"))
     return kept.select("doc_id", F.transform("nodes", leaf).cast(LEAF).alias("leaves"))
 
