@@ -95,8 +95,8 @@ def fuzzy_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFr
     blocks = tx.explode_costly(query.withColumn("_prefix", prefix), "_prefix", "block").select("text", "q_len", "block")
 
     pairs = blocks.join(dictionary.side(dictionary.fuzzy_index(cut)), ["q_len", "block"]).select("text", "var_no").distinct()
-    scored = (pairs.join(dictionary.side(dictionary.fuzzy_texts.drop("block_tokens")), "var_no")
-              .withColumn("q_cs", sim.chars(sim.sorted_words("text"))).withColumn("q_len", F.size("q_cs")))
+    spelled = pairs.withColumn("q_cs", sim.chars(sim.sorted_words("text"))).withColumn("q_len", F.size("q_cs"))
+    scored = spelled.join(dictionary.side(dictionary.fuzzy_texts.drop("block_tokens")), "var_no")
     lcs = F.when(F.col("masks").isNotNull(), sim.lcs_by_masks("q_cs", "masks", "len")).otherwise(
         sim.lcs_by_rows("q_cs", "cs"))
     return (scored.withColumn("score", sim.ratio(lcs, "q_len", "len")).filter(F.col("score") >= cut)

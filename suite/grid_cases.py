@@ -11,7 +11,7 @@ from attrloom.plans import documents as dc
 from attrloom.session import scratch_path
 from attrloom.sources import files
 from suite import sqlparts as q
-from suite.registry import Tables, case
+from suite.registry import Tables, case, order_records
 
 # ------------------------------------------------------------------ DuckDB restatements on grids
 
@@ -350,10 +350,7 @@ def n03b(t: Tables):
 
 @case("q13_unpivot_mode", f"SELECT doc_id, pos, attribute, value FROM ({q.order_records(q.DUCK)}) t")
 def q13(t: Tables):
-    money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    return rc.unpivot_table(t.orders, "o_orderkey", {
-        "o_orderkey": F.col("o_orderkey"), "o_custkey": F.col("o_custkey"), "o_orderstatus": F.col("o_orderstatus"),
-        "o_totalprice": money("o_totalprice"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority": F.col("o_orderpriority")})
+    return order_records(t)
 
 
 @case("n03_narrative_csv_documents")

@@ -11,7 +11,7 @@ from attrloom.plans import report as rp
 from attrloom.plans.normalize import match_records, normalize_records
 from attrloom.sources.dictionary import seed_dictionary
 from suite import sqlparts as q
-from suite.registry import Tables, case
+from suite.registry import Tables, case, order_records
 
 SEED = q.dictionary_ctes(q.seed_entries())
 NAMES = q.names_ctes(q.order_names(q.DUCK))
@@ -140,7 +140,7 @@ def m10(t: Tables):
     WITH {q.cascade_ctes(q.order_records(q.DUCK))}
     SELECT doc_id, pos, raw_attr, canonical_attr, match_type FROM matched""")
 def m11(t: Tables):
-    records = t.sql(q.order_records(q.SPARK))
+    records = order_records(t)
     return match_records(records, seed_dictionary(t.spark)).select("doc_id", "pos", "raw_attr", "canonical_attr", "match_type")
 
 
@@ -262,6 +262,6 @@ def a12(t: Tables):
     SELECT raw_attr, canonical_attr, match_type, count(*) AS n, count(DISTINCT value) AS n_values FROM matched GROUP BY 1, 2, 3""")
 def flagship(t: Tables):
     """Unpivot the orders, map every column name, accept by value shape, and report the mapping."""
-    matched = match_records(t.sql(q.order_records(q.SPARK)), seed_dictionary(t.spark))
+    matched = match_records(order_records(t), seed_dictionary(t.spark))
     return matched.groupBy("raw_attr", "canonical_attr", "match_type").agg(
         F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attrloom.operators.records import unpivot_table
 from attrloom.session import configure
 from attrloom.sources.tables import read_table
 
@@ -34,6 +36,14 @@ class Tables:
         return self.spark.sql(text, **used, **frames)
 
 
+def order_records(t: Tables) -> DataFrame:
+    """Orders unpivoted to records ``(doc_id, pos, attribute, value)`` in one scan."""
+    return unpivot_table(t.orders, "o_orderkey", {
+        "o_orderkey": F.col("o_orderkey"), "o_custkey": F.col("o_custkey"), "o_orderstatus": F.col("o_orderstatus"),
+        "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "o_orderpriority": F.col("o_orderpriority")})
+
+
 def case(name: str, oracle: str | None = None):
     """Register a query; the function gets a ``Tables``."""
     def register(fn: Callable[[Tables], DataFrame]):

@@ -97,7 +97,7 @@ def order_names(d: Dialect) -> str:
 
 
 def order_records(d: Dialect) -> str:
-    """Orders unpivoted: one record per column, names without the column prefix."""
+    """Orders unpivoted for the oracles: one record per column, names without the column prefix."""
     cells = [("orderkey", d.text("o_orderkey")), ("custkey", d.text("o_custkey")), ("orderstatus", "o_orderstatus"),
              ("totalprice", d.money("o_totalprice")), ("orderdate", d.day("o_orderdate")), ("orderpriority", "o_orderpriority")]
     parts = [f"SELECT o_orderkey AS doc_id, cast({i} AS bigint) AS pos, {lit(a)} AS attribute, {v} AS value FROM {d.table('orders')}"

@@ -8,7 +8,7 @@ from attrloom.functions import shapes as sh
 from attrloom.functions import text as tx
 from attrloom.sources.dictionary import dictionary_from
 from suite import sqlparts as q
-from suite.registry import Tables, case
+from suite.registry import Tables, case, order_records
 
 # Cells of many shapes, derived from every document row.
 def _cells(d: q.Dialect) -> str:
@@ -163,7 +163,7 @@ for _no, _kind in enumerate(["date", "phone", "email", "amount", "id"], start=1)
         is_kind = sh.SHAPES[kind]
         lines = tx.explode_costly(t.documents.select("source", "text"), tx.lines("text"), "v").select(
             "source", F.lit("document").alias("k"), "v")
-        values = t.sql(q.order_records(q.SPARK)).select(F.col("attribute").alias("source"), F.lit("order").alias("k"), tx.strip("value").alias("v"))
+        values = order_records(t).select(F.col("attribute").alias("source"), F.lit("order").alias("k"), tx.strip("value").alias("v"))
         names = t.sql(q.order_names(q.SPARK)).select(F.lit("note").alias("source"), F.lit("order name").alias("k"), tx.strip("value").alias("v"))
         return lines.union(values).union(names).groupBy("source", "k").agg(
             F.count("*").alias("n_lines"), F.count_if(is_kind("v")).alias("hits"))
