@@ -24,6 +24,8 @@ FUZZY_GAP = 10.0
 SEMANTIC_GAP = 0.10
 SYNONYM_CONFIDENCE = 0.95
 
+FIXED_POINT = float(2**52)
+
 CANDIDATE = "struct<canonical:string,guard:string,match_type:string,confidence:double,variation:string>"
 TIERS = ["exact", "prefix", "abbrev", "fuzzy_spaced", "fuzzy_expanded", "semantic_spaced", "semantic_expanded"]
 
@@ -116,18 +118,13 @@ def tfidf_scores(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Cosine of every (text, corpus spelling) pair that shares an n-gram: a sparse dot product as an
     equi-join on the n-gram.
 
-    The one shuffle groups a text's known n-grams; the sums per (text, spelling) reuse its layout.
+    The sums reuse the layout of the text vectors, so they need no shuffle of their own. They add
+    whole numbers of 2**-52, which makes them the same in any order.
     """
-    grams = tx.explode_costly(texts.select("text", sim.ngrams("text").alias("all")), F.array_distinct("all"), "gram")
-    tf = F.size(F.filter("all", lambda g: g == F.col("gram")))
-    raw = grams.join(dictionary.side(dictionary.gram_idf), "gram").select(
-        "text", F.struct("gram", (tf * F.col("idf")).alias("w")).alias("g"))
-    vectors = raw.groupBy("text").agg(F.collect_list("g").alias("gs"))
-    length = F.sqrt(F.aggregate("gs", F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
-    unit = tx.explode_costly(vectors.withColumn("norm", length), "gs", "g")
-    hits = unit.select("text", "g.gram", (F.col("g.w") / F.col("norm")).alias("w")).join(
-        dictionary.side(dictionary.gram_weights), "gram")
-    return hits.groupBy("text", "var_no").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    query = dictionary.unit_vectors(texts, "text", "text").withColumnRenamed("weight", "w")
+    hits = query.join(dictionary.side(dictionary.gram_weights), "gram")
+    units = F.round(F.col("w") * F.col("weight") * F.lit(FIXED_POINT)).cast("bigint")
+    return hits.groupBy("text", "var_no").agg((F.sum(units) / F.lit(FIXED_POINT)).alias("score"))
 
 
 def tfidf_match(texts: DataFrame, dictionary: Dictionary, threshold: float = SEMANTIC_THRESHOLD,

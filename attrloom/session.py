@@ -27,9 +27,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, or an own temporary one when none is configured."""
+    """The shared scratch folder named in ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder of its own. A cluster must name one, since
+    executors on other machines read what is written there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="attrloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

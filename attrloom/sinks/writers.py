@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
+from attrloom.operators.lookups import join_per_key
 
 MAX_EXTRA_COLUMNS = 10_000
 CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -71,34 +72,51 @@ def xml_tag(part: Column | str) -> Column:
     return F.when(safe.rlike("^[a-z_]"), safe).otherwise(F.concat(F.lit("_"), safe))
 
 
-def xml_documents(records: DataFrame, pos: str = "pos") -> DataFrame:
-    """K4: one XML text per document; dots in a name nest elements.
+XML_HEAD = "<?xml version='1.0' encoding='utf-8'?>\n<normalized_records>"
+XML_FOOT = "</normalized_records>"
+
 
-    Records under the same parents are written together, at the place of the first of them.
+def xml_pieces(records: DataFrame, pos: str = "pos") -> DataFrame:
+    """K4 as ordered pieces ``(doc_id, place, piece)``; dots in a name nest elements.
+
+    Records under the same parents stand together, at the place of the first of them. Head, foot and
+    the tags around a group are pieces of their own, so no document is gathered anywhere.
     """
-    named = records.select("doc_id", pos, tx.strip("attribute").alias("_a"), tx.strip(F.coalesce("value", F.lit(""))).alias("_v"))
+    place = lambda part, group, step, no: F.struct(
+        F.lit(part).alias("part"), group.cast("bigint").alias("group"), F.lit(step).alias("step"), no.cast("bigint").alias("no")).alias("place")
+    zero = F.lit(0)
+    named = records.select("doc_id", F.col(pos).alias("pos"), tx.strip("attribute").alias("_a"), tx.strip(F.coalesce("value", F.lit(""))).alias("_v"))
     named = named.filter(F.col("_a") != "").withColumn("_tags", F.transform(F.split("_a", r"\."), xml_tag))
-    named = named.withColumn("_parents", F.slice("_tags", F.lit(1), F.size("_tags") - 1))
     leaf = F.element_at("_tags", -1)
     element = F.concat(F.lit("<"), leaf, F.lit(">"), _escape(F.col("_v")), F.lit("</"), leaf, F.lit(">"))
-    nested = F.size("_parents") > 0
-    group_key = F.when(nested, F.array_join("_parents", ".")).otherwise(F.concat(F.lit("#"), F.col(pos).cast("string")))
-    groups = named.groupBy("doc_id", group_key.alias("_g"), "_parents").agg(
-        F.min(pos).alias("_first"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), element.alias("e")))),
-                                 lambda r: r["e"]), "").alias("_inner"))
-    opened = F.array_join(F.transform("_parents", lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "")
-    closed = F.array_join(F.transform(F.reverse("_parents"), lambda t: F.concat(F.lit("</"), t, F.lit(">"))), "")
-    wrapped = groups.withColumn("_xml", F.concat(opened, "_inner", closed))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_xml"))), lambda r: r["_xml"]), "")
-    docs = wrapped.groupBy("doc_id").agg(body.alias("_body"))
-    head = "<?xml version='1.0' encoding='utf-8'?>\n<normalized_records>"
-    return docs.select("doc_id", F.concat(F.lit(head), "_body", F.lit("</normalized_records>")).alias("xml"))
+    rows = named.select("doc_id", "pos", element.alias("piece"), F.slice("_tags", F.lit(1), F.size("_tags") - 1).alias("parents"))
+
+    flat = rows.filter(F.size("parents") == 0).select("doc_id", place(1, F.col("pos"), 1, zero), "piece")
+    inner = rows.filter(F.size("parents") > 0)
+    groups = inner.groupBy("doc_id", "parents").agg(F.min("pos").alias("first"), F.count("*").alias("_n"))
+    members = join_per_key(inner, groups, ["doc_id", "parents"], "_n").select("doc_id", place(1, F.col("first"), 1, F.col("pos")), "piece")
+    tags = lambda c, mark: F.array_join(F.transform(c, lambda t: F.concat(F.lit(mark), t, F.lit(">"))), "")
+    opened = groups.select("doc_id", place(1, F.col("first"), 0, zero), tags(F.col("parents"), "<").alias("piece"))
+    closed = groups.select("doc_id", place(1, F.col("first"), 2, zero), tags(F.reverse("parents"), "</").alias("piece"))
+    docs = rows.select("doc_id").distinct()
+    head = docs.select("doc_id", place(0, zero, 0, zero), F.lit(XML_HEAD).alias("piece"))
+    foot = docs.select("doc_id", place(2, zero, 0, zero), F.lit(XML_FOOT).alias("piece"))
+    return head.union(flat).union(opened).union(members).union(closed).union(foot)
+
+
+def xml_documents(records: DataFrame, pos: str = "pos") -> DataFrame:
+    """K4: one XML text per document, for documents that fit a cell."""
+    whole = F.array_sort(F.collect_list(F.struct("place", "piece")))
+    return xml_pieces(records, pos).groupBy("doc_id").agg(whole.alias("_p")).select(
+        "doc_id", F.array_join(F.transform("_p", lambda p: p["piece"]), "").alias("xml"))
 
 
 def write_xml(records: DataFrame, path: str) -> None:
-    """K4: the XML text of every document, one folder per document."""
-    xml_documents(records).select("doc_id", "xml").write.partitionBy("doc_id").text(path, lineSep="\n")
+    """K4 for documents of any size: one folder per document, whose files in name order are the XML
+    text. A range partitioning splits a large document between tasks at a piece."""
+    pieces = xml_pieces(records)
+    ordered = pieces.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    ordered.select("doc_id", "piece").write.partitionBy("doc_id").text(path)
 
 
 def sheet_name(c: Column | str) -> Column:

@@ -16,10 +16,10 @@ from attrloom.session import materialize
 
 SEED_PATH = str(Path(__file__).resolve().parent.parent / "data" / "seed_dictionary.json")
 
-# A lookup table is broadcast only when the dictionary behind it is at most this many texts; beyond
-# that the joins shuffle on their keys. At about 1 kB a text with all its index rows this stays near
-# 50 MB.
-BROADCAST_TEXTS = 50_000
+# A lookup table is broadcast only when the dictionary behind it has at most this many texts; beyond
+# that the joins shuffle on their keys. The largest table has about 50 short rows a text, so this
+# stays near 50 MB.
+BROADCAST_TEXTS = 10_000
 
 MAX_GRAMS = 10_000
 
@@ -113,16 +113,25 @@ class Dictionary:
         idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
         return materialize(kept.select("gram", "df", idf.alias("idf")), "dictionary-gram-idf")
 
+    def unit_vectors(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        """TF-IDF rows ``(key, gram, weight)`` of unit length; n-grams unknown to the corpus are left out.
+
+        The one shuffle groups the n-grams of a text. They are sorted before the length is summed, so
+        the weights do not depend on the order rows arrive in.
+        """
+        spelled = texts.select(key, sim.ngrams(text).alias("_all"))
+        grams = tx.explode_costly(spelled, F.array_distinct("_all"), "gram")
+        tf = F.size(F.filter("_all", lambda g: g == F.col("gram")))
+        raw = grams.join(self.side(self.gram_idf), "gram").select(key, F.struct("gram", (tf * F.col("idf")).alias("w")).alias("g"))
+        vectors = raw.groupBy(key).agg(F.array_sort(F.collect_list("g")).alias("gs"))
+        length = F.sqrt(F.aggregate("gs", F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
+        unit = tx.explode_costly(vectors.withColumn("norm", length), "gs", "g")
+        return unit.select(key, "g.gram", (F.col("g.w") / F.col("norm")).alias("weight"))
+
     @cached_property
     def gram_weights(self) -> DataFrame:
-        """Unit-length TF-IDF rows ``(var_no, gram, weight)``."""
-        grams = self.corpus.select("var_no", F.explode(sim.ngrams("form")).alias("gram"))
-        counted = grams.groupBy("var_no", "gram").agg(F.count("*").alias("tf"))
-        raw = counted.join(self.side(self.gram_idf), "gram").select(
-            "var_no", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-        length = raw.groupBy("var_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return materialize(raw.join(length, "var_no").select(
-            "var_no", "gram", (F.col("w") / F.col("norm")).alias("weight")), "dictionary-gram-weights")
+        """Unit-length TF-IDF rows ``(var_no, gram, weight)`` of the corpus."""
+        return materialize(self.unit_vectors(self.corpus, "var_no", "form"), "dictionary-gram-weights")
 
     def profile(self, sample: int = 5) -> DataFrame:
         """A10: entries in order with their first variations, and the number of entries."""

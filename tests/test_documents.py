@@ -139,6 +139,8 @@ def test_sinks(spark, matched, tmp_path):
     wr.write_json(matched, str(tmp_path / "json"))
     wr.write_xml(matched, str(tmp_path / "xml"))
     assert spark.read.json(str(tmp_path / "json")).count() == 6
+    written = "".join(f.read_text() for f in sorted((tmp_path / "xml" / "doc_id=1").glob("part-*")))
+    assert [e.text for e in ET.fromstring(written.split("\n", 1)[1])] == ["ORD-1", "q", "5", "x"]
 
 
 def test_xml_tags_and_nesting(spark):
