@@ -12,6 +12,7 @@ from attrloom.operators.matching import (
 )
 from attrloom.session import materialize
 from attrloom.sources.dictionary import Dictionary
+from attrloom.sources.tables import spread
 
 MATCH_COLUMNS = ["raw_attr", "canonical_attr", "match_type", "confidence", "matched_variation"]
 
@@ -22,8 +23,12 @@ def name_mapping(records: DataFrame, dictionary: Dictionary, name: str = "attrib
     Names repeat without bound while distinct names do not, so matching runs once per name here and
     is joined back per row. Writing it once cuts the lineage and makes its size known.
     """
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        stored = materialize(df, label)
+        return spread(stored, "text") if label == "texts" else stored
+
     names = materialize(name_texts(records.select(tx.strip(F.coalesce(name, F.lit(""))).alias(name)), name), "names")
-    return materialize(match_names(names, dictionary, keep=materialize, **options), "name-mapping")
+    return materialize(match_names(names, dictionary, keep=keep, **options), "name-mapping")
 
 
 def match_records(records: DataFrame, dictionary: Dictionary, name: str = "attribute", value: str = "value",

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, spread over the cores when its files give fewer read tasks than there are cores.
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """A file scan spread over the cores when its files give fewer read tasks than there are cores.
 
     The operators behind it are bound by CPU per row, so a small file with one row group must not pin
     them to one core. A table with enough splits is read as it is, without a shuffle.
     """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, spread over the cores when it is small."""
+    return spread(spark.read.parquet(path))
