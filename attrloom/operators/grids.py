@@ -166,7 +166,7 @@ def joined_text(lines: DataFrame, line: Column | str, order: list[str], keys: li
     keys = keys or ["doc_id"]
     kept = lines.select(*keys, *order, tx.col(line).alias("_line")).filter(tx.strip("_line") != "")
     first = order[:-1]
-    stretch = F.floor(F.col(order[-1]) / TEXT_BLOCK).alias("_stretch")
+    stretch = (F.col(order[-1]) - F.pmod(F.col(order[-1]), F.lit(TEXT_BLOCK))).alias("_stretch")
     gather = lambda by, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, what))), lambda s: s[what]), "\n")
     parts = kept.groupBy(*keys, *first, stretch).agg(gather([order[-1]], "_line").alias("_part"))
     whole = parts.groupBy(*keys).agg(gather([*first, "_stretch"], "_part").alias("text"))

@@ -60,7 +60,7 @@ def preview(records: DataFrame, pos: str = "pos") -> DataFrame:
     whole document. Needs a bigint ``pos`` unique in its document.
     """
     kept = records.filter((tx.strip("attribute") != "") | (tx.strip("value") != ""))
-    kept = kept.withColumn("_block", F.floor(F.col(pos) / SERIAL_BLOCK))
+    kept = kept.withColumn("_block", F.col(pos) - F.pmod(F.col(pos), F.lit(SERIAL_BLOCK)))
     sizes = kept.groupBy("doc_id", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
 from attrloom.operators.lookups import join_per_key
+from attrloom.session import materialize
 
 MAX_EXTRA_COLUMNS = 10_000
 CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -80,7 +81,8 @@ def xml_pieces(records: DataFrame, pos: str = "pos") -> DataFrame:
     """K4 as ordered pieces ``(doc_id, place, piece)``; dots in a name nest elements.
 
     Records under the same parents stand together, at the place of the first of them. Head, foot and
-    the tags around a group are pieces of their own, so no document is gathered anywhere.
+    the tags around a group are pieces of their own, so no document is gathered anywhere. The rendered
+    records are stored once, since every kind of piece reads them.
     """
     place = lambda part, group, step, no: F.struct(
         F.lit(part).alias("part"), group.cast("bigint").alias("group"), F.lit(step).alias("step"), no.cast("bigint").alias("no")).alias("place")
@@ -90,6 +92,7 @@ def xml_pieces(records: DataFrame, pos: str = "pos") -> DataFrame:
     leaf = F.element_at("_tags", -1)
     element = F.concat(F.lit("<"), leaf, F.lit(">"), _escape(F.col("_v")), F.lit("</"), leaf, F.lit(">"))
     rows = named.select("doc_id", "pos", element.alias("piece"), F.slice("_tags", F.lit(1), F.size("_tags") - 1).alias("parents"))
+    rows = materialize(rows, "xml-rows")
 
     flat = rows.filter(F.size("parents") == 0).select("doc_id", place(1, F.col("pos"), 1, zero), "piece")
     inner = rows.filter(F.size("parents") > 0)

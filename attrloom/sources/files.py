@@ -33,7 +33,8 @@ def csv_grid(spark: SparkSession, path: str | list[str], max_columns: int = 512,
     become empty, blank rows go, ``doc_id`` is the file.
 
     ``multi_line`` reads a file in one task, which quoted line breaks need. Without it large files
-    split; ``row_no`` then still orders the rows of a file, by byte offset of the split first.
+    split; ``row_no`` then still orders the rows of a file, by byte offset of the split first. A record
+    with more than ``max_columns`` fields fails the job instead of losing cells.
     """
     names = [f"c{i}" for i in range(max_columns)]
     schema = ", ".join(f"{n} string" for n in [*names, "_raw"])
@@ -42,7 +43,8 @@ def csv_grid(spark: SparkSession, path: str | list[str], max_columns: int = 512,
     width = F.coalesce(field_count(F.regexp_replace("_raw", r"[\r\n]+\z", "")), F.lit(max_columns))
     seq = F.monotonically_increasing_id()
     row_no = seq if multi_line else F.col("_metadata.file_block_start") * F.lit(1 << 16) + seq.bitwiseAND(F.lit((1 << 33) - 1))
-    cells = F.slice(F.array(*names), F.lit(1), F.least(width, F.lit(max_columns)))
+    too_wide = F.raise_error(F.lit("CSV record wider than max_columns")).cast("int")
+    cells = F.slice(F.array(*names), F.lit(1), F.when(width > max_columns, too_wide).otherwise(width))
     grid = raw.select(F.col("_metadata.file_path").alias("doc_id"), F.lit("").alias("sheet"), row_no.alias("row_no"),
                       F.transform(cells, lambda c: F.coalesce(tx.blank_na(c), F.lit(""))).alias("cells"))
     return grid.filter(has_content("cells"))

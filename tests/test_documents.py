@@ -83,6 +83,8 @@ def test_csv_files(spark, tmp_path):
     assert got == {"a.csv": [["Inv Code", "Item", "Grand, Sum"], ["INV-1", "two\nlines", "₹25"], ['q"x', "y", "z"]], "b.csv": [["k", "v"], ["x"]]}
     split = files.csv_grid(spark, str(tmp_path / "b.csv"), max_columns=8, multi_line=False)
     assert [r["cells"] for r in split.orderBy("row_no").collect()] == [["k", "v"], ["x"]]
+    with pytest.raises(Exception, match="max_columns"):
+        files.csv_grid(spark, str(tmp_path / "a.csv"), max_columns=2).collect()
 
 
 def test_text_documents_and_formats(spark, tmp_path):
