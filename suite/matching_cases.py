@@ -118,13 +118,13 @@ def m08(t: Tables):
 
 
 CASCADE = f"WITH {q.cascade_ctes(q.order_names(q.DUCK))}"
-COLUMNS = ["doc_id", "pos", "raw_attr", "canonical_attr", "match_type", F.round("confidence", 6).alias("confidence"), "matched_variation"]
 
 
 @case("m09_cascade", f"""{CASCADE}
     SELECT doc_id, pos, raw_attr, canonical_attr, match_type, round(confidence, 6) AS confidence, matched_variation FROM matched""")
 def m09(t: Tables):
-    return _matched(t).select(*COLUMNS)
+    return _matched(t).select("doc_id", "pos", "raw_attr", "canonical_attr", "match_type",
+                              F.round("confidence", 6).alias("confidence"), "matched_variation")
 
 
 @case("m10_match_labels", f"""{CASCADE}

@@ -1,6 +1,8 @@
 """A sample of the registered queries against their oracles on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -17,6 +19,13 @@ def test_every_query_has_an_oracle_but_the_listed():
     assert set(oracle_sql()) <= set(queries())
 
 
+def test_the_entry_loads_without_a_session():
+    code = "from __spark_entry__ import oracle_sql, queries; print(len(queries()), len(oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_oracle(spark, name):
     import duckdb
