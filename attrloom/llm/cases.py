@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from attrloom.llm import decontaminate
+from attrloom.llm import chat, decontaminate, packing, pii, token_counts
 
-QUERIES = {"op10_decontaminate": decontaminate.op10_decontaminate}
-ORACLES = {"op10_decontaminate": decontaminate.OP10_SQL}
+QUERIES = {
+    "op3_chat": chat.op3_chat,
+    "op7_packing": packing.op7_packing,
+    "op8_pii": pii.op8_pii,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+ORACLES = {"op3_chat": chat.OP3_SQL, "op10_decontaminate": decontaminate.OP10_SQL}

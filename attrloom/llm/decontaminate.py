@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrloom.llm.common import doc_texts, record_batch, row_blocks, sha256_hex, table
+from attrloom.llm.common import doc_texts, record_batch, row_blocks, table
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block; a larger benchmark becomes several blocks.
