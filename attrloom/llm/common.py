@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
                max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``max_bytes`` of ``column`` each; one row may be larger."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for row, n in enumerate(lengths):
             if row > start and held + n > max_bytes:
