@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attrloom.llm import chat, decontaminate, packing, pii, simhash, token_counts, toxicity
+from attrloom.llm import chat, decontaminate, packing, pii, simhash, sketch, token_counts, toxicity
 
 QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op6_fingerprint": sketch.op6_fingerprint,
     "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
     "op9_token_counts": token_counts.op9_token_counts,
