@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from attrloom.llm import bpe, chat, decontaminate, packing, pii, simhash, sketch, token_counts, toxicity
+from attrloom.llm import bpe, chat, decontaminate, packing, pii, simhash, sketch, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_chat": chat.op3_chat,
     "op4_toxicity": toxicity.op4_toxicity,
