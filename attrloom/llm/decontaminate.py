@@ -124,6 +124,47 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list:
     return [*blocks, context.broadcast(held)] if held else blocks
 
 
+class Scanner:
+    """Searches blocks of documents for the windows of every benchmark block."""
+
+    def __init__(self, blocks: list, window: int):
+        self.blocks, self.window = blocks, window
+        self.loaded: list[TestSuffixes] = []
+
+    def tests(self):
+        if len(self.blocks) > 1:  # one block in memory at a time
+            for block in self.blocks:
+                yield TestSuffixes(block.value, self.window)
+        elif self.blocks:
+            self.loaded = self.loaded or [TestSuffixes(self.blocks[0].value, self.window)]
+            yield self.loaded[0]
+
+    def scan(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+        """Per document: words, words inside a window occurrence, longest matches."""
+        texts = [words(x.as_buffer().to_pybytes()) if x.is_valid else [] for x in column.cast(pa.binary())]
+        counts = np.array([len(x) for x in texts], dtype=np.int64)
+        begin = np.cumsum(counts + 1) - counts - 1  # one unknown word between documents
+        total = int((counts + 1).sum())
+        hit, rows = np.zeros(total + 1, dtype=np.int64), []
+        for tests in self.tests():
+            sequence = np.zeros(total, dtype=np.uint32)
+            for at, parts in zip(begin, texts, strict=True):
+                sequence[at:at + len(parts)] = np.fromiter(map(tests.vocabulary.__getitem__, parts), np.uint32, len(parts))
+            found = tests.search(sequence)
+            if not len(found[0]):
+                continue
+            start, number, offset, length = longest(*found)
+            np.add.at(hit, start, 1)
+            np.add.at(hit, start + length, -1)
+            doc = np.searchsorted(begin, start, "right") - 1
+            rows += zip(doc.tolist(), tests.item_ids[number].tolist(), (start - begin[doc]).tolist(), offset.tolist(), length.tolist(), strict=True)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+        matches: list[list] = [[] for _ in texts]
+        for doc, item, at, offset, length in sorted(rows):
+            matches[doc].append({"item_id": item, "doc_start": at, "item_start": offset, "n_words": length})
+        return counts, covered[begin + counts] - covered[begin], matches
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
     """Per document: word count, words inside any window occurrence, and the longest verbatim matches.
 
@@ -132,50 +173,25 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     """
     blocks = benchmark_blocks(benchmark, block_bytes)
 
-    def scan(batches):
-        loaded: list[TestSuffixes] = []
+    def run(batches):
+        scanner = Scanner(blocks, window)
         for batch in row_blocks(batches):
-            texts = [words(x.as_buffer().to_pybytes()) if x.is_valid else [] for x in batch.column(1).cast(pa.binary())]
-            counts = np.array([len(x) for x in texts], dtype=np.int64)
-            begin = np.cumsum(counts + 1) - counts - 1  # one unknown word between documents
-            total = int((counts + 1).sum())
-            hit = np.zeros(total + 1, dtype=np.int64)
-            rows = []
-            for k, block in enumerate(blocks):
-                if len(blocks) == 1:
-                    loaded = loaded or [TestSuffixes(block.value, window)]
-                    tests = loaded[0]
-                else:
-                    tests = TestSuffixes(block.value, window)
-                sequence = np.zeros(total, dtype=np.uint32)
-                for at, parts in zip(begin, texts, strict=True):
-                    sequence[at:at + len(parts)] = np.fromiter(map(tests.vocabulary.__getitem__, parts), np.uint32, len(parts))
-                found = tests.search(sequence)
-                if not len(found[0]):
-                    continue
-                start, number, offset, length = longest(*found)
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + length, -1)
-                doc = np.searchsorted(begin, start, "right") - 1
-                rows += zip(doc.tolist(), tests.item_ids[number].tolist(), (start - begin[doc]).tolist(), offset.tolist(), length.tolist(), strict=True)
-            covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-            n_hit = covered[begin + counts] - covered[begin]
-            matches: list[list] = [[] for _ in texts]
-            for doc, item, at, offset, length in sorted(rows):
-                matches[doc].append({"item_id": item, "doc_start": at, "item_start": offset, "n_words": length})
-            yield record_batch(SCHEMA, [batch.column(0), counts, n_hit, matches])
-
-    return doc_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, DDL)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window, with all their columns.
-
-    The verdicts (one narrow row a document) join back on ``doc_id``; rows with a null id are judged by
-    the same rule through a null-safe join.
-    """
-    bad = find_matches(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+            yield record_batch(SCHEMA, [batch.column(0), *scanner.scan(batch.column(1))])
+
+    return doc_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DDL)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BLOCK,
+                  column: str = "text") -> DataFrame:
+    """The documents that hold no benchmark window, with all their columns. Narrow."""
+    blocks, place = benchmark_blocks(benchmark, block_bytes), docs.columns.index(column)
+
+    def run(batches):
+        scanner = Scanner(blocks, window)
+        for batch in row_blocks(batches, column):
+            yield batch.filter(pa.array(scanner.scan(batch.column(place))[1] == 0))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_decontaminate(spark, folder: str) -> DataFrame:

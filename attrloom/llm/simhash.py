@@ -63,14 +63,20 @@ def fingerprint(text: bytes, shingle: int, n_words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1) -> DataFrame:
-    """``doc_id`` and the fingerprint bytes of every whole text. Narrow."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+    """``doc_id``, a hash of the row's id and text, and the fingerprint bytes of the whole text. Narrow."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary())])
 
     def run(batches):
         for batch in row_blocks(batches):
-            yield record_batch(schema, [batch.column(0), [fingerprint(x.as_buffer().to_pybytes(), shingle, n_words) for x in batch.column(1).cast(pa.binary())]])
+            yield record_batch(schema, [batch.column(0), batch.column(1),
+                                        [fingerprint(x.as_buffer().to_pybytes(), shingle, n_words) for x in batch.column(2).cast(pa.binary())]])
 
-    return doc_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary")
+    plain = doc_texts(docs).select(F.col("doc_id").cast("long"), row_hash().alias("row"), "text")
+    return plain.mapInArrow(run, "doc_id long, row long, fp binary")
+
+
+def row_hash():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
 def distance(a, b) -> np.ndarray:
@@ -252,12 +258,12 @@ def links(classes: DataFrame, n_bits: int, blocks: int, radius: int, near: int |
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, blocks: int = 2, radius: int = 3, near: int | None = None) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest doc_id reachable over links of at most ``radius`` bits)."""
+    """``doc_id``, ``row``, ``fp`` and ``component_id`` (the smallest doc_id reachable over links of at most ``radius`` bits)."""
     marked = cut(fingerprints(docs, shingle, n_words))
     classes = cut(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id")).select("id", "fp"))
     found = components(links(classes, 64 * n_words, blocks, radius, near))
     named = classes.join(found, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "row", "fp", "component_id")
 
 
 #: For corpus clean-up: five-word shingles and 256 bits, of which about 39 differ at a shingle similarity of 0.8.
@@ -266,18 +272,17 @@ STAGE = {"shingle": 5, "n_words": 4, "blocks": 16, "radius": 48, "near": 1}
 
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without all but the smallest ``doc_id`` of each group of near-duplicates; of several rows with that
-    id one stays (the least by text). Rows without an id stay."""
-    settings = settings or STAGE
-    later = near_duplicates(docs, **settings).filter("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    kept = docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
-    if repeated.isEmpty():
+    """One row of each group of near-duplicates, with all its columns: the one of the smallest ``doc_id`` (a null id
+    only if the group has no other), of equal ids the one with the smaller row hash, of equal rows one."""
+    found = cut(near_duplicates(docs, **(settings or STAGE)).select("doc_id", "row", "component_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row"))
+    best = found.groupBy("component_id").agg(F.min(rank).alias("best"))
+    later = (found.join(best, "component_id").filter(F.col("row") != F.col("best.row"))
+             .select(F.col("row").alias("_row"), F.col("doc_id").alias("_id")).distinct())
+    kept = docs.join(later, (row_hash() == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    if found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
         return kept
-    names = [c for c in docs.columns if c != "doc_id"]
-    first = kept.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in names if c != "text"])).alias("_row"))
-    single = first.filter("doc_id IS NOT NULL").select("doc_id", *[F.col("_row")[c].alias(c) for c in names])
-    return single.unionByName(kept.filter("doc_id IS NULL")).select(*docs.columns)
+    return kept.withColumn("_row", row_hash()).dropDuplicates(["doc_id", "_row"]).drop("_row")
 
 
 def op5_simhash(spark, folder: str) -> DataFrame:
