@@ -99,7 +99,7 @@ def proposals(text: str, areas: list[tuple[int, int]]) -> list[tuple[int, int, i
         found |= {(0, *m.span()) for m in SPELLED.finditer(text)}
     for a, b in areas:
         found |= {(1, *m.span()) for m in DOTTED.finditer(text, a, b)}
-        for m in GROUPS.finditer(text, a, b):
+        for m in GROUPS.finditer(text, a - (text[a - 1:a] == "("), b):
             found.add((2 if count_digits(m[0]) >= 13 else 3, *m.span()))
         for m in RUN.finditer(text, a, b):
             found.add((2 if m.end() - m.start() >= 13 else 3, *m.span()))
