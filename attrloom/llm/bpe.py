@@ -3,11 +3,11 @@
 A word (one match of the split pattern) is an array of bytes, written as one Latin-1 character each. A fold of
 Spark's higher-order functions merges, as long as there is one, the leftmost adjacent pair whose joined bytes
 have the lowest rank. Ranks are a literal in the plan: an array of small maps, addressed by the hash of the
-bytes. The distinct words are folded once and for all as far as a table of fixed size holds them (those in the
-most frequent blank-separated pieces); what is left in a document is folded in its row. Nothing of a document is shuffled.
-
-A word of more than ``LONG_WORD`` bytes would take quadratic time in the fold; the tokenizer library's own
-linear-logarithmic merge takes those words, with the same result.
+bytes. The fold runs once per distinct word, not per occurrence: over the most frequent blank-separated pieces
+of all texts, as far as a table of fixed size holds them. The table is broadcast and documents stay where they
+are read. Pieces outside the table (rare ones, one occurrence in thirteen on the check tables, and pieces of
+any length) get the same ids from the tokenizer library's merge: folded in their rows they took four fifths of
+the time, see the README.
 
 Defined results: null and empty texts have no tokens; repeated documents each get their row; an empty table
 gives no rows; extra columns are ignored. White space is the Unicode property, as in the tokenizer library;
@@ -30,8 +30,6 @@ from attrloom.llm.common import doc_texts, record_batch, row_blocks, table
 from attrloom.llm.components import cut
 from attrloom.llm.encoder import RANKS, encoder, pieces, ranks
 
-#: Bytes from which on a word is merged by the library.
-LONG_WORD = 256
 #: Pieces folded once for all documents, at most, and the characters of the longest of them.
 KNOWN_PIECES, KNOWN_CHARS = 400_000, 48
 BUCKETS = 1 << 14
@@ -125,51 +123,23 @@ def encode(docs: DataFrame, fold: Fold | None = None) -> DataFrame:
     fold = fold or Fold()
     shared = docs.sparkSession.sparkContext.broadcast(known_pieces(docs, fold))
     path = fold.path
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def look_up(batches):
-        known, library = shared.value, encoder(path).library
+        known, coder = shared.value, encoder(path)
         for batch in row_blocks(batches):
-            values, inner, outer, asked, asked_at, total = [], [0], [0], [], [0], 0
+            values, ends = [], [0]
             for text in batch.column(1).to_pylist():
                 first, *rest = pieces(text)
-                asked.append(first)
-                inner.append(total)
-                run: list[bytes] = []
+                found = [coder.piece(first)]
                 for piece in rest:
-                    ids = known.get(piece)
-                    if ids is None:
-                        if run:
-                            values.append(b"".join(run))
-                            total += len(values[-1]) >> 2
-                            run = []
-                        inner.append(total)
-                        asked.append(" " + piece)
-                    else:
-                        run.append(ids)
-                if run:
-                    values.append(b"".join(run))
-                    total += len(values[-1]) >> 2
-                inner.append(total)
-                outer.append(len(inner) - 1)
-                asked_at.append(len(asked))
-            flat = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(values))])
-            runs = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), flat))
-            long = {k: library.encode_ordinary(p) for k, p in enumerate(asked) if len(p) * 4 > LONG_WORD and longest_match(library, p) > LONG_WORD}
-            yield record_batch(schema, [batch.column(0), runs,
-                                        pa.ListArray.from_arrays(pa.array(asked_at, pa.int32()), pa.array([None if k in long else p for k, p in enumerate(asked)], pa.string())),
-                                        pa.ListArray.from_arrays(pa.array(asked_at, pa.int32()), pa.array([long.get(k) for k in range(len(asked))], pa.list_(pa.int32())))])
-
-    schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.list_(pa.int32()))), ("asked", pa.list_(pa.string())), ("long", pa.list_(pa.list_(pa.int32())))])
-    looked = doc_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        look_up, "doc_id long, runs array<array<int>>, asked array<string>, long array<array<int>>")
-    filled = F.transform("asked", lambda p, k: F.concat(F.get("runs", k), F.when(p.isNull(), F.get("long", k)).otherwise(fold.piece(p))))
-    return looked.select("doc_id", F.concat(F.flatten(filled), F.get("runs", F.size("asked"))).alias("ids"))
-
-
-def longest_match(library, text: str) -> int:
-    """Bytes of the longest match of the split pattern in ``text``."""
-    import regex
-    return max((len(m.encode()) for m in regex.findall(library._pat_str, text)), default=0)
+                    found.append(known.get(piece) or coder.behind_blank(piece))
+                values.append(b"".join(found))
+                ends.append(ends[-1] + len(values[-1]) // 4)
+            flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(values))])
+            yield record_batch(schema, [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)])
+
+    return doc_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(look_up, "doc_id long, ids array<int>")
 
 
 def op2_bpe(spark, folder: str) -> DataFrame:

@@ -41,21 +41,24 @@ class Encoder:
             self.sizes[rank] = len(token)
         self.memory: dict[str, bytes] = {}
 
-    def _ids(self, piece: str) -> bytes:
-        return np.array(self.library.encode_ordinary(piece), dtype="<u2" if len(self.sizes) <= 1 << 16 else "<u4").tobytes()
+    def piece(self, text: str) -> bytes:
+        """Ids of a stretch of text as 32-bit integers."""
+        return np.array(self.library.encode_ordinary(text), dtype="<i4").tobytes()
+
+    def behind_blank(self, piece: str) -> bytes:
+        """Ids of a piece that has lost its leading blank; remembered."""
+        ids = self.memory.get(piece)
+        if ids is None:
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            ids = self.memory[piece] = self.piece(" " + piece)
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """The token ids of ``text``, without special tokens."""
         first, *rest = pieces(text)
-        memory, out = self.memory, [self._ids(first)]
-        for piece in rest:
-            ids = memory.get(piece)
-            if ids is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                ids = memory[piece] = self._ids(" " + piece)
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype="<u2" if len(self.sizes) <= 1 << 16 else "<u4")
+        known, other = self.memory.get, self.behind_blank
+        return np.frombuffer(b"".join([self.piece(first), *[known(p) or other(p) for p in rest]]), dtype="<i4")
 
 
 _ENCODERS: dict[str | None, Encoder] = {}

@@ -115,10 +115,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, row_tokens: int = ROW_T
     def run(batches):
         from pyspark import TaskContext
         coder, part, block = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        dtype = "<u2" if len(coder.sizes) <= 1 << 16 else "<u4"
         pieces, held = [], 0
         for batch in row_blocks(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.encode(text)
+                ids = coder.encode(text).astype(dtype)
                 pieces += split(doc, ids, row_tokens)
                 held += len(ids)
                 if held >= block_tokens:

@@ -100,9 +100,15 @@ def test_byte_pairs(docs, texts):
     assert sorted(((r.doc_id, list(r.ids), bytes(r.back)) for r in got), key=str) == sorted(want, key=str)
 
 
-def test_byte_pairs_without_known_pieces_and_long_words(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "known_pieces", lambda *_: {})
-    monkeypatch.setattr(bpe, "LONG_WORD", 40)
+def test_the_fold_equals_the_library(spark, texts):
+    words = sorted({p for _, t in texts for p in pieces(t or "")} | {"  x\u2003\u3000y", "\u1680z", "don't", "\x1c\x85"})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    got = {r.w: list(r.ids) for r in rows.select("w", bpe.Fold().piece(F.col("w")).alias("ids")).collect()}
+    assert got == {w: encoder().library.encode_ordinary(w) for w in words}
+
+
+def test_byte_pairs_with_a_small_table(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "known_pieces", lambda *_: {"word": np.array([1573], dtype="<i4").tobytes()})
     rows = [(0, "b" * 30 + "onthe" * 20 + " word the"), (1, "don't stop     x"), (2, "q" * 39 + "é")]
     got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: list(r.ids) for r in got} == {i: encoder().library.encode_ordinary(t) for i, t in rows}
