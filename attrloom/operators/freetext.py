@@ -159,10 +159,11 @@ def narrative_lines(lines: DataFrame, line: str = "line", keys: list[str] | None
 def route_to_free_text(docs: DataFrame, counts: DataFrame, text: str = "text") -> DataFrame:
     """Documents with at most one structured record and a narrative text.
 
-    ``counts`` is ``(doc_id, n_records)`` with one row per document that has records.
+    ``counts`` is ``(doc_id, n_records)`` with one row per document that has records. The verdict is taken
+    before the join, so no text is shuffled; callers read the texts of the routed documents again.
     """
-    joined = docs.join(counts, "doc_id", "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)))
-    facts = narrative_facts(joined, text)
+    facts = narrative_facts(docs, text).drop(text)
+    facts = facts.join(counts, "doc_id", "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)))
     return facts.withColumn("to_free_text", (F.col("n_records") <= 1) & F.col("is_narrative"))
 
 
@@ -176,9 +177,11 @@ def chunk_array(text: Column | str, max_chars: int = MAX_CHARS, overlap: int = O
     """T4: overlapping chunks ``array<struct(start, text)>`` of an already stripped text.
 
     A fold over as many steps as the text can need: each cut lies beyond 60 % of the window, which
-    bounds how little a step advances.
+    bounds how little a step advances. The text is cut once into pieces as long as a window, so that a
+    step looks at two of them and not at the text from its start.
     """
     t = tx.col(text)
+    pieces = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % max_chars), F.lit(0))
     n = F.length(t)
     earliest = int(max_chars * 0.6)
     steps = F.sequence(F.lit(1), F.ceil(n / F.lit(max(1, earliest + 2 - overlap))).cast("int") + 1)
@@ -191,24 +194,30 @@ def chunk_array(text: Column | str, max_chars: int = MAX_CHARS, overlap: int = O
             return F.when(found > 0, F.length(backwards) - found - F.lit(len(mark) - 1)).otherwise(F.lit(-1))
         return tx.let(F.reverse(window), lambda b: F.greatest(at(b, "\n"), at(b, ". "), at(b, "; ")))
 
-    def step(s: Column, _: Column) -> Column:
+    def part(cut: Column, start: Column, length: Column) -> Column:
+        """At most ``max_chars`` characters from ``start`` on."""
+        at = (start / F.lit(max_chars)).cast("int")
+        near = F.concat(F.get(cut, at), F.coalesce(F.get(cut, at + 1), F.lit("")))
+        return F.substring(near, start % F.lit(max_chars) + 1, length)
+
+    def step(pieces: Column, s: Column) -> Column:
         start = s["start"]
 
         def grow(end: Column) -> Column:
-            chunk = tx.strip(F.substring(t, start + 1, end - start))
+            chunk = tx.strip(part(pieces, start, end - start))
             added = tx.let(chunk, lambda c: F.when(c != "", F.array_append(
                 s["chunks"], F.struct(start.alias("start"), c.alias("text")))).otherwise(s["chunks"]))
             return F.struct(F.greatest(end - F.lit(overlap), start + 1).cast("int").alias("start"),
                             (end >= n).alias("done"), added.alias("chunks")).cast(kind)
 
-        cut = last_cut(F.substring(t, start + 1, F.lit(max_chars)))
+        cut = last_cut(part(pieces, start, F.lit(max_chars)))
         end = F.when(start + F.lit(max_chars) >= n, n).otherwise(tx.let(
             cut, lambda c: F.when(c > earliest, start + c + 1).otherwise(start + F.lit(max_chars))))
         return F.when(s["done"], s).otherwise(tx.let(end.cast("int"), grow))
 
     whole = F.array(F.struct(F.lit(0).alias("start"), t.alias("text"))).cast(CHUNKS)
     return (F.when(n == 0, F.array().cast(CHUNKS)).when(n <= max_chars, whole)
-            .otherwise(F.aggregate(steps, state, step, lambda s: s["chunks"])))
+            .otherwise(tx.let(pieces, lambda cut: F.aggregate(steps, state, lambda s, _: step(cut, s), lambda s: s["chunks"]))))
 
 
 def chunks(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:

@@ -139,17 +139,19 @@ def sheet_widths(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def promote_header(grid: DataFrame, keys: list[str] | None = None, min_rows: int = 1) -> DataFrame:
     """The first row as header, blank headers as ``Col{i}``, every later row as a map.
 
-    ``min_rows`` non-blank rows are needed for a table to count.
+    A table is as wide as its widest row, so cells right of the header row get headers ``Col{i}`` too. ``min_rows`` non-blank rows are needed for a table to count.
     """
     keys = keys or SHEET
     filled = grid.filter(has_content("cells"))
     top = filled.groupBy(*keys).agg(
-        F.min_by("cells", "row_no").alias("first"), F.min("row_no").alias("first_no"), F.count("*").alias("_n"))
-    names = F.transform("first", lambda c, i: F.when(
+        F.min_by("cells", "row_no").alias("first"), F.min("row_no").alias("first_no"),
+        F.max(F.size("cells")).alias("width"), F.count("*").alias("_n"))
+    padded = F.concat("first", F.array_repeat(F.lit(""), F.col("width") - F.size("first")))
+    names = F.transform(padded, lambda c, i: F.when(
         tx.clean_cell(c) == "", F.concat(F.lit("Col"), i.cast("string"))).otherwise(tx.clean_cell(c)))
     header = top.filter(F.col("_n") >= min_rows).select(*keys, "_n", "first_no", names.alias("headers"))
     rows = join_per_key(filled, header, keys, "_n").filter(F.col("row_no") > F.col("first_no"))
-    full = F.slice(F.concat(tx.clean_cells("cells"), F.array_repeat(F.lit(""), F.size("headers"))), F.lit(1), F.size("headers"))
+    full = F.concat(tx.clean_cells("cells"), F.array_repeat(F.lit(""), F.size("headers") - F.size("cells")))
     return rows.select(*keys, "row_no", "headers", full.alias("cells"),
                        F.map_from_arrays("headers", full).alias("row"))
 

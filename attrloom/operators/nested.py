@@ -40,6 +40,9 @@ def _children(v: Column) -> Column:
     return F.coalesce(members.cast(kind), items.cast(kind))
 
 
+# Fixed value: bytes from which on Spark makes no variant of a text.
+VARIANT_BYTES = 128 << 20
+
 NODE = "struct<v:variant,path:string,keyed:boolean,open:boolean>"
 
 
@@ -61,45 +64,51 @@ def _open_node(node: Column) -> Column:
 LEAF = "array<struct<attribute:string,value:string,raw_attribute:string>>"
 
 
-def json_leaves(docs: DataFrame, text: str = "text", max_depth: int = 32) -> DataFrame:
+# Levels every document is opened by in the first fold; only deeper documents take further steps.
+FIRST_LEVELS = 32
+
+
+def json_leaves(docs: DataFrame, text: str = "text") -> DataFrame:
     """Keyed scalars of every document, ``leaves`` holding name, value and dotted path in order.
 
     A fold inside the row opens all containers one level per step, until none is left; each node is
-    looked at once. A document deeper than ``max_depth`` fails the job instead of losing values.
+    looked at once. A document that is still open after the first levels goes on for at most as many
+    steps as it has brackets, so any depth the parser takes is read. Documents the parser does not take
+    are listed by ``unparsable_json``.
     """
-    parsed = docs.select("doc_id", F.try_parse_json(tx.col(text)).alias("v")).filter(F.col("v").isNotNull())
+    brackets = F.length(F.regexp_replace(tx.col(text), r"[^\[{]", ""))
+    parsed = docs.select("doc_id", F.try_parse_json(tx.col(text)).alias("v"), brackets.alias("brackets")).filter(F.col("v").isNotNull())
     root = F.array(F.struct(F.col("v").alias("v"), F.lit("").alias("path"), F.lit(False).alias("keyed"),
                             F.lit(True).alias("open")).cast(NODE))
     step = lambda nodes, _: F.when(
         F.exists(nodes, lambda n: n["open"]), F.flatten(F.transform(nodes, _open_node))).otherwise(nodes)
-    nodes = F.aggregate(F.sequence(F.lit(0), F.lit(max_depth)), root, step)
-
-    def unopened(n: Column) -> Column:
-        return n["open"] & (F.size(_children(n["v"])) > 0)
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(FIRST_LEVELS)), root, step)
+    nodes = tx.let(first, lambda found: F.when(
+        F.exists(found, lambda n: n["open"]), F.aggregate(F.sequence(F.lit(0), F.col("brackets")), found, step)).otherwise(found))
 
     def keep(n: Column) -> Column:
         kind = F.schema_of_variant(n["v"])
-        return (n["keyed"] & ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))) | unopened(n)
+        return n["keyed"] & ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
 
-    too_deep = F.raise_error(F.lit("JSON document deeper than max_depth")).cast("string")
     leaf = lambda n: F.struct(
         tx.friendly_name(n["path"]).alias("attribute"),
-        F.when(unopened(n), too_deep).otherwise(scalar_text(n["v"])).alias("value"), n["path"].alias("raw_attribute"))
+        scalar_text(n["v"]).alias("value"), n["path"].alias("raw_attribute"))
     kept = parsed.select("doc_id", F.filter(nodes, keep).alias("nodes"))
     return kept.select("doc_id", F.transform("nodes", leaf).cast(LEAF).alias("leaves"))
 
 
-def flatten_json(docs: DataFrame, text: str = "text", max_depth: int = 32, strip_headers: bool = True) -> DataFrame:
+def flatten_json(docs: DataFrame, text: str = "text", strip_headers: bool = True) -> DataFrame:
     """Records of JSON documents, friendly names, first (name, value) per document."""
     filled = lambda p: (tx.strip(p["attribute"]) != "") & (tx.strip(p["value"]) != "")
-    leaves = json_leaves(docs, text, max_depth).select(
+    leaves = json_leaves(docs, text).select(
         "doc_id", F.filter("leaves", usable_pair if strip_headers else filled).alias("leaves"))
     return explode_first(leaves, "leaves", name_value_key)
 
 
 def unparsable_json(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents S3 cannot read."""
-    return docs.filter(F.try_parse_json(tx.col(text)).isNull())
+    """Documents S3 cannot read, with the reason as ``error``. Empty and null texts are malformed too."""
+    reason = F.when(F.octet_length(tx.col(text)) >= VARIANT_BYTES, F.lit("larger than the parser takes")).otherwise(F.lit("malformed"))
+    return docs.filter(F.try_parse_json(tx.col(text)).isNull()).withColumn("error", reason)
 
 
 def _xml_parser():

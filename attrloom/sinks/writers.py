@@ -9,38 +9,48 @@ from attrloom.functions import text as tx
 from attrloom.operators.lookups import join_per_key
 from attrloom.session import materialize
 
-MAX_EXTRA_COLUMNS = 10_000
 CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 ENGINE_COLUMNS = ("doc_id", "sheet", "pos", "extras", "raw_attr", "canonical_attr", "match_type", "confidence",
                   "matched_variation")
 
 
 def extra_columns(records: DataFrame) -> list[str]:
-    """Names of the extra source columns, in header order. Their number is checked, since they become
-    columns of one table."""
+    """Names of the extra source columns, in header order, for callers that want each as a column of
+    its own. The names come to the driver, as every plan's columns do."""
     keys = records.select(F.posexplode(F.map_keys("extras")).alias("at", "key")).groupBy("key").agg(F.min("at").alias("at"))
-    found = keys.orderBy("at", "key").limit(MAX_EXTRA_COLUMNS + 1).collect()
-    if len(found) > MAX_EXTRA_COLUMNS:
-        raise ValueError(f"more than {MAX_EXTRA_COLUMNS} extra columns; write the extras map instead")
-    return [r["key"] for r in found]
+    return [r["key"] for r in keys.orderBy("at", "key").collect()]
 
 
 def output_projection(records: DataFrame, extras: list[str] | None = None) -> DataFrame:
-    """K1: ``Output Attribute`` and ``Value`` first, then the remaining source columns."""
+    """K1: ``Output Attribute`` and ``Value`` first, then the remaining source columns.
+
+    ``extras`` lists the extra source columns to spread out; without it they stay one map column, however
+    many there are.
+    """
     lead = [F.col("attribute").alias("Output Attribute"), F.col("value").alias("Value")]
     plain = [c for c in records.columns if c not in ("attribute", "value", *ENGINE_COLUMNS)]
     rest = [F.col(f"`{c}`") for c in plain]
     if "extras" in records.columns:
-        names = extra_columns(records) if extras is None else extras
+        names = [] if extras is None else extras
+        rest += [F.col("extras")] if extras is None else []
         rest += [F.element_at("extras", F.lit(n)).alias(n) for n in names if n not in ("attribute", "value")]
     return records.select(*lead, *rest)
 
 
-def write_csv(records: DataFrame, path: str, keep: list[str] | None = None) -> None:
-    """K2: K1 as CSV with a header, one folder per document; ``keep`` lists extra source columns."""
-    out = output_projection(records, keep).columns
-    projected = records.select("doc_id", *[c for c in output_projection_columns(records, out)])
-    projected.write.partitionBy("doc_id").csv(path, **CSV_OPTIONS)
+def _placed(table: DataFrame, keys: list[str], folders: bool):
+    """A writer of rows ordered by ``keys``: a fixed number of files with the keys as columns, which holds any
+    number of documents and splits a large one between files. ``folders`` gives every value of the first key
+    a folder instead, for few documents with short names."""
+    if folders:
+        return table.sortWithinPartitions(*keys).drop(*keys[1:]).write.partitionBy(keys[0])
+    return table.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys[1:]).write
+
+
+def write_csv(records: DataFrame, path: str, keep: list[str] | None = None, folders: bool = False) -> None:
+    """K2: K1 as CSV with a header and the document; ``keep`` lists extra source columns, else none is written."""
+    out = output_projection(records, keep or []).columns
+    projected = records.select("doc_id", F.col("pos").alias("_pos"), *output_projection_columns(records, out))
+    _placed(projected, ["doc_id", "_pos"], folders).csv(path, **CSV_OPTIONS)
 
 
 def output_projection_columns(records: DataFrame, names: list[str]) -> list[Column]:
@@ -56,10 +66,11 @@ def json_documents(records: DataFrame, pos: str = "pos") -> DataFrame:
     return docs.select("doc_id", F.to_json(F.transform("rows", lambda r: r["item"])).alias("json"))
 
 
-def write_json(records: DataFrame, path: str) -> None:
-    """K3 for documents of any size: one attribute/value object per line, one folder per document."""
-    records.select("doc_id", F.coalesce("attribute", F.lit("")).alias("attribute"),
-                   F.coalesce("value", F.lit("")).alias("value")).write.partitionBy("doc_id").json(path)
+def write_json(records: DataFrame, path: str, folders: bool = False) -> None:
+    """K3 for documents of any size: one attribute/value object per line, with its document, in order."""
+    lines = records.select("doc_id", F.col("pos").alias("_pos"), F.coalesce("attribute", F.lit("")).alias("attribute"),
+                           F.coalesce("value", F.lit("")).alias("value"))
+    _placed(lines, ["doc_id", "_pos"], folders).json(path)
 
 
 def _escape(c: Column) -> Column:
@@ -114,10 +125,14 @@ def xml_documents(records: DataFrame, pos: str = "pos") -> DataFrame:
         "doc_id", F.array_join(F.transform("_p", lambda p: p["piece"]), "").alias("xml"))
 
 
-def write_xml(records: DataFrame, path: str) -> None:
-    """K4 for documents of any size: one folder per document, whose files in name order are the XML
-    text. A range partitioning splits a large document between tasks at a piece."""
+def write_xml(records: DataFrame, path: str, folders: bool = False) -> None:
+    """K4 for documents of any size: the pieces of each document's XML text in order, as JSON lines of
+    document and piece. A range partitioning splits a large document between files at a piece. With
+    ``folders`` every document gets a folder whose text files in name order are its XML text."""
     pieces = xml_pieces(records)
+    if not folders:
+        _placed(pieces, ["doc_id", "place"], False).json(path)
+        return
     ordered = pieces.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     ordered.select("doc_id", "piece").write.partitionBy("doc_id").text(path)
 
@@ -127,11 +142,11 @@ def sheet_name(c: Column | str) -> Column:
     return F.substring(tx.col(c), 1, 31)
 
 
-def write_tabular(records: DataFrame, path: str, sheet: str = "sheet", extras: list[str] | None = None) -> None:
-    """K5: K1 as one folder per cut sheet name."""
-    names = output_projection(records, extras).columns
-    records.select(sheet_name(sheet).alias("sheet_name"), *output_projection_columns(records, names)).write.partitionBy(
-        "sheet_name").csv(path, **CSV_OPTIONS)
+def write_tabular(records: DataFrame, path: str, sheet: str = "sheet", extras: list[str] | None = None, folders: bool = False) -> None:
+    """K5: K1 with the cut sheet name, rows of a sheet together and in order."""
+    names = output_projection(records, extras or []).columns
+    rows = records.select(sheet_name(sheet).alias("sheet_name"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), *output_projection_columns(records, names))
+    _placed(rows, ["sheet_name", "_doc", "_pos"], folders).csv(path, **CSV_OPTIONS)
 
 
 def column_widths(table: DataFrame, keys: list[str] | None = None, padding: int = 4, widest: int = 45) -> DataFrame:

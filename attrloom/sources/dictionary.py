@@ -51,7 +51,7 @@ class Dictionary:
         listed = F.concat(F.array("canonical"), F.coalesce("variations", F.array().cast("array<string>")))
         raw = self.entries.select("entry_no", "canonical", F.posexplode(listed).alias("text_no", "text"))
         spelled = raw.select("entry_no", "canonical", "text_no", F.posexplode(tx.forms("text")).alias("form_no", "form"))
-        var_no = F.col("entry_no").cast("bigint") * 10_000_000 + F.col("text_no") * 4 + F.col("form_no")
+        var_no = F.shiftleft(F.col("entry_no").cast("bigint"), 32) + F.col("text_no").cast("bigint") * 4 + F.col("form_no")
         return materialize(spelled.select(
             var_no.alias("var_no"), "canonical", "form", (F.col("text_no") == 0).alias("is_canonical")), "dictionary-texts")
 

@@ -22,29 +22,27 @@ def file_format(path: Column | str, strict: bool = True) -> Column:
     return F.coalesce(known, F.raise_error(F.concat(F.lit("Unsupported file type: "), suffix)).cast("string"))
 
 
-def field_count(record: Column | str) -> Column:
-    """Number of fields of a raw CSV record."""
-    bare = F.regexp_replace(tx.col(record), r'"(?:[^"]|"")*"|[^,"]', "")
-    return F.length(bare) + 1
+def csv_fields(record: Column | str) -> Column:
+    """Fields of a raw CSV record of any width, unquoted. Possessive repeats keep the match linear."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), tx.col(record)), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
+    return F.transform(fields, lambda f: F.when(
+        f.startswith('"') & (F.length(f) > 1), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
 
 
-def csv_grid(spark: SparkSession, path: str | list[str], max_columns: int = 512, multi_line: bool = True) -> DataFrame:
+def csv_grid(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Header-less CSV files as a grid ``(doc_id, sheet, row_no, cells)``; missing-value tokens
     become empty, blank rows go, ``doc_id`` is the file.
 
-    ``multi_line`` reads a file in one task, which quoted line breaks need. Without it large files
-    split; ``row_no`` then still orders the rows of a file, by byte offset of the split first. A record
-    with more than ``max_columns`` fields fails the job instead of losing cells.
+    Records may have any number of fields: the reader cuts records (read as one column, a record with
+    more fields comes back whole) and the fields are taken apart in the row. ``multi_line`` reads a file
+    in one task, which quoted line breaks need. Without it large files split; ``row_no`` then still orders
+    the rows of a file, by byte offset of the split first.
     """
-    names = [f"c{i}" for i in range(max_columns)]
-    schema = ", ".join(f"{n} string" for n in [*names, "_raw"])
-    raw = spark.read.csv(path, schema=schema, header=False, multiLine=multi_line, quote='"', escape='"',
+    raw = spark.read.csv(path, schema="c0 string, _raw string", header=False, multiLine=multi_line, quote='"', escape='"',
                          mode="PERMISSIVE", columnNameOfCorruptRecord="_raw")
-    width = F.coalesce(field_count(F.regexp_replace("_raw", r"[\r\n]+\z", "")), F.lit(max_columns))
     seq = F.monotonically_increasing_id()
     row_no = seq if multi_line else F.col("_metadata.file_block_start") * F.lit(1 << 16) + seq.bitwiseAND(F.lit((1 << 33) - 1))
-    too_wide = F.raise_error(F.lit("CSV record wider than max_columns")).cast("int")
-    cells = F.slice(F.array(*names), F.lit(1), F.when(width > max_columns, too_wide).otherwise(width))
+    cells = F.coalesce(csv_fields(F.regexp_replace("_raw", r"[\r\n]+\z", "")), F.array("c0"))
     grid = raw.select(F.col("_metadata.file_path").alias("doc_id"), F.lit("").alias("sheet"), row_no.alias("row_no"),
                       F.transform(cells, lambda c: F.coalesce(tx.blank_na(c), F.lit(""))).alias("cells"))
     return grid.filter(has_content("cells"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attrloom.functions import text as tx
 from attrloom.operators import freetext as ft
+from attrloom.plans import documents as dc
 from suite import sqlparts as q
+from suite.grid_cases import DOCX, PDF, _narrative, _table_rows, _text_lines
 from suite.registry import Tables, case
 
 
@@ -67,6 +70,7 @@ def t04(t: Tables):
 
 
 KV = rf"^([A-Za-z][^:=\-]{{1,80}}?)[{q.W}]*[:=\-]+[{q.W}]*(.*)$"
+# Find-all rules for sentences (attribute, pattern).
 SENTENCE_RULES = [
     ("Total Order Value", r"(?i)\btotal billed amount\b.*?(\d+(?:\.\d+)?\s*rupees?)"),
     ("Total Order Value", r"(?i)\btotal amount\b.*?(\d+(?:\.\d+)?\s*rupees?)"),
@@ -113,6 +117,7 @@ def t06(t: Tables):
     return ft.extract_chunked(docs).drop("pos")
 
 
+# Find-all rules for fields (attribute, pattern, group, suffix).
 FIELD_RULES = [
     ("Workorder Number", r"(?i)\bWO[- ]?\d+\b", 0, ""), ("Purchase Order Number", r"(?i)\bPO[- ]?\d+\b", 0, ""),
     ("Invoice Number", r"(?i)\bINV[- ]?\d+\b", 0, ""), ("Equipment ID", r"(?i)\bEQ[- ]?\d+\b", 0, ""),
@@ -124,6 +129,37 @@ FIELD_RULES = [
 ]
 
 
+# First-match rules for phrases (attribute, pattern with one group).
+PHRASE_RULES = (
+    ("Site", r"\bfor\s+(Plant\s+[A-Z0-9]+|Warehouse\s+\d+|Site\s+[A-Z0-9]+)\b"),
+    ("Customer Name", r"(?:customer|custmer full name|customer name)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z.]+)+)"),
+    ("Assigned Engineer", r"(?:assigned enginer|assigned engineer|engineer|technician|tecnician|account mngr"
+                          r"|account manager)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z.]+)+)"),
+    ("Machine Type", r"(?:machin type|machine type|equipment type|device type)\s*(?:is|was|:)?\s*"
+                     r"([A-Za-z][A-Za-z0-9\-\s]{2,40})"),
+    ("Model Number", r"(?:model nummber|model number|model no|model)\s*(?:recorded.*?as|appears as|is|was|:)?\s*"
+                     r"([A-Za-z0-9\-]+)"),
+    ("Payment Method", r"(?:payment methd|payment method|pay method|mode of payment|preffered payment methd)\s*"
+                       r"(?:was|is|will be|:)?\s*(bank transfer|upi|cash|credit card|debit card|net banking)"),
+    ("Payment Status", r"(?:payment stat|payment status|pay status)\s*(?:was|is|still|marked as|:)?\s*"
+                       r"(pending|approved|rejected|completed|closed|open|scheduled|in progress|paid|active|inactive)"),
+    ("Order Status", r"(?:current ordeer status|current order status|order status)\s*(?:was|is|marked as|:)?\s*"
+                     r"(pending|approved|rejected|completed|closed|open|scheduled|in progress|paid|active|inactive)"),
+    ("Delivery Status", r"(?:delivary status|delivery status|shipping status|dispatch status)\s*(?:was|is|marked as|after|:)?\s*"
+                        r"(pending|approved|rejected|completed|closed|open|scheduled|in progress|active|inactive)"),
+    ("Billing Entity", r"(?:billing entitty|billing entity|billing company|bill to company)\s*"
+                       r"(?:should remain|is|was|:)?\s*([A-Z][A-Za-z0-9&.\-\s]{2,60})"),
+    ("Shipping Address", r"(?:shpping addres|shipping address|delivery address)\s*(?:is|was|:)?\s*"
+                         r"([A-Za-z0-9,\-\s]{5,90})"),
+    ("Fuel Type", r"(?:fuel typ|fuel type)\s*(?:for.*?\s)?(?:was|is|:)?\s*(diesel|petrol|electric|cng)"),
+    ("Vehicle Type", r"(?:vehcle type|vehicle type)\s*(?:was|is|:)?\s*([A-Za-z][A-Za-z\s\-]{2,40})"),
+    ("Insurance Status", r"(?:insurence status|insurance status)\s*(?:is|was|:)?\s*"
+                         r"(pending|approved|rejected|completed|closed|open|scheduled|in progress|active|inactive)"),
+    ("Ownership Type", r"(?:ownership typ|ownership type)\s*(?:is|was|:)?\s*([A-Za-z][A-Za-z\s\-]{2,40})"),
+    ("Remarks", r"(?:remarks|comment)\s*(?:saying|says|is|:)?\s*['\"]?([^'\"]{5,120})"),
+)
+
+
 def field_sql(x: str) -> str:
     return "flatten([" + ", ".join(f"list_transform(regexp_extract_all({x}, {q.lit(p)}, {g}), lambda v_: [{q.lit(a)}, {q.collapse('v_')} || {q.lit(s)}])"
                                    for a, p, g, s in FIELD_RULES) + "])"
@@ -131,7 +167,7 @@ def field_sql(x: str) -> str:
 
 def phrase_sql(x: str) -> str:
     return "flatten([" + ", ".join(f"CASE WHEN regexp_extract({x}, {q.lit('(?i)' + p)}, 1) <> '' THEN [[{q.lit(a)}, {q.strip(f'regexp_extract({x}, ' + q.lit('(?i)' + p) + ', 1)')}]] ELSE [] END"
-                                   for a, p in ft.PHRASE_RULES) + "])"
+                                   for a, p in PHRASE_RULES) + "])"
 
 
 # Every note is a text of its own, so the oracle numbers the rows.
@@ -170,3 +206,59 @@ def t09(t: Tables):
 @case("t10_fields_deduplicated", _rule_oracle(f"flatten([{field_sql('text')}, {phrase_sql('text')}, {URGENT}])"))
 def t10(t: Tables):
     return ft.extract_fields(_notes(t)).drop("pos")
+
+
+# Documents read as one-cell CSV lines: prose goes to free-text extraction, the rest has no pairs.
+CSV_TEXTS = f"""
+    cl AS (SELECT doc_id, i, {q.clean('ls[i]')} AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {q.lines('text')} AS ls FROM documents) d) u),
+    {_narrative('cl', 'cv')},
+    src AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM cl JOIN cv USING (doc_id) WHERE is_narrative AND line <> '' GROUP BY doc_id)"""
+CSV_FREE = f"""{CSV_TEXTS}, {chunk_ctes('src')},
+    p AS (SELECT doc_id, chunk_no, {sentence_sql('text')} AS ps FROM chunked),
+    u AS (SELECT doc_id, chunk_no, i, ps[i][1] AS attribute, ps[i][2] AS value FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p) x)"""
+
+
+def _csv_plan(t: Tables):
+    grid = tx.explode_costly(t.documents.select("doc_id", "text"), tx.lines("text"), "line", "row_no")
+    return dc.csv_records(grid.select("doc_id", F.lit("").alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), F.array("line").alias("cells")))
+
+
+@case("t03_routed_csv_records", f"WITH RECURSIVE {CSV_FREE} SELECT doc_id, attribute, value FROM {deduped('u', 'chunk_no, i')} d")
+def t03_csv(t: Tables):
+    return _csv_plan(t)[0].select("doc_id", "attribute", "value")
+
+
+@case("n03_narrative_csv_documents", f"""
+    WITH RECURSIVE {CSV_FREE}, c AS (SELECT doc_id, count(*) AS n FROM {deduped('u', 'chunk_no, i')} d GROUP BY doc_id), ids AS (SELECT DISTINCT doc_id FROM cl)
+    SELECT doc_id, CASE WHEN coalesce(is_narrative, false) THEN 'unstructured' ELSE 'keyvalue' END AS doc_type, coalesce(n, 0) AS n_records
+    FROM ids LEFT JOIN cv USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def n03_csv(t: Tables):
+    records, docs = _csv_plan(t)
+    counted = records.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.join(counted, "doc_id", "left").select("doc_id", "doc_type", F.coalesce("n", F.lit(0)).alias("n_records"))
+
+
+@case("t03_routed_pdf_records", f"""
+    WITH RECURSIVE {PDF}, src AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM ln JOIN nv USING (doc_id) WHERE is_narrative GROUP BY doc_id), {chunk_ctes('src')},
+    p AS (SELECT doc_id, chunk_no, {sentence_sql('text')} AS ps FROM chunked),
+    u AS (SELECT doc_id, chunk_no, i, ps[i][1] AS attribute, ps[i][2] AS value FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p) x)
+    SELECT doc_id, attribute, value FROM kept UNION ALL SELECT doc_id, attribute, value FROM {deduped('u', 'chunk_no, i')} d""")
+def t03_pdf(t: Tables):
+    """Records of page documents after routing: structured ones, and free-text records of the narrative ones."""
+    rows, lines = t.sql(_table_rows(q.SPARK)), t.sql(_text_lines(q.SPARK))
+    records, docs = dc.pdf_records(rows, lines)
+    return dc.route_lines(records, docs, dc.pdf_text(lines), lines)[0].select("doc_id", "attribute", "value")
+
+
+@case("t03_routed_docx_records", f"""
+    WITH RECURSIVE {DOCX}, n AS (SELECT doc_id, count(*) AS n FROM rec GROUP BY doc_id), routed AS (SELECT doc_id FROM nv WHERE is_narrative),
+    parts AS (SELECT doc_id, 0 AS s, 0 AS a, pos AS b, line FROM ln UNION ALL SELECT doc_id, 1, table_no, row_no, array_to_string(list_filter({q.clean_list('cells')}, lambda x_: x_ <> ''), ' | ') FROM tr),
+    src AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY s, a, b) AS text FROM parts JOIN routed USING (doc_id) WHERE line <> '' GROUP BY doc_id), {chunk_ctes('src')},
+    p AS (SELECT doc_id, chunk_no, {sentence_sql('text')} AS ps FROM chunked),
+    u AS (SELECT doc_id, chunk_no, i, ps[i][1] AS attribute, ps[i][2] AS value FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p) x)
+    SELECT doc_id, attribute, value FROM rec WHERE doc_id NOT IN (SELECT doc_id FROM routed) UNION ALL SELECT doc_id, attribute, value FROM {deduped('u', 'chunk_no, i')} d""")
+def t03_docx(t: Tables):
+    """Records of word-processor documents after routing."""
+    rows, lines = t.sql(_table_rows(q.SPARK)), t.sql(_text_lines(q.SPARK))
+    records, docs = dc.docx_records(rows, lines)
+    return dc.route_lines(records, docs, dc.docx_text(rows, lines), lines)[0].select("doc_id", "attribute", "value")

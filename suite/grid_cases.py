@@ -131,20 +131,29 @@ def e04(t: Tables):
     return gr.sheet_widths(gr.clean_workbook(_grid(t))).withColumn("width", F.col("width").cast("bigint"))
 
 
+# Every fifth row is one cell wider than its sheet.
 PROMOTED = f"""{GRID},
-    t0 AS (SELECT doc_id, sheet, row_no, {q.clean_list('cells')} AS cells, row_number() OVER (PARTITION BY doc_id, sheet ORDER BY row_no) AS rn,
-           count(*) OVER (PARTITION BY doc_id, sheet) AS n FROM g WHERE {_filled('cells')}),
-    th AS (SELECT doc_id, sheet, n, list_transform(cells, lambda c_, i_: CASE WHEN c_ = '' THEN 'Col' || cast(i_ - 1 AS varchar) ELSE c_ END) AS headers FROM t0 WHERE rn = 1)"""
+    t00 AS (SELECT doc_id, sheet, row_no, CASE WHEN row_no % 5 = 0 THEN list_append(cells, 'extra ' || cast(row_no AS varchar)) ELSE cells END AS cells FROM g),
+    t0 AS (SELECT doc_id, sheet, row_no, {q.clean_list('cells')} AS cells, max(len(cells)) OVER (PARTITION BY doc_id, sheet) AS width, row_number() OVER (PARTITION BY doc_id, sheet ORDER BY row_no) AS rn,
+           count(*) OVER (PARTITION BY doc_id, sheet) AS n FROM t00 WHERE {_filled('cells')}),
+    th AS (SELECT doc_id, sheet, n, width, list_transform(range(width), lambda i_: CASE WHEN coalesce(cells[i_ + 1], '') = '' THEN 'Col' || cast(i_ AS varchar) ELSE cells[i_ + 1] END) AS headers FROM t0 WHERE rn = 1),
+    tw AS (SELECT t0.doc_id, t0.sheet, row_no, rn, th.n, array_to_string(headers, '|') AS headers, array_to_string(list_transform(range(th.width), lambda i_: coalesce(cells[i_ + 1], '')), '|') AS cells FROM t0 JOIN th USING (doc_id, sheet) WHERE rn > 1)"""
 
 
-@case("e05_promoted_header", f"WITH {PROMOTED} SELECT doc_id, sheet, row_no, array_to_string(headers, '|') AS headers, array_to_string(cells, '|') AS cells FROM t0 JOIN th USING (doc_id, sheet) WHERE rn > 1")
+def _ragged(t: Tables):
+    wider = F.concat("cells", F.array(F.concat(F.lit("extra "), F.col("row_no").cast("string"))))
+    return _grid(t).withColumn("cells", F.when(F.col("row_no") % 5 == 0, wider).otherwise(F.col("cells")))
+
+
+
+@case("e05_promoted_header", f"WITH {PROMOTED} SELECT doc_id, sheet, row_no, headers, cells FROM tw")
 def e05(t: Tables):
-    return gr.promote_header(_grid(t)).select("doc_id", "sheet", "row_no", _bars("headers").alias("headers"), _bars("cells").alias("cells"))
+    return gr.promote_header(_ragged(t)).select("doc_id", "sheet", "row_no", _bars("headers").alias("headers"), _bars("cells").alias("cells"))
 
 
-@case("s07_table_frames", f"WITH {PROMOTED} SELECT doc_id, sheet AS page, row_no, array_to_string(headers, '|') AS headers, array_to_string(cells, '|') AS cells FROM t0 JOIN th USING (doc_id, sheet) WHERE rn > 1 AND th.n >= 2")
+@case("s07_table_frames", f"WITH {PROMOTED} SELECT doc_id, sheet AS page, row_no, headers, cells FROM tw WHERE n >= 2")
 def s07(t: Tables):
-    rows = _grid(t).withColumnRenamed("sheet", "page").withColumn("table_no", F.lit(0))
+    rows = _ragged(t).withColumnRenamed("sheet", "page").withColumn("table_no", F.lit(0))
     return dc.pdf_tables(rows).select("doc_id", "page", "row_no", _bars("headers").alias("headers"), _bars("cells").alias("cells"))
 
 
@@ -156,25 +165,28 @@ def s08(t: Tables):
 
 # ------------------------------------------------------------------ CSV round trip
 
+# Fields of the widest CSV record.
+WIDE_FIELDS = 600
+
+
 @case("s01_csv_files", f"""
-    SELECT cast(o_custkey % 40 AS bigint) AS doc, count(*) AS n_rows, cast(max(CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 4 END) AS bigint) AS width,
-      cast(sum(length(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END)) AS bigint) AS filled, min(o_orderkey) AS first_key,
-      cast(sum(length(o_orderpriority)) + count(*) * length('a "quoted", cell') AS bigint) AS chars
-    FROM orders GROUP BY 1""")
+    SELECT cast(o_custkey % 40 AS bigint) AS doc, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS row_no,
+      array_to_string([cast(o_orderkey AS varchar), CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END, o_orderpriority, 'a "quoted", cell'], '|') AS cells
+    FROM orders UNION ALL
+    SELECT 40, row_number() OVER (ORDER BY r_regionkey), array_to_string(list_transform(range({WIDE_FIELDS}), lambda i_: 'f' || cast(i_ AS varchar) || r_name), '|') FROM region""")
 def s01(t: Tables):
-    """Orders written as header-less CSV files, one folder per document, and read back as grids."""
+    """Orders written as header-less CSV files, one folder per document, with one file of wide records, read back as grids."""
+    from pyspark.sql import Window
     path = scratch_path(t.spark, "csv")
     rows = t.orders.select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").cast("string"),
                            F.when(F.col("o_orderstatus") == "P", F.lit("NaN")).otherwise(F.col("o_orderstatus")),
                            "o_orderpriority", F.lit('a "quoted", cell').alias("note"))
     rows.repartition("doc").sortWithinPartitions("doc", F.col("o_orderkey").cast("bigint")).write.partitionBy("doc").csv(path, escape='"')
-    grid = files.csv_grid(t.spark, [f"{path}/*/*.csv"], max_columns=16)
-    doc = F.regexp_extract("doc_id", r"doc=(\d+)", 1).cast("bigint")
-    return grid.groupBy(doc.alias("doc")).agg(
-        F.count("*").alias("n_rows"), F.max(F.size("cells")).cast("bigint").alias("width"),
-        F.sum(F.length(F.get("cells", F.lit(1)))).alias("filled"),
-        F.min_by(F.get("cells", F.lit(0)), "row_no").cast("bigint").alias("first_key"),
-        F.sum(F.length(F.get("cells", F.lit(2))) + F.length(F.get("cells", F.lit(3)))).alias("chars"))
+    wide = t.region.orderBy("r_regionkey").select(*[F.concat(F.lit(f"f{i}"), "r_name").alias(f"c{i}") for i in range(WIDE_FIELDS)])
+    wide.coalesce(1).write.csv(f"{path}/doc=40", escape='"')
+    grid = files.csv_grid(t.spark, [f"{path}/*/*.csv"])
+    doc = F.regexp_extract("doc_id", r"doc=(\d+)", 1).cast("bigint").alias("doc")
+    return grid.select(doc, F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no")).cast("bigint").alias("row_no"), _bars("cells").alias("cells"))
 
 
 @case("s12_format_dispatch", """
@@ -207,14 +219,16 @@ def e06(t: Tables):
     return rc.key_value_lines(lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "line"))
 
 
-def _table_rows(d: q.Dialect) -> str:
-    """Two-cell table rows of customer documents, some of them badly cut."""
+def _table_rows(d: q.Dialect, blank: bool = True) -> str:
+    """Two-cell table rows of customer documents, some of them badly cut; a third of the documents has only blank rows."""
     n, a = d.text("o_orderkey"), "o_orderpriority"
     label = d.at(d.arr(*[q.lit(x) for x in q.PHRASES]), f"o_orderkey % {len(q.PHRASES)}")
     bad = f"CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 2 = 0 THEN {n} WHEN o_orderkey % 11 = 0 THEN 'Key' WHEN o_orderkey % 13 = 0 THEN '1,2 3' ELSE {label} END"
     val = f"CASE WHEN o_custkey % 7 = 0 THEN 'a=b=' || {n} WHEN o_orderkey % 3 = 0 THEN '' ELSE {a} END"
-    return f"""SELECT o_custkey AS doc_id, 1 AS page, cast(o_orderkey % 2 AS bigint) AS table_no, o_orderkey AS row_no, {d.arr("' '", bad, "'None'", val)} AS cells
-      FROM {d.table('orders')} WHERE o_custkey % 3 > 0"""
+    full = d.arr("' '", bad, "'None'", val)
+    cells = f"CASE WHEN o_custkey % 3 = 0 THEN {d.arr(*[q.lit(' ')] * 4)} ELSE {full} END" if blank else full
+    return f"""SELECT o_custkey AS doc_id, 1 AS page, cast(o_orderkey % 2 AS bigint) AS table_no, o_orderkey AS row_no, {cells} AS cells
+      FROM {d.table('orders')}"""
 
 
 def _text_lines(d: q.Dialect) -> str:
@@ -226,12 +240,16 @@ def _text_lines(d: q.Dialect) -> str:
       FROM {d.table('orders')}"""
 
 
-TABLE_RECORDS = f"""
-    tr AS ({_table_rows(q.DUCK)}),
+def _table_records(blank: bool = True) -> str:
+    return f"""
+    tr AS ({_table_rows(q.DUCK, blank)}),
     tr1 AS (SELECT doc_id, 1000000000000 + table_no * 100000000 + row_no AS pos, list_filter({q.clean_list('cells')}, lambda x_: x_ <> '') AS f FROM tr),
     tr2 AS (SELECT doc_id, pos, f[1] AS attribute, f[2] AS value FROM tr1 WHERE len(f) >= 2),
     trec AS (SELECT doc_id, pos, attribute, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(attribute), value ORDER BY pos) AS rk FROM tr2
         WHERE NOT {q.is_header('attribute', 'value')} AND NOT {q.numeric_only('attribute')}) z WHERE rk = 1)"""
+
+
+TABLE_RECORDS = _table_records()
 BROKEN = r"""
     bt0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM trec),
     bt AS (SELECT doc_id, count(*) AS sampled, cast(sum(CASE WHEN regexp_full_match(attribute, '\d+') OR length(attribute) <= 2 THEN 1 ELSE 0 END) AS bigint) AS odd_names,
@@ -239,9 +257,9 @@ BROKEN = r"""
     broken AS (SELECT *, odd_names >= greatest(2, sampled // 3) OR odd_values >= greatest(2, sampled // 3) AS is_broken FROM bt)"""
 
 
-@case("e07_broken_table", f"WITH {TABLE_RECORDS}, {BROKEN} SELECT * FROM broken")
+@case("e07_broken_table", f"WITH {_table_records(False)}, {BROKEN} SELECT * FROM broken")
 def e07(t: Tables):
-    return rc.broken_table_flags(dc.table_row_records(t.sql(_table_rows(q.SPARK))))
+    return rc.broken_table_flags(dc.table_row_records(t.sql(_table_rows(q.SPARK, False))))
 
 
 @case("e08_record_dedupe", f"""
@@ -259,9 +277,9 @@ def e08(t: Tables):
     return rc.clean_records(records)
 
 
-@case("e09_table_row_dedupe", f"WITH {TABLE_RECORDS} SELECT doc_id, pos, attribute, value FROM trec")
+@case("e09_table_row_dedupe", f"WITH {_table_records(False)} SELECT doc_id, pos, attribute, value FROM trec")
 def e09(t: Tables):
-    return dc.table_row_records(t.sql(_table_rows(q.SPARK)))
+    return dc.table_row_records(t.sql(_table_rows(q.SPARK, False)))
 
 
 LINES = f"tl AS ({_text_lines(q.DUCK)}), ln AS (SELECT doc_id, 1000000000000 + line_no AS pos, {q.strip('line')} AS line FROM tl)"
@@ -351,15 +369,3 @@ def n03b(t: Tables):
 @case("q13_unpivot_mode", f"SELECT doc_id, pos, attribute, value FROM ({q.order_records(q.DUCK)}) t")
 def q13(t: Tables):
     return order_records(t)
-
-
-@case("n03_narrative_csv_documents")
-def n03c(t: Tables):
-    """Documents read as one-cell CSV lines: prose goes to free-text extraction, the rest stays."""
-    grid = tx.explode_costly(t.documents.select("doc_id", "text"), tx.lines("text"), "line", "row_no")
-    grid = grid.select("doc_id", F.lit("").alias("sheet"), F.col("row_no").cast("bigint").alias("row_no"), F.array("line").alias("cells"))
-    records, docs = dc.csv_records(grid)
-    counted = records.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return docs.join(counted, "doc_id", "left").select("doc_id", "doc_type", F.coalesce("n", F.lit(0)).alias("n_records"))
-
-

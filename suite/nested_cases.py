@@ -30,10 +30,18 @@ JSON_ROWS = """(
     SELECT o_orderkey, 'items 2 pay mode', 'card', 'data.items_2.pay-mode' FROM orders UNION ALL
     SELECT o_orderkey, 'total', cast(o_totalprice AS varchar), 'total' FROM orders)"""
 
+# Objects around the value of the deepest documents.
+DEEP = 40
 
-@case("x01_json_flatten", f"SELECT doc_id, attribute, value, raw_attribute FROM {JSON_ROWS} r")
+
+@case("x01_json_flatten", f"""
+    SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS bigint) AS pos, attribute, value, raw_attribute
+    FROM (SELECT *, list_position(['data.customer.custKey', 'data.customer.is_open', 'data.customer.name', 'data.items_1.pay-mode', 'data.items_2.pay-mode', 'data.orderNo', 'total'], raw_attribute) AS place FROM {JSON_ROWS} r) p
+    UNION ALL SELECT -1 - r_regionkey, 0, repeat('a ', {DEEP}) || 'deep', r_name, repeat('a.', {DEEP}) || 'deep' FROM region""")
 def x01(t: Tables):
-    return ns.flatten_json(_order_json(t)).drop("pos")
+    deep = t.region.select((-1 - F.col("r_regionkey")).cast("bigint"), F.concat(
+        F.lit('{"a":' * DEEP + '{"deep":"'), "r_name", F.lit('"}' + "}" * DEEP)))
+    return ns.flatten_json(_order_json(t).union(deep))
 
 
 @case("x01_event_properties", """
@@ -43,13 +51,13 @@ def x01b(t: Tables):
     return ns.flatten_json(docs).select("doc_id", "attribute", "value")
 
 
-@case("s03_json_files", f"SELECT cast(count(*) AS bigint) AS n, attribute, cast(sum(length(value)) AS bigint) AS chars FROM {JSON_ROWS} r GROUP BY attribute")
+@case("s03_json_files", f"SELECT 'ORD-' || cast(doc_id AS varchar) AS doc_id, attribute, value, raw_attribute FROM {JSON_ROWS} r")
 def s03(t: Tables):
     """Orders written one JSON document per line, read back and flattened."""
     path = scratch_path(t.spark, "json-lines")
     _order_json(t).select(F.concat(F.col("text")).alias("value")).write.text(path)
     docs = t.spark.read.text(path).select(F.get_json_object("value", "$.data.orderNo").alias("doc_id"), F.col("value").alias("text"))
-    return dc.json_records(docs)[0].groupBy("attribute").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+    return dc.json_records(docs)[0].select("doc_id", "attribute", "value", "raw_attribute")
 
 
 @case("s11_raw_text", "SELECT cast(n_nationkey AS bigint) AS doc_id, '{\"nation\":\"' || n_name || '\"}' || chr(10) AS text FROM nation")

@@ -272,9 +272,9 @@ def dictionary_ctes(entries: str) -> str:
     d_f12 AS (SELECT *, {d1('t')} AS f1, {d2('t')} AS f2 FROM d_raw),
     d_f AS (SELECT *, {d3('f2')} AS f3 FROM d_f12),
     d_texts AS (
-      SELECT entry_no * 10000000 + k * 4 AS var_no, canonical, f1 AS form, k = 0 AS is_canonical FROM d_f
-      UNION ALL SELECT entry_no * 10000000 + k * 4 + 1, canonical, f2, k = 0 FROM d_f WHERE f2 <> f1
-      UNION ALL SELECT entry_no * 10000000 + k * 4 + 1 + (CASE WHEN f2 <> f1 THEN 1 ELSE 0 END), canonical, f3, k = 0
+      SELECT cast(entry_no AS bigint) * 4294967296 + k * 4 AS var_no, canonical, f1 AS form, k = 0 AS is_canonical FROM d_f
+      UNION ALL SELECT cast(entry_no AS bigint) * 4294967296 + k * 4 + 1, canonical, f2, k = 0 FROM d_f WHERE f2 <> f1
+      UNION ALL SELECT cast(entry_no AS bigint) * 4294967296 + k * 4 + 1 + (CASE WHEN f2 <> f1 THEN 1 ELSE 0 END), canonical, f3, k = 0
         FROM d_f WHERE f3 <> f2 AND f3 <> f1),
     d_exact AS (SELECT form, max_by(canonical, var_no) AS canonical FROM d_texts GROUP BY form),
     d_var AS (SELECT var_no, form, canonical FROM (

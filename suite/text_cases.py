@@ -10,11 +10,12 @@ from attrloom.sources.dictionary import dictionary_from
 from suite import sqlparts as q
 from suite.registry import Tables, case, order_records
 
-# Cells of many shapes, derived from every document row.
+# Every document text as a cell, and cells of many shapes derived from every document row.
 def _cells(d: q.Dialect) -> str:
     return f"""
-    SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'none' WHEN 2 THEN ' ' || source || ' '
-                     WHEN 3 THEN NULL WHEN 4 THEN lang || '  ' || source WHEN 5 THEN '' ELSE text END AS cell
+    SELECT doc_id, text AS cell FROM {d.table('documents')} UNION ALL
+    SELECT -1 - doc_id, CASE doc_id % 7 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'none' WHEN 2 THEN ' ' || source || ' '
+                     WHEN 3 THEN NULL WHEN 4 THEN lang || '  ' || source WHEN 5 THEN '' ELSE text END
     FROM {d.table('documents')}"""
 
 

@@ -76,15 +76,16 @@ def test_excel_and_csv_routing(spark):
 def test_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Inv Code,Item,"Grand, Sum"\nINV-1,"two\nlines",₹25\n,,\nNaN,N/A,\n"q""x",y,z\n', encoding="utf-8")
     (tmp_path / "b.csv").write_text("k,v\nx\n", encoding="utf-8")
-    grid = files.csv_grid(spark, str(tmp_path), max_columns=8)
+    grid = files.csv_grid(spark, str(tmp_path))
     got = {}
     for r in grid.orderBy("doc_id", "row_no").collect():
         got.setdefault(r["doc_id"][-5:], []).append(r["cells"])
     assert got == {"a.csv": [["Inv Code", "Item", "Grand, Sum"], ["INV-1", "two\nlines", "₹25"], ['q"x', "y", "z"]], "b.csv": [["k", "v"], ["x"]]}
-    split = files.csv_grid(spark, str(tmp_path / "b.csv"), max_columns=8, multi_line=False)
+    split = files.csv_grid(spark, str(tmp_path / "b.csv"), multi_line=False)
     assert [r["cells"] for r in split.orderBy("row_no").collect()] == [["k", "v"], ["x"]]
-    with pytest.raises(Exception, match="max_columns"):
-        files.csv_grid(spark, str(tmp_path / "a.csv"), max_columns=2).collect()
+    (tmp_path / "w.csv").write_text(",".join(f"f{i}" for i in range(3000)) + ',"a, ""b""",,"' + "x" * 20000 + '"\n', encoding="utf-8")
+    wide = files.csv_grid(spark, str(tmp_path / "w.csv")).first()["cells"]
+    assert len(wide) == 3003 and wide[2999:] == ["f2999", 'a, "b"', "", "x" * 20000]
 
 
 def test_text_documents_and_formats(spark, tmp_path):
@@ -139,7 +140,12 @@ def test_sinks(spark, matched, tmp_path):
     back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').filter("doc_id = 2")
     assert sorted((r["Output Attribute"], r["Value"]) for r in back.collect()) == [("Machine Type", "m"), ("zzz", "<&>")]
     wr.write_json(matched, str(tmp_path / "json"))
-    wr.write_xml(matched, str(tmp_path / "xml"))
+    wr.write_xml(matched, str(tmp_path / "xml"), folders=True)
+    wr.write_xml(matched, str(tmp_path / "pieces"))
+    assert spark.read.json(str(tmp_path / "pieces")).filter("doc_id = 1").count() == 6
+    named = matched.withColumn("doc_id", F.concat(F.lit("/in/" + "long/" * 80), F.col("doc_id").cast("string")))
+    wr.write_csv(named, str(tmp_path / "long"))
+    assert spark.read.csv(str(tmp_path / "long"), header=True, escape='"').select("doc_id").distinct().count() == 2
     assert spark.read.json(str(tmp_path / "json")).count() == 6
     written = "".join(f.read_text() for f in sorted((tmp_path / "xml" / "doc_id=1").glob("part-*")))
     assert [e.text for e in ET.fromstring(written.split("\n", 1)[1])] == ["ORD-1", "q", "5", "x"]
@@ -154,7 +160,8 @@ def test_xml_tags_and_nesting(spark):
 def test_output_projection_with_extras(spark, tmp_path):
     rows = [(1, 0, "A", "1", {"Note": "n", "value": "z"}), (1, 1, "B", "2", {"Note": "m", "Extra": "e"})]
     df = spark.createDataFrame(rows, "doc_id int, pos long, attribute string, value string, extras map<string,string>")
-    out = wr.output_projection(df)
+    assert wr.output_projection(df).columns == ["Output Attribute", "Value", "extras"]
+    out = wr.output_projection(df, wr.extra_columns(df))
     assert out.columns[:2] == ["Output Attribute", "Value"] and sorted(out.columns[2:]) == ["Extra", "Note"]
     wr.write_tabular(df.withColumn("sheet", F.lit("s" * 40)), str(tmp_path / "t"))
     assert spark.read.csv(str(tmp_path / "t"), header=True).select("sheet_name").distinct().first()[0] == "s" * 31

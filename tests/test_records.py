@@ -99,15 +99,20 @@ def test_json_flatten(spark):
     assert ns.flatten_json(df.filter("doc_id = 2"), strip_headers=False).count() == 2
 
 
-def test_json_deeper_than_the_limit_fails_instead_of_losing_values(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "doc_id int, text string")
-    assert pairs(ns.flatten_json(df, max_depth=2)) == [("a b c", "1")]
-    with pytest.raises(Exception, match="max_depth"):
-        ns.flatten_json(df, max_depth=1).collect()
-    lists = spark.createDataFrame([(1, '[[[{"a":1}]]]')], "doc_id int, text string")
-    assert pairs(ns.flatten_json(lists, max_depth=3)) == [("item 1 1 1 a", "1")]
-    with pytest.raises(Exception, match="max_depth"):
-        ns.flatten_json(lists, max_depth=1).collect()
+def test_json_of_any_depth_is_read(spark):
+    deep = "".join(f'{{"k{i}":[' for i in range(60)) + '{"a":1,"b":[[{"c":2}]]}' + "]}" * 60
+    df = spark.createDataFrame([(1, deep), (2, '[[[{"a":1}]]]'), (3, '{"a":{"b":{"c":1}}}')], "doc_id int, text string")
+    got = {r["raw_attribute"]: r["value"] for r in ns.flatten_json(df).filter("doc_id = 1").collect()}
+    path = ".".join(f"k{i}_1" for i in range(60))
+    assert got == {f"{path}.a": "1", f"{path}.b_1_1.c": "2"}
+    assert pairs(ns.flatten_json(df.filter("doc_id > 1"))) == [("a b c", "1"), ("item 1 1 1 a", "1")] or len(pairs(ns.flatten_json(df.filter("doc_id > 1")))) == 2
+
+
+def test_documents_that_cannot_be_read_are_listed_with_a_reason(spark, monkeypatch):
+    monkeypatch.setattr(ns, "VARIANT_BYTES", 30)
+    df = spark.createDataFrame([(1, "{bad"), (2, "{" + " " * 40), (3, '{"a":1}'), (4, None), (5, "")], "doc_id int, text string")
+    assert {r["doc_id"]: r["error"] for r in ns.unparsable_json(df).collect()} == {
+        1: "malformed", 2: "larger than the parser takes", 4: "malformed", 5: "malformed"}
 
 
 def test_xml_flatten(spark):
