@@ -108,6 +108,41 @@ def block_tokens(cs: Column | str) -> Column:
     return F.array_sort(F.transform(cs, token))
 
 
+# From this cut on blocks are pairs of tokens; below it pairs would outnumber the texts they tell apart.
+PAIR_CUT = 70.0
+
+
+def blocks(tokens: Column | str, length: Column, shared: Column, cut: float) -> Column:
+    """Blocking keys of a text that must share ``shared`` of its numbered characters.
+
+    Two texts that share s tokens have at least k of them among their first ``length - s + k`` tokens
+    (Chaudhuri et al. 2006), so for s of at least two they meet in a pair of leading tokens.
+    """
+    tokens = col(tokens)
+
+    def leading(k: int) -> Column:
+        return F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.least(length, length - shared + k)).cast("int"))
+
+    if cut < PAIR_CUT:
+        return leading(1)
+    first = leading(2)
+    pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda b: F.concat(a, b))))
+    return F.when(shared >= 2, pairs).otherwise(leading(1))
+
+
+def leading_grams(vector: Column | str, cut: float) -> Column:
+    """The n-grams of a unit vector (rarest first) up to the point from which on the rest is too short
+    for a cosine of ``cut`` with any unit vector (Bayardo et al. 2007)."""
+    enough = cut * cut * (1 - EPSILON)
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("kept"))
+
+    def step(s: Column, g: Column) -> Column:
+        total = s["sum"] + g["weight"] * g["weight"]
+        return F.struct(total.alias("sum"), F.when(total >= enough, F.array_append(s["kept"], g["gram"])).otherwise(s["kept"]).alias("kept"))
+
+    return F.aggregate(F.reverse(col(vector)), start, step, lambda s: s["kept"])
+
+
 def ngrams(c: Column | str, low: int = 2, high: int = 4) -> Column:
     """Character n-grams inside word boundaries: each word is padded with one space on both sides."""
     def of_word(w: Column) -> Column:

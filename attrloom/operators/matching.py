@@ -25,6 +25,7 @@ SEMANTIC_GAP = 0.10
 SYNONYM_CONFIDENCE = 0.95
 
 FIXED_POINT = float(2**52)
+EPSILON = 1e-9
 
 CANDIDATE = "struct<canonical:string,guard:string,match_type:string,confidence:double,variation:string>"
 TIERS = ["exact", "prefix", "abbrev", "fuzzy_spaced", "fuzzy_expanded", "semantic_spaced", "semantic_expanded"]
@@ -51,11 +52,15 @@ def exact_lookup(names: DataFrame, dictionary: Dictionary) -> DataFrame:
 def containment(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
     """M2, M3: the longest spelling containing every token of the text; ties go to the earliest.
 
-    A spelling holding all tokens holds the longest one too, so that single token is the join key.
+    A spelling holding all tokens holds the rarest one too, so that single token is the join key. A text
+    with a token no spelling has is out at once.
     """
     query = texts.select("text", tx.tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
-    longest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
-    hits = (query.withColumn("token", longest)
+    counts = dictionary.token_counts.select(F.col("token").alias("_t"), "df")
+    each = tx.explode_costly(query, "tokens", "_t").join(dictionary.side(counts), "_t", "left")
+    rarest = (each.groupBy("text").agg(F.min(F.struct("df", "_t")).alias("r"), F.first("tokens").alias("tokens"), F.count_if(F.col("df").isNull()).alias("unknown"))
+              .filter("unknown = 0").select("text", "tokens", F.col("r._t").alias("token")))
+    hits = (rarest
             .join(dictionary.side(dictionary.token_index), "token")
             .filter(F.size(F.array_except("tokens", "var_tokens")) == 0))
     best = F.max_by(F.struct("canonical", "guard"), F.struct("form_length", -F.col("var_no")))
@@ -85,7 +90,8 @@ def fuzzy_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFr
 
     Prefix filtering (Chaudhuri et al. 2006, Bayardo et al. 2007) on numbered characters: a pair of
     lengths a and b reaching the cut shares at least ``ceil(cut * (a + b) / 200)`` of them, so the two
-    rarest-first lists already meet within their first ``length - shared + 1`` tokens.
+    rarest-first lists already meet within their first ``length - shared + 1`` tokens, and in two of
+    their first ``length - shared + 2``.
     """
     if not cut > 0:
         raise ValueError("the fuzzy threshold must exceed the gap")
@@ -93,7 +99,9 @@ def fuzzy_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFr
     query = query.filter(F.size("q_cs") > 0).select(
         "text", F.size("q_cs").alias("q_len"), sim.block_tokens("q_cs").alias("_tokens"))
     fewest = sim.shared_needed(F.col("q_len"), sim.shortest_partner(F.col("q_len"), cut), cut)
-    prefix = F.slice("_tokens", F.lit(1), F.col("q_len") - fewest + 1)
+    prefix = sim.blocks("_tokens", F.col("q_len"), fewest, cut)
+    if cut >= sim.PAIR_CUT:  # a partner that needs just one shared token is blocked by single tokens
+        prefix = F.concat(prefix, F.when(fewest < 2, sim.blocks("_tokens", F.col("q_len"), F.lit(2), cut)).otherwise(F.array().cast("array<string>")))
     blocks = tx.explode_costly(query.withColumn("_prefix", prefix), "_prefix", "block").select("text", "q_len", "block")
 
     pairs = blocks.join(dictionary.side(dictionary.fuzzy_index(cut)), ["q_len", "block"]).select("text", "var_no").distinct()
@@ -114,24 +122,34 @@ def fuzzy_match(texts: DataFrame, dictionary: Dictionary, threshold: float = FUZ
                        F.col("form").alias("variation"))
 
 
-def tfidf_scores(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """Cosine of every (text, corpus spelling) pair that shares an n-gram: a sparse dot product as an
-    equi-join on the n-gram.
+def tfidf_pairs(vectors: DataFrame, dictionary: Dictionary, cut: float) -> DataFrame:
+    """(text, corpus spelling) pairs that may reach a cosine of ``cut``.
 
-    The sums reuse the layout of the text vectors, so they need no shuffle of their own. They add
-    whole numbers of 2**-52, which makes them the same in any order.
+    N-grams are ordered from rare to frequent. A pair whose first common n-gram lies behind the leading
+    ones of either side has too little left to reach the cut, so both sides join on leading n-grams only.
     """
-    query = dictionary.unit_vectors(texts, "text", "text").withColumnRenamed("weight", "w")
-    hits = query.join(dictionary.side(dictionary.gram_weights), "gram")
-    units = F.round(F.col("w") * F.col("weight") * F.lit(FIXED_POINT)).cast("bigint")
-    return hits.groupBy("text", "var_no").agg((F.sum(units) / F.lit(FIXED_POINT)).alias("score"))
+    leading = tx.explode_costly(vectors.select("text", sim.leading_grams("vector", cut).alias("_l")), "_l", "gram").select("text", "gram")
+    return leading.join(dictionary.side(dictionary.gram_index(cut)), "gram").select("text", "var_no").distinct()
+
+
+def tfidf_scores(texts: DataFrame, dictionary: Dictionary, cut: float) -> DataFrame:
+    """Cosine of every (text, corpus spelling) pair that reaches ``cut``.
+
+    The sums add whole numbers of 2**-52, which makes them the same in any order.
+    """
+    vectors = dictionary.vectors(texts, "text", "text")
+    rated = tfidf_pairs(vectors, dictionary, cut).join(vectors, "text").join(
+        dictionary.side(dictionary.corpus_vectors.withColumnRenamed("vector", "other")), "var_no")
+    other = F.map_from_entries(F.transform("other", lambda g: F.struct(g["gram"], g["weight"])))
+    units = tx.let(other, lambda known: F.aggregate("vector", F.lit(0).cast("bigint"), lambda total, g: total + F.coalesce(
+        F.round(g["weight"] * F.element_at(known, g["gram"]) * F.lit(FIXED_POINT)).cast("bigint"), F.lit(0).cast("bigint"))))
+    return rated.select("text", "var_no", (units / F.lit(FIXED_POINT)).alias("score")).filter(F.col("score") >= cut)
 
 
 def tfidf_match(texts: DataFrame, dictionary: Dictionary, threshold: float = SEMANTIC_THRESHOLD,
                 gap: float = SEMANTIC_GAP, gap_scope: str = "text") -> DataFrame:
     """M5: best TF-IDF cosine. A pair sharing no n-gram scores 0, which only matters below the gap."""
-    scored = tfidf_scores(texts, dictionary).filter(F.col("score") >= threshold - gap)
-    scored = scored.join(dictionary.side(dictionary.corpus), "var_no")
+    scored = tfidf_scores(texts, dictionary, max(threshold - gap, EPSILON)).join(dictionary.side(dictionary.corpus), "var_no")
     best = _best_with_lead(scored, threshold, gap, gap_scope)
     return best.select("text", "canonical", "guard", F.col("score").alias("confidence"),
                        F.col("form").alias("variation"))

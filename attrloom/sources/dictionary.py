@@ -114,7 +114,13 @@ class Dictionary:
         return materialize(kept.select("gram", "df", idf.alias("idf")), "dictionary-gram-idf")
 
     def unit_vectors(self, texts: DataFrame, key: str, text: str) -> DataFrame:
-        """TF-IDF rows ``(key, gram, weight)`` of unit length; n-grams unknown to the corpus are left out.
+        """TF-IDF rows ``(key, gram, weight)`` of unit length."""
+        unit = tx.explode_costly(self.vectors(texts, key, text), "vector", "g")
+        return unit.select(key, "g.gram", "g.weight")
+
+    def vectors(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        """TF-IDF vectors ``(key, vector array<struct<df, gram, weight>>)`` of unit length, rarest n-gram
+        first; n-grams unknown to the corpus are left out.
 
         The one shuffle groups the n-grams of a text. They are sorted before the length is summed, so
         the weights do not depend on the order rows arrive in.
@@ -122,16 +128,32 @@ class Dictionary:
         spelled = texts.select(key, sim.ngrams(text).alias("_all"))
         grams = tx.explode_costly(spelled, F.array_distinct("_all"), "gram")
         tf = F.size(F.filter("_all", lambda g: g == F.col("gram")))
-        raw = grams.join(self.side(self.gram_idf), "gram").select(key, F.struct("gram", (tf * F.col("idf")).alias("w")).alias("g"))
+        raw = grams.join(self.side(self.gram_idf), "gram").select(key, F.struct("gram", (tf * F.col("idf")).alias("w"), "df").alias("g"))
         vectors = raw.groupBy(key).agg(F.array_sort(F.collect_list("g")).alias("gs"))
         length = F.sqrt(F.aggregate("gs", F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
-        unit = tx.explode_costly(vectors.withColumn("norm", length), "gs", "g")
-        return unit.select(key, "g.gram", (F.col("g.w") / F.col("norm")).alias("weight"))
+        scaled = F.transform("gs", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), (g["w"] / F.col("norm")).alias("weight")))
+        return vectors.withColumn("norm", length).select(key, F.array_sort(scaled).alias("vector"))
+
+    @cached_property
+    def corpus_vectors(self) -> DataFrame:
+        """Unit-length TF-IDF vectors ``(var_no, vector)`` of the corpus."""
+        return materialize(self.vectors(self.corpus, "var_no", "form"), "dictionary-vectors")
 
     @cached_property
     def gram_weights(self) -> DataFrame:
         """Unit-length TF-IDF rows ``(var_no, gram, weight)`` of the corpus."""
-        return materialize(self.unit_vectors(self.corpus, "var_no", "form"), "dictionary-gram-weights")
+        rows = self.corpus_vectors.select("var_no", F.explode("vector").alias("g"))
+        return materialize(rows.select("var_no", "g.gram", "g.weight"), "dictionary-gram-weights")
+
+    def gram_index(self, cut: float) -> DataFrame:
+        """Leading n-grams ``(gram, var_no)`` of every corpus vector: those one of which any vector with a
+        cosine of at least ``cut`` must share."""
+        return _gram_index(self, cut)
+
+    @cached_property
+    def token_counts(self) -> DataFrame:
+        """Token -> number of spellings that contain it."""
+        return materialize(self.token_index.groupBy("token").agg(F.count("*").alias("df")), "dictionary-token-counts")
 
     def profile(self, sample: int = 5) -> DataFrame:
         """A10: entries in order with their first variations, and the number of entries."""
@@ -141,15 +163,20 @@ class Dictionary:
                                    F.lit(n).cast("bigint").alias("entries"))
 
 
+@lru_cache(maxsize=64)
+def _gram_index(dictionary: Dictionary, cut: float) -> DataFrame:
+    return materialize(dictionary.corpus_vectors.select(F.explode(sim.leading_grams("vector", cut)).alias("gram"), "var_no"),
+                       "dictionary-gram-index")
+
+
 @lru_cache(maxsize=64)
 def _fuzzy_index(dictionary: Dictionary, cut: float) -> DataFrame:
     low = F.greatest(F.lit(1), sim.shortest_partner(F.col("len"), cut))
     sized = dictionary.fuzzy_texts.filter(F.col("len") > 0).select(
         "var_no", "len", "block_tokens",
         F.explode(F.sequence(low, F.greatest(low, sim.longest_partner(F.col("len"), cut)))).alias("q_len"))
-    keep = F.greatest(F.lit(0), F.col("len") - sim.shared_needed(F.col("q_len"), F.col("len"), cut) + 1)
-    prefix = F.slice("block_tokens", F.lit(1), keep.cast("int"))
-    return materialize(sized.select("q_len", F.explode(prefix).alias("block"), "var_no"), "dictionary-fuzzy-index")
+    blocks = sim.blocks("block_tokens", F.col("len"), sim.shared_needed(F.col("q_len"), F.col("len"), cut), cut)
+    return materialize(sized.select("q_len", F.explode(blocks).alias("block"), "var_no"), "dictionary-fuzzy-index")
 
 
 def dictionary_from(entries: DataFrame, **options) -> Dictionary:

@@ -73,9 +73,22 @@ def test_tfidf_matches_brute_force(spark, dictionary):
         return {g: x / norm for g, x in w.items()}
 
     vectors = {v: vector(f) for v, f in corpus}
-    for r in mt.tfidf_scores(as_texts(spark, ["ordr date", "totalprice"]), dictionary).collect():
-        q = vector(r["text"])
-        assert math.isclose(r["score"], sum(x * vectors[r["var_no"]].get(g, 0) for g, x in q.items()), abs_tol=1e-9)
+    for cut in (0.05, 0.4, 0.62):
+        want = {}
+        for name in NAMES:
+            q = vector(name)
+            for v, other in vectors.items():
+                score = sum(x * other.get(g, 0) for g, x in q.items())
+                if score >= cut:
+                    want[name, v] = score
+        got = {(r["text"], r["var_no"]): r["score"] for r in mt.tfidf_scores(as_texts(spark, NAMES), dictionary, cut).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in got)
+
+
+def test_tfidf_candidates_are_few(spark, dictionary):
+    names = as_texts(spark, NAMES)
+    pairs = mt.tfidf_pairs(dictionary.vectors(names, "text", "text"), dictionary, 0.62).count()
+    assert pairs < 0.1 * len(NAMES) * dictionary.corpus.count()
 
 
 def test_short_words_give_no_four_grams(spark):
