@@ -25,6 +25,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ POSITION_BITS = 24
 BATCHES = 4
 #: Different runs of one anchor hash that are compared in one task; more of them are compared by a shuffle of their windows.
 GROUP_RUNS = 1 << 16
-#: Stored bytes up to which a per-document table is broadcast instead of shuffling the texts.
-BROADCAST_BYTES = 32 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -197,17 +196,19 @@ class SuffixIndex:
         self.levels = []
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Size of a checkpointed table as rows of their estimated width."""
-    row = df.agg(F.count("*"), F.sum(F.size("parts"))).first()
-    return 40 * row[0] + 40 * (row[1] or 0)
+def with_text(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
+    """``(doc_id, doc, packed text)`` joined with one row per document (``doc``, ``parts``) by a shuffle on the document;
+    the texts are packed for it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("text", pa.binary())])
 
+    def pack(batches):
+        packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        for batch in row_blocks(batches):
+            yield record_batch(schema, [batch.column(0), batch.column(1), [packer.compress(x.as_buffer()) for x in batch.column(2).cast(pa.binary())]])
 
-def with_text(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with one row per document (``doc``, ``parts``): a broadcast of checked size, else a shuffle by document."""
+    packed = docs.select("doc_id", "doc", "text").mapInArrow(pack, "doc_id long, doc long, text binary")
     side = per_doc.withColumnRenamed("doc", "_doc")
-    side = F.broadcast(side) if stored_bytes(per_doc) <= BROADCAST_BYTES else side.hint("merge")
-    return docs.join(side, F.col("doc") == F.col("_doc"), how).drop("_doc")
+    return packed.join(side.hint("merge"), F.col("doc") == F.col("_doc"), how).drop("_doc")
 
 
 CONTEXT_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("n_windows", pa.int32()), ("shift", pa.int32()), ("bytes", pa.binary())])
@@ -287,9 +288,9 @@ def duplicate_spans(index: SuffixIndex, docs: DataFrame, keys: DataFrame, group_
     def contexts(batches):
         for batch in row_blocks(batches):
             out = []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-                data = text.as_buffer()
-                out += [(p["key"], doc, p["first"], p["n_windows"], p["shift"], data[p["first"]:p["first"] + p["n_windows"] - 1 + length].to_pybytes(), p["m"]) for p in wanted]
+            for doc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                data = zstandard.decompress(text)
+                out += [(p["key"], doc, p["first"], p["n_windows"], p["shift"], data[p["first"]:p["first"] + p["n_windows"] - 1 + length], p["m"]) for p in wanted]
             if out:
                 yield record_batch(schema, list(zip(*out, strict=True)))
 
@@ -341,8 +342,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     def finish(batches):
         for batch in row_blocks(batches):
             out = []
-            for doc, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes()
+            for doc, text, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                data = zstandard.decompress(text)
                 cuts = merged([(p["start"], p["end"]) for p in parts or []])
                 ends = [0, *(b for _, b in cuts)]
                 kept = b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in cuts), len(data)], strict=True))

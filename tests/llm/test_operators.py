@@ -66,12 +66,6 @@ def test_repeated_bytes(docs, texts, length, gram, group_runs):
     assert all(a.end < b.start for r in got for a, b in zip(r.removed, r.removed[1:]))
 
 
-def test_repeated_bytes_beyond_the_broadcast(docs, texts, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
-    got = suffix_dedup.remove_repeats(docs.filter("doc_id > 5"), 60, 12).collect()
-    assert sorted((r.n_bytes, sha(bytes(r.kept))) for r in got) == sorted((a, c) for a, _, c in expected_removals([t for t in texts if (t[0] or 0) > 5], 60))
-
-
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 300)
     rng = random.Random(2)
