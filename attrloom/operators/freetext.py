@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
-from attrloom.functions.text import WS
 from attrloom.operators.records import explode_first, name_value_key, split_key_value, usable_pair
 
 PAIRS = "array<struct<attribute:string,value:string>>"

@@ -110,8 +110,10 @@ def extract_wide(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
         *keys, F.col("row_no").alias("pos"),
         F.get("cells", attribute_position("headers")).alias("attribute"),
         F.get("cells", value_position("headers")).alias("value"),
-        F.map_from_arrays("headers", "cells").alias("extras"), "cells")
-    return dedupe_records(usable(pairs), keys, also=["cells"]).drop("cells")
+        "headers", "cells")
+    # The extras are built behind the dedupe, whose shuffle then carries every cell once.
+    kept = dedupe_records(usable(pairs), keys, also=["cells"])
+    return kept.withColumn("extras", F.map_from_arrays("headers", "cells")).drop("headers", "cells")
 
 
 def extract_pairs(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -11,9 +11,9 @@ from attrloom.session import materialize
 HEAVY_KEYS = 1024
 SPREAD = 4096
 
-# A stored table is broadcast up to this many rows and characters.
+# A stored table is broadcast up to this many rows and stored bytes.
 BROADCAST_ROWS = 500_000
-BROADCAST_CHARS = 64_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def _hashable(df: DataFrame) -> list[Column]:
@@ -21,13 +21,17 @@ def _hashable(df: DataFrame) -> list[Column]:
     return [F.col(f"`{name}`") for name in plain]
 
 
-def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_chars: int | None = None) -> bool:
-    """Whether a stored table is small enough to send to every executor, by its real row count and
-    text size."""
-    size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("chars")
-    got = df.agg(F.count("*").alias("rows"), size).first()
-    return (got["rows"] <= (BROADCAST_ROWS if max_rows is None else max_rows)
-            and (got["chars"] or 0) <= (BROADCAST_CHARS if max_chars is None else max_chars))
+def stored_bytes(df: DataFrame) -> int:
+    """Size of a stored table by its files, as the optimizer knows it; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Whether a stored table is small enough to send to every executor, by its row count (from the file
+    footers) and its stored size."""
+    if stored_bytes(df) > (BROADCAST_BYTES if max_bytes is None else max_bytes):
+        return False
+    return df.count() <= (BROADCAST_ROWS if max_rows is None else max_rows)
 
 
 def join_per_key(big: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:

@@ -156,6 +156,8 @@ def tfidf_match(texts: DataFrame, dictionary: Dictionary, threshold: float = SEM
 
 
 CORPUS_BLOCK = 256
+# Dense vectors sent to every executor at most.
+BROADCAST_VECTORS = 4096
 
 
 def embedding_match(texts: DataFrame, corpus: DataFrame, threshold: float = SEMANTIC_THRESHOLD,
@@ -165,8 +167,10 @@ def embedding_match(texts: DataFrame, corpus: DataFrame, threshold: float = SEMA
     ``texts(text, vector)`` against ``corpus(var_no, form, canonical, guard, vector)``. The corpus is
     packed into blocks of about CORPUS_BLOCK vectors; a text meets each block once and keeps its two best
     there, so the exact top two come from a join on the block number with two rows per text and block.
+    Up to BROADCAST_VECTORS vectors the blocks go to the texts, beyond that both are shuffled by block.
     """
-    n_blocks = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    total = corpus.count()
+    n_blocks = max(1, -(-total // CORPUS_BLOCK))
     block = F.pmod(F.xxhash64("var_no"), F.lit(n_blocks)).cast("int")
     blocks = corpus.select(block.alias("block"), "var_no", "form", "canonical", "guard", "vector",
                            sim.norm2("vector").alias("length"))
@@ -179,6 +183,7 @@ def embedding_match(texts: DataFrame, corpus: DataFrame, threshold: float = SEMA
         score(m).alias("score"), (-m["var_no"]).alias("neg_no"), m["form"].alias("form"),
         m["canonical"].alias("canonical"), m["guard"].alias("guard")))
     top = F.slice(F.sort_array(rated, asc=False), 1, 2)
+    blocks = F.broadcast(blocks) if total <= BROADCAST_VECTORS else blocks
     scored = spread.join(blocks, "block").select("text", F.explode(top).alias("m")).select(
         "text", (-F.col("m.neg_no")).alias("var_no"), "m.form", "m.canonical", "m.guard", "m.score")
     best = _best_with_lead(scored, threshold, gap, "text")

@@ -54,11 +54,13 @@ def explode_first(docs: DataFrame, items: str, key) -> DataFrame:
     """E8, T10 for documents held in one row: the first item of every key as a row.
 
     Duplicates go before the items leave the row, so nothing is shuffled. ``pos`` is the index in the
-    array; the fields of the items become columns.
+    array; the fields of the items become columns. Equal keys stand together after a sort, so the work
+    grows with n log n of the items.
     """
-    keyed = docs.withColumn("_keys", F.transform(items, key))
-    kept = F.transform(F.array_distinct("_keys"), lambda k: F.array_position(F.col("_keys"), k).cast("int"))
-    out = tx.explode_costly(keyed.withColumn("_kept", kept), "_kept", "_at")
+    numbered = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    firsts = tx.let(numbered, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
+    kept = F.transform(firsts, lambda x: (x["i"] + 1).cast("int"))
+    out = tx.explode_costly(docs.withColumn("_kept", kept), "_kept", "_at")
     rest = [c for c in docs.columns if c != items]
     picked = out.select(*rest, (F.col("_at") - 1).cast("bigint").alias("pos"), F.get(F.col(items), F.col("_at") - 1).alias("_item"))
     return picked.select(*rest, "pos", "_item.*")
@@ -116,8 +118,3 @@ def unpivot_table(df: DataFrame, doc_id: Column | str, columns: dict[str, Column
                               F.coalesce(value.cast("string"), F.lit("")).alias("value")))
     exploded = df.select(tx.col(doc_id).alias("doc_id"), F.explode(F.array(*pairs)).alias("_p"))
     return exploded.select("doc_id", "_p.pos", "_p.attribute", "_p.value")
-
-
-def with_document_flags(records: DataFrame, flags: DataFrame, weight: str) -> DataFrame:
-    """Records with one-row-per-document flags joined on, safe for documents of any size."""
-    return join_per_key(records, flags, ["doc_id"], weight)

@@ -137,8 +137,3 @@ def threshold_sweep(names_scores: DataFrame, thresholds: list[float], gap: float
     counted = names_scores.agg(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), a.alias("accepted"))
                                          for t, a in zip(thresholds, accepted)]).alias("rows"))
     return counted.select(F.inline("rows"))
-
-
-def with_totals(records: DataFrame, counts: DataFrame, weight: str = "total_attributes") -> DataFrame:
-    """Records with their document's report joined on, for documents of any size."""
-    return join_per_key(records, counts.withColumn("_w", F.col(weight)), DOC, "_w")

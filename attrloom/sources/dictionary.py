@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attrloom.functions import similarity as sim
 from attrloom.functions import text as tx
 from attrloom.functions.shapes import guard_kind
+from attrloom.operators.lookups import BROADCAST_BYTES, stored_bytes
 from attrloom.session import materialize
 
 SEED_PATH = str(Path(__file__).resolve().parent.parent / "data" / "seed_dictionary.json")
@@ -43,7 +44,8 @@ class Dictionary:
 
     def side(self, df: DataFrame) -> DataFrame:
         """A lookup table as a join side: broadcast only when its checked size allows it."""
-        return F.broadcast(df) if self.n_texts <= BROADCAST_TEXTS else df
+        small = self.n_texts <= BROADCAST_TEXTS and stored_bytes(df) <= BROADCAST_BYTES
+        return F.broadcast(df) if small else df
 
     @cached_property
     def texts(self) -> DataFrame:

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attrloom.operators.lookups import stored_bytes
+
+# Stored bytes beyond which a table is never shuffled just to use more cores.
+SPREAD_BYTES = 256 << 20
+
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """A file scan spread over the cores when its files give fewer read tasks than there are cores.
 
     The operators behind it are bound by CPU per row, so a small file with one row group must not pin
-    them to one core. A table with enough splits is read as it is, without a shuffle.
+    them to one core. A table with enough splits, or of more than ``SPREAD_BYTES``, is read as it is,
+    without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or stored_bytes(df) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores, *columns)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

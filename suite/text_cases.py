@@ -98,9 +98,10 @@ def part_dictionary(t: Tables):
                          .when(F.col("p_size") % 4 == 1, F.lit(" amt")).otherwise(F.lit("")))
     groups = t.part.groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set(variation)).alias("variations"))
     canonical = F.concat("p_type", F.when(F.col("p_brand") < "Brand#2", F.lit(" Qty")).otherwise(F.lit("_No")))
-    # The number of entries is that of (brand, type) pairs, a small fixed vocabulary.
-    numbered = groups.select((F.row_number().over(Window.orderBy("p_brand", "p_type")) - 1).alias("entry_no"),
-                             canonical.alias("canonical"), "variations")
+    # Only the (brand, type) pairs, a small fixed vocabulary, are numbered in one task; the texts stay spread.
+    pairs = t.part.select("p_brand", "p_type").distinct()
+    number = pairs.select("p_brand", "p_type", (F.row_number().over(Window.orderBy("p_brand", "p_type")) - 1).alias("entry_no"))
+    numbered = groups.join(number, ["p_brand", "p_type"]).select("entry_no", canonical.alias("canonical"), "variations")
     return dictionary_from(numbered)
 
 

@@ -28,7 +28,7 @@ def test_large_sides_are_not_broadcast(spark, monkeypatch):
     assert joined.filter("low is null").count() == 0 and joined.count() == 3000
     assert "_heavy" in joined._jdf.queryExecution().optimizedPlan().toString()
     assert not lk.fits_broadcast(side) and lk.fits_broadcast(side.limit(3))
-    assert not lk.fits_broadcast(side.limit(3), max_chars=5)
+    assert not lk.fits_broadcast(side.limit(3), max_bytes=5)
 
 
 def test_first_per_key(spark):
