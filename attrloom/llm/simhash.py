@@ -275,10 +275,12 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the one of the smallest ``doc_id`` (a null id
     only if the group has no other), of equal ids the one with the smaller row hash, of equal rows one."""
     found = cut(near_duplicates(docs, **(settings or STAGE)).select("doc_id", "row", "component_id"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row"))
-    best = found.groupBy("component_id").agg(F.min(rank).alias("best"))
-    later = (found.join(best, "component_id").filter(F.col("row") != F.col("best.row"))
-             .select(F.col("row").alias("_row"), F.col("doc_id").alias("_id")).distinct())
+    named = F.coalesce("doc_id", F.lit(-1)) == F.col("component_id")
+    # Rows with the id their group is named by are few for every group, so no group meets in a task.
+    heads = found.filter(named)
+    best = heads.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "row")).alias("best"))
+    ties = heads.join(best, "component_id").filter(F.col("row") != F.col("best.row")).select("doc_id", "row")
+    later = found.filter(~named).select("doc_id", "row").unionByName(ties).select(F.col("row").alias("_row"), F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(later, (row_hash() == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
         return kept
