@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ class Fold:
         return F.encode(F.concat_ws("", F.transform(ids, lambda i: F.get(self.tokens, i))), "ISO-8859-1")
 
 
-def known_pieces(docs: DataFrame, fold: Fold, most: int = KNOWN_PIECES) -> dict[str, bytes]:
+def known_pieces(docs: DataFrame, fold: Fold, most: int = KNOWN_PIECES) -> bytes:
     """Ids (32 bit) of the most frequent pieces behind a blank: those above the lowest count that keeps their number within ``most``."""
     schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
 
@@ -112,10 +113,25 @@ def known_pieces(docs: DataFrame, fold: Fold, most: int = KNOWN_PIECES) -> dict[
             break
         level = row["level"]
     if level is None:
-        return {}
+        return b""
     chosen = counted.filter(F.col("level") >= level).select("piece")
     rows = chosen.select("piece", fold.piece(F.concat(F.lit(" "), "piece")).alias("ids")).toArrow()
-    return {p: np.array(i, dtype="<i4").tobytes() for p, i in zip(rows["piece"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
+    packed = pa.BufferOutputStream()
+    with pa.ipc.new_stream(packed, rows.schema) as stream:
+        stream.write_table(rows)
+    return packed.getvalue().to_pybytes()
+
+
+@lru_cache(maxsize=1)
+def piece_table(packed: bytes) -> dict[str, bytes]:
+    """The look-up table of a worker from its packed form, in which the driver holds and sends it."""
+    found: dict[str, bytes] = {}
+    for batch in pa.ipc.open_stream(packed) if packed else ():
+        offsets = batch.column(1).offsets.to_numpy()
+        ids = batch.column(1).values.to_numpy(zero_copy_only=False).astype("<i4")
+        for piece, start, stop in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found[piece] = ids[start:stop].tobytes()
+    return found
 
 
 def encode(docs: DataFrame, fold: Fold | None = None) -> DataFrame:
@@ -126,7 +142,7 @@ def encode(docs: DataFrame, fold: Fold | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def look_up(batches):
-        known, coder = shared.value, encoder(path)
+        known, coder = piece_table(shared.value), encoder(path)
         for batch in row_blocks(batches):
             values, ends = [], [0]
             for text in batch.column(1).to_pylist():
