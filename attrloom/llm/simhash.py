@@ -258,12 +258,20 @@ def links(classes: DataFrame, n_bits: int, blocks: int, radius: int, near: int |
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, blocks: int = 2, radius: int = 3, near: int | None = None) -> DataFrame:
-    """``doc_id``, ``row``, ``fp`` and ``component_id`` (the smallest doc_id reachable over links of at most ``radius`` bits)."""
+    """``doc_id``, ``row``, ``fp``, ``component_id`` (the smallest doc_id reachable over links of at most ``radius`` bits)
+    and ``component``, the number of the group. Groups that share a ``component_id`` stay different groups."""
     marked = cut(fingerprints(docs, shingle, n_words))
-    classes = cut(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id")).select("id", "fp"))
-    found = components(links(classes, 64 * n_words, blocks, radius, near))
-    named = classes.join(found, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "row", "fp", "component_id")
+    classes = numbered(marked.groupBy("fp").agg(F.min("doc_id").alias("name")))
+    found = components(links(classes.select("id", "fp"), 64 * n_words, blocks, radius, near))
+    grouped = classes.join(found, "id", "left").select(F.col("fp").alias("_fp"), "name", F.coalesce("component", "id").alias("component"))
+    names = grouped.groupBy("component").agg(F.coalesce(F.min("name"), F.lit(-1)).alias("component_id"))
+    named = grouped.join(names, "component").select("_fp", "component", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "row", "fp", "component_id", "component")
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with a unique ``id``, written, since the numbers differ from run to run."""
+    return cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
 
 #: For corpus clean-up: five-word shingles and 256 bits, of which about 39 differ at a shingle similarity of 0.8.
@@ -274,13 +282,17 @@ STAGE = {"shingle": 5, "n_words": 4, "blocks": 16, "radius": 48, "near": 1}
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the one of the smallest ``doc_id`` (a null id
     only if the group has no other), of equal ids the one with the smaller row hash, of equal rows one."""
-    found = cut(near_duplicates(docs, **(settings or STAGE)).select("doc_id", "row", "component_id"))
-    named = F.coalesce("doc_id", F.lit(-1)) == F.col("component_id")
-    # Rows with the id their group is named by are few for every group, so no group meets in a task.
-    heads = found.filter(named)
-    best = heads.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "row")).alias("best"))
-    ties = heads.join(best, "component_id").filter(F.col("row") != F.col("best.row")).select("doc_id", "row")
-    later = found.filter(~named).select("doc_id", "row").unionByName(ties).select(F.col("row").alias("_row"), F.col("doc_id").alias("_id")).distinct()
+    found = cut(near_duplicates(docs, **(settings or STAGE)).select("doc_id", "row", "component"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"))
+    return keep_rows(docs, found, best.select("best.doc_id", "best.row"))
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, best: DataFrame) -> DataFrame:
+    """The documents of the rows ``best`` of all rows ``found``, equal rows once."""
+    # Rows meet by id and hash and not by their group, so no group meets in a task.
+    held = best.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
+    same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    later = found.select("doc_id", "row").distinct().join(held, same, "left_anti").select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
     kept = docs.join(later, (row_hash() == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
         return kept

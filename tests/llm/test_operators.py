@@ -221,6 +221,15 @@ def test_one_of_each_group_stays(docs, texts):
     assert {6, 7, 8, 10, 11, 15, 16, 17} <= set(ids) and (None, texts[8][1]) not in rows
 
 
+@pytest.mark.parametrize("ids", [(None, None, None), (3, 3, 3), (None, 3, None)])
+def test_unrelated_texts_stay_whatever_their_ids(spark, ids):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 60)) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in simhash.keep_first(docs).collect()) == Counter(rows)
+    assert simhash.near_duplicates(docs).select("component").distinct().count() == 3
+
+
 def test_fingerprints(docs, texts, empty):
     got = Counter(tuple(r) for r in sketch.edit_check(docs).collect())
     order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
