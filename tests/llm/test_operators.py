@@ -230,6 +230,42 @@ def test_unrelated_texts_stay_whatever_their_ids(spark, ids):
     assert simhash.near_duplicates(docs).select("component").distinct().count() == 3
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def kept_by_brute_force(rows):
+    """The smallest id of each group of texts linked at a Jaccard similarity of 0.8."""
+    sets, group = [five_words(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return sorted({g: min(i for (i, _), h in zip(rows, group) if h == g) for g in group}.values())
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"w{rng.getrandbits(40)}"
+    return " ".join(words)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, 150)
+        texts += [base, *(edited(rng, base, n) for n in (1, 2, 2, 5, 6, 7, 8, 9))]
+    line = " ".join(f"l{k}" for k in range(12))
+    texts += [" ".join([prose(rng, 20), *[line] * 40]) for _ in range(4)]
+    rows = list(enumerate(texts))
+    kept = sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = kept_by_brute_force(rows)
+    assert kept == want and 12 < len(want) < len(rows)
+
+
 def test_fingerprints(docs, texts, empty):
     got = Counter(tuple(r) for r in sketch.edit_check(docs).collect())
     order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
