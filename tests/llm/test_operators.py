@@ -266,6 +266,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == want and 12 < len(want) < len(rows)
 
 
+def test_pairs_at_the_bound_are_found(spark):
+    rng = random.Random(31)
+    rows = []
+    for pair in range(400):
+        # 160 shared shingles of 180 each: the bound itself.
+        same = " ".join(f"s{pair}x{k}" for k in range(164))
+        rows += [(2 * pair + side, same + "".join(f" t{rng.getrandbits(40)}" for _ in range(20))) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert not {i for i in kept if i % 2} and len(kept) == 400
+
+
+def test_repeated_lines_do_not_hide_a_near_duplicate(spark):
+    rng = random.Random(32)
+    base = prose(rng, 200)
+    texts = [base + " " + " ".join([f"a{k}" for k in range(6)] * 150), base + " " + " ".join([f"b{k}" for k in range(6)] * 150)]
+    assert len(five_words(texts[0]) & five_words(texts[1])) >= 0.8 * len(five_words(texts[0]) | five_words(texts[1]))
+    assert [r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()] == [0]
+
+
 def test_fingerprints(docs, texts, empty):
     got = Counter(tuple(r) for r in sketch.edit_check(docs).collect())
     order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
