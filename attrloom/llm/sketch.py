@@ -2,7 +2,10 @@
 
 Every hash of a five-word shingle below a fixed fraction of the hash range is kept, so a sketch grows with
 its document, sketches merge by union, and containment between very unequal documents can be estimated.
-A document none of whose hashes is low enough keeps its smallest one, so it never has an empty sketch.
+The fraction is the whole range by default: texts of a few words lose nothing, and the estimates are the exact shares.
+With a smaller fraction a document none of whose hashes is low enough keeps its smallest one, so it never has an
+empty sketch. Such a stand-in says which hashes are not there up to itself and nothing beyond the fraction, so two
+sketches are compared in the range both cover; without a hash there the containment is unknown.
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters; fewer than five words are one
 shingle; a text without words has the hash of its bytes. Equal texts have equal fingerprints.
@@ -25,7 +28,7 @@ from attrloom.llm.decontaminate import words
 
 SHINGLE = 5
 #: One hash in this many is kept.
-SCALE = 16
+SCALE = 1
 #: Hashes are written with this many hexadecimal digits, from the 48 high bits.
 DIGITS = 12
 REMEMBERED = 1 << 18
@@ -72,15 +75,25 @@ def read(fingerprint: str) -> np.ndarray:
     return np.pad(raw, ((0, 0), (2, 0))).view(">u8").ravel().astype(np.uint64)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def covered(a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both sketches in the range of hashes that both cover."""
+    limit = np.uint64((1 << 48) // scale)
+    if a[-1] >= limit and b[-1] >= limit:
+        limit = min(a[-1], b[-1]) + np.uint64(1)
+    return a[a < limit], b[b < limit]
+
+
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of common shingles."""
+    a, b = covered(a, b, scale)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of ``a`` that ``b`` has."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+    """Estimated share of the shingles of ``a`` that ``b`` has; not a number if ``a`` has no hash where both are known."""
+    a, b = covered(a, b, scale)
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else float("nan")
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
