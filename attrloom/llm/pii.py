@@ -5,7 +5,9 @@ check. High-recall generators propose further, overlapping spans: separated digi
 runs, dotted numbers, spelled-out e-mail addresses. Boosted trees score each proposal from its format
 and its context, never from what the base checks test (the plus sign, the check digit, the ranges), so
 they learn from the base spans of a bounded sample how personal data looks and carry that over to forms
-the base patterns miss. Calibrated probabilities are cut per kind at a held-out precision; overlapping
+the base patterns miss. For that every base span of the sample is also rewritten in its place without what
+the base looks for: addresses are spelled out, phone numbers lose the plus and the country, card numbers
+their check digit. A proposal that looks like a positive but has no label is no negative. Calibrated probabilities are cut per kind at a held-out precision; overlapping
 selections go to the higher probability, and never touch a base span.
 
 Defined results: null and empty texts have no spans; repeated documents each get their row; without
@@ -39,7 +41,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,64}){1,8}", re.I)
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[(\[]dot[)\]] ?[A-Za-z0-9._%+-]{1,64}){0,4} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,64}){1,8}", re.I)
 GROUPS = re.compile(r"\(?[0-9]{2,5}\)?[ .-]{1,2}[0-9]{3,5}(?:[ .-][0-9]{3,5}){1,3}")
 RUN = re.compile(r"(?<![0-9])[0-9]{9,19}(?![0-9])")
 DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")
@@ -123,7 +125,7 @@ def features(text: str, area: tuple[int, int], kind: int, start: int, end: int)
         2 if before[-1:].isalpha() else 1 if before[-1:].isspace() or not before else 0,
         2 if after[:1].isalpha() else 1 if after[:1].isspace() or not after else 0,
         1 + "=:\"'|#/_".find(last) if last else 0, 1 + "=:\"'|#/_,.".find(after.lstrip()[:1]) if after.strip() else 0,
-        1 + next((k for k, w in enumerate(WORDS_NEAR) if w in near), 62), sum(c.isalpha() for c in span), (right - left) - len(span))]
+        1 + next((k for k, w in enumerate(WORDS_NEAR) if w in near), 62), sum(c.isalpha() for c in span), sum(c.isdigit() for c in text[left:start] + text[end:right]), len(re.findall(r"\. | \.", span)))]
 
 
 
@@ -131,7 +133,7 @@ def candidates(text: str) -> tuple[list, list, np.ndarray]:
     """Base spans, proposals, and the proposals' features."""
     areas = stretches(text)
     base, wide = base_spans(text, areas), proposals(text, areas)
-    rows = np.zeros((len(wide), 18), dtype=np.int64)
+    rows = np.zeros((len(wide), 19), dtype=np.int64)
     at = 0
     for k, (kind, start, end) in enumerate(sorted(wide, key=lambda x: x[1])):
         while at < len(areas) and areas[at][1] <= start:
@@ -141,6 +143,55 @@ def candidates(text: str) -> tuple[list, list, np.ndarray]:
     return base, sorted(wide, key=lambda x: x[1]), rows
 
 
+#: The first features describe the form of a span alone: two proposals alike in these are look-alikes.
+FORM = 10
+SENTENCE = re.compile(r"([A-Za-z]{2,20}) ([A-Za-z]{2,20})\. ([A-Za-z]{2,20})")
+CONTEXT = 64
+
+
+def rewritten(text: str, kind: int, start: int, end: int) -> list[str]:
+    """Forms of a base span that the base patterns do not take."""
+    span = text[start:end]
+    if kind == 0:
+        local, domain = span.split("@", 1)
+        return [f"{local if dot == '.' else local.replace('.', dot)}{at}{domain.replace('.', dot)}" for at, dot in
+                ((" (at) ", "."), ("(at)", "."), (" [at] ", "."), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"))]
+    if kind == 2:
+        return [span[:-1] + str((int(span[-1]) + 1) % 10)]
+    if kind == 3:
+        inside = [span[a:b] for k, a, b in proposals(span, [(0, len(span))]) if k == 3]
+        return [span[1:], *inside]
+    return []
+
+
+def examples(text: str) -> tuple[list[list[int]], list[bool]]:
+    """Features and labels a text gives: its proposals, and its base spans rewritten where they stand.
+
+    A proposal is positive if it lies inside a base span of its kind; a phone number counts only as rewritten, since the
+    plus in front of it would show. A spelled-out address has no label as it stands and is left out. An ``(at)`` between the words of two sentences is the negative of a spelled-out address.
+    """
+    base, wide, rows = candidates(text)
+    data, labels = [], []
+    for (kind, start, end), row in zip(wide, rows.tolist(), strict=True):
+        own = any(k == kind and a <= start and end <= b for k, a, b in base)
+        if kind != 0 and not (own and kind == 3):
+            data.append(row)
+            labels.append(own)
+    made = [(kind, a, b, form, True) for kind, a, b in base for form in rewritten(text, kind, a, b)]
+    if any(kind == 0 for kind, _, _ in base):
+        m = SENTENCE.search(text)
+        if m:
+            made += [(0, m.start(), m.end(), f"{m[1]} {at} {m[2]}. {m[3]}", False) for at in ("(at)", "[at]")]
+    for kind, a, b, form, label in made:
+        left, right = text[max(0, a - CONTEXT):a], text[b:b + CONTEXT]
+        _, found, rows = candidates(left + form + right)
+        for (k, start, end), row in zip(found, rows.tolist(), strict=True):
+            if k == kind and len(left) <= start and end <= len(left) + len(form):
+                data.append(row)
+                labels.append(label)
+    return data, labels
+
+
 class Model:
     def __init__(self, trees: boosting.Trees | None, cuts: list[float]):
         self.trees, self.cuts = trees, cuts
@@ -163,29 +214,32 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, precision: float = PRECISION) -> Model:
     """Fit on the candidates of at most ``sample`` documents, the first by the hash of their id.
 
-    A proposal is positive if it lies inside a base span of its kind. A fifth of the sample is held out
-    for the calibration and the cuts.
+    A proposal of phone or card kind without a label that has the form of a positive may be personal data the base misses and
+    is left out. A fifth of the sample is held out for the calibration and the cuts.
     """
     def gather(batches):
         for batch in row_blocks(batches):
             data, labels, fold = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base, wide, rows = candidates(text)
-                data += rows.tolist()
-                labels += [any(k == kind and a <= start and end <= b for k, a, b in base) for kind, start, end in wide]
-                fold += [(doc or 0) % 5 == 0] * len(wide)
+                rows, known = examples(text)
+                data += rows
+                labels += known
+                fold += [(doc or 0) % 5 == 0] * len(rows)
             if data:
                 yield record_batch(schema, [data, labels, fold])
 
     schema = pa.schema([("x", pa.list_(pa.int64())), ("y", pa.bool_()), ("held", pa.bool_())])
     chosen = docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     few = (doc_texts(docs).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-           .filter(F.col("text").rlike(r"[0-9][0-9 ().-]{5}|[(\[]at[)\]]")))
+           .filter(F.col("text").rlike(r"[0-9][0-9 ().-]{5}|[(\[]at[)\]]|@")))
     found = few.mapInArrow(gather, "x array<long>, y boolean, held boolean").toArrow()
     if not found.num_rows:
         return Model(None, [2.0] * len(KINDS))
     x = np.array(found["x"].to_pylist(), dtype=np.int64)
     y, held = (np.array(found[c].to_pylist(), dtype=bool) for c in ("y", "held"))
+    forms = {tuple(r) for r in x[y & (x[:, 0] >= 2), :FORM].tolist()}
+    sure = y | (x[:, 0] < 2) | ~np.array([tuple(r) in forms for r in x[:, :FORM].tolist()], dtype=bool)
+    x, y, held = x[sure], y[sure], held[sure]
     order = np.lexsort((*x.T, y, held))
     x, y, held = x[order], y[order].astype(float), held[order]
     trees = boosting.calibrate(boosting.fit(x[~held], y[~held]), x[held], y[held])
