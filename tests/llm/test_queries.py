@@ -8,14 +8,14 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
-@pytest.mark.parametrize("name", ["op3_chat", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op3_chat", "op10_decontaminate", "op11_hard_negatives", "op12_page_text", "op13_collocations"])
 def test_query_equals_oracle(spark, name):
     import duckdb
 
     from attrloom.llm.cases import ORACLES, QUERIES
     from check import rows
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "embeddings", "pages"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     want = duck.execute(ORACLES[name])
