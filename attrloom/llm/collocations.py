@@ -267,12 +267,14 @@ def held_slice(name: str, shared) -> Slice:
     return _SLICES[name]
 
 
-COUNT_SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
-COUNT_DDL = "lang string, size int, phrase string, f long"
+COUNT_SCHEMA = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
+COUNT_DDL = "part int, lang string, size int, phrases binary, counts binary"
+SUM_SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+SUM_DDL = "lang string, size int, phrase string, f long"
 
 
-def exact_counts(words: Words, n: int, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and counts of the distinct phrases that begin at ``at``; equal keys are compared word by word."""
+def exact_counts(words: Words, n: int, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, counts and keys of the distinct phrases that begin at ``at``; equal keys are compared word by word."""
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -282,31 +284,59 @@ def exact_counts(words: Words, n: int, at: np.ndarray, key: np.ndarray) -> tuple
     for k in range(n):
         same &= words.number[at + k] == words.number[like + k]
     if same.all():
-        return at[first], count
+        return at[first], count, key[first]
     table_of = np.column_stack([words.language[at], *(words.number[at + k] for k in range(n))])
     _, first, count = np.unique(table_of, axis=0, return_index=True, return_counts=True)
-    return at[first], count
+    return at[first], count, key[first]
 
 
 def block_counts(words: Words, longest: int, partitions: int, known: Slice, totals: bool) -> pa.RecordBatch:
-    columns: list[list] = [[], [], [], []]
+    """Phrases and counts of a block, one row for each hash partition, language and length. Size 0 counts all words."""
+    rows = []
     if totals:
         for language, n in enumerate(np.bincount(words.language, minlength=len(words.languages)).tolist()):
-            for column, value in zip(columns, (words.languages[language], 0, "", n), strict=True):
-                column.append(value)
-    spelling = [w.decode() for w in words.spelling]
+            rows.append((0, words.languages[language], 0, b"", np.int64(n).tobytes()))
     for n, at, hashes in words.phrases(longest):
         key = keys(hashes, partitions)
         found = known.holds(key)
         if not len(found):
             continue
-        first, count = exact_counts(words, n, at[found], key[found])
-        parts = [words.number[first + k].tolist() for k in range(n)]
-        columns[0] += [words.languages[x] for x in words.language[first].tolist()]
-        columns[1] += [n] * len(first)
-        columns[2] += [" ".join([spelling[w] for w in row]) for row in zip(*parts, strict=True)]
-        columns[3] += count.tolist()
-    return record_batch(COUNT_SCHEMA, columns)
+        first, count, key = exact_counts(words, n, at[found], key[found])
+        group = (key >> np.uint64(32)).astype(np.int64) * len(words.languages) + words.language[first]
+        order = np.argsort(group, kind="stable")
+        first, count, group = first[order], count[order].astype("<i8"), group[order]
+        spelled = [b" ".join(row) for row in zip(*([words.spelling[w] for w in words.number[first + k].tolist()] for k in range(n)), strict=True)]
+        present = np.unique(group)
+        cuts = np.append(np.searchsorted(group, present), len(group))
+        for number, start, stop in zip(present.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part, language = divmod(number, len(words.languages))
+            rows.append((part, words.languages[language], n, b"\n".join(spelled[start:stop]), count[start:stop].tobytes()))
+    return record_batch(COUNT_SCHEMA, list(zip(*rows, strict=True)) if rows else [[]] * 5)
+
+
+def summed(counts: DataFrame, partitions: int, threshold: int) -> DataFrame:
+    """The blocks' counts added up by phrase; a task holds the surviving phrases of one hash partition at a time."""
+
+    def merge(batches):
+        current, held = None, {}
+
+        def result():
+            for (language, size), found in held.items():
+                often = [(x.decode(), f) for x, f in found.items() if f >= threshold or not size]
+                if often:
+                    yield record_batch(SUM_SCHEMA, [[language] * len(often), [size] * len(often), *map(list, zip(*often, strict=True))])
+
+        for batch in batches:
+            for part, language, size, phrases, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != current:
+                    yield from result()
+                    current, held = part, {}
+                known = held.setdefault((language, size), {})
+                for phrase, f in zip(phrases.split(b"\n"), np.frombuffer(numbers, dtype="<i8").tolist(), strict=True):
+                    known[phrase] = known.get(phrase, 0) + f
+        yield from result()
+
+    return counts.repartitionById(partitions, "part").sortWithinPartitions("part").mapInArrow(merge, SUM_DDL)
 
 
 def frequent(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD) -> DataFrame:
@@ -328,8 +358,7 @@ def frequent(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD
 
         more = texts.mapInArrow(count, COUNT_DDL)
         counts = more if counts is None else counts.unionByName(more)
-    summed = counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return materialize(summed.filter((F.col("size") == 0) | (F.col("f") >= threshold)), "phrases")
+    return materialize(summed(counts, partitions, threshold), "phrases")
 
 
 def parts(words: Column, sizes: Column) -> Column:

@@ -100,7 +100,7 @@ def test_summary_keeps_every_frequent_key():
 def test_equal_hashes_are_told_apart():
     words = collocations.Words([b"a b c d a b"], ["en"])
     at = np.arange(5)
-    first, count = collocations.exact_counts(words, 2, at, np.zeros(5, dtype=np.uint64))
+    first, count, _ = collocations.exact_counts(words, 2, at, np.zeros(5, dtype=np.uint64))
     assert sorted((words.spelling[words.number[i]], words.spelling[words.number[i + 1]], c) for i, c in zip(first.tolist(), count.tolist())) == [
         (b"a", b"b", 2), (b"b", b"c", 1), (b"c", b"d", 1), (b"d", b"a", 1)]
 
