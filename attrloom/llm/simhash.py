@@ -191,52 +191,27 @@ def shard_links(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, values: np.n
     return ids[linked], ids[forest.label[linked]]
 
 
-class Pairs:
-    """Takes the place of a forest where every pair of two labels is wanted; set sizes that exclude ``similar`` drop a pair."""
-
-    def __init__(self, label: np.ndarray, sizes: np.ndarray, similar: float):
-        self.label, self.sizes, self.similar, self.found = label, sizes, similar, []
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        x, y = self.sizes[a], self.sizes[b]
-        fits = np.minimum(x, y) >= self.similar * np.maximum(x, y) - 1e-9
-        a, b = a[fits], b[fits]
-        self.found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-
-
-def shard_pairs(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, sizes: np.ndarray, label: np.ndarray,
-                values: np.ndarray, near: int, radius: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of one shard within ``radius`` that have different labels."""
-    pairs = Pairs(label, sizes, similar)
-    words = np.ascontiguousarray(fps).view(">u8").astype(np.uint64).T
-    search(pairs, words, values, np.flatnonzero(home), np.arange(len(ids)), near, radius)
-    a, b = np.unique(np.concatenate([*pairs.found, np.zeros((2, 0), dtype=np.int64)], axis=1), axis=1)
-    return np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
-
-
 def matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, size)
 
 
 def links(classes: DataFrame, n_bits: int, blocks: int, radius: int, near: int | None = None,
-          sample: int = TREE_SAMPLE, shard_rows: int = SHARD_ROWS, searched: int | None = None,
-          compared: int | None = None, similar: float | None = None) -> DataFrame:
+          sample: int = TREE_SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Spanning links ``(u, v)`` between the ids of distinct fingerprints ``(id, fp)`` within ``radius`` bits.
 
     ``near`` is the reach inside a block: ``radius // blocks`` (the default) finds every pair, less finds the pairs
-    that come that close on some block. ``searched`` limits the search to the first blocks,
-    ``compared`` (a multiple of 64) the distance to the first bits; then a shard gets those and its block alone. With ``similar``, ``classes`` also
-    has ``n`` (set sizes) and ``label``, and all pairs of different labels come out whose sizes allow that Jaccard similarity. One shuffle, of fingerprints, by shard. The driver holds a bounded sample and one number per shard.
+    that come that close on some block. One shuffle, of fingerprints, by shard. The driver holds a bounded sample and one
+    number per shard.
     """
     bits, size, near = n_bits // blocks, n_bits // 8, radius // blocks if near is None else near
     if bits not in (8, 16, 32, 64):
         raise ValueError("a block needs 8, 16, 32 or 64 bits")
-    classes, searched = classes.select("id", "fp", *(["n", "label"] if similar else [])), searched or blocks
+    classes = classes.select("id", "fp")
     context = classes.sparkSession.sparkContext
     total = classes.count()
     drawn = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()["fp"].combine_chunks()
     rows = matrix(drawn, size)
-    trees = [Tree(block_values(rows, b, bits), shard_rows * len(rows) / max(total, 1)) for b in range(searched)]
+    trees = [Tree(block_values(rows, b, bits), shard_rows * len(rows) / max(total, 1)) for b in range(blocks)]
     shared = context.broadcast(trees)
     count_schema = pa.schema([("block", pa.int32()), ("leaf", pa.int32()), ("n", pa.int64())])
 
@@ -249,8 +224,7 @@ def links(classes: DataFrame, n_bits: int, blocks: int, radius: int, near: int |
 
     held = classes.mapInArrow(count, "block int, leaf int, n long").groupBy("block", "leaf").agg(F.sum("n").alias("n"))
     salts = context.broadcast({(r["block"], r["leaf"]): -(-r["n"] // (2 * shard_rows)) for r in held.filter(F.col("n") > 2 * shard_rows).collect()})
-    more = [("n", pa.int64()), ("label", pa.int64())] if similar else []
-    dealt_schema = pa.schema([("block", pa.int32()), ("leaf", pa.int32()), ("salt", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("fp", pa.binary()), *more])
+    dealt_schema = pa.schema([("block", pa.int32()), ("leaf", pa.int32()), ("salt", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("fp", pa.binary())])
 
     def deal(batches):
         for batch in batches:
@@ -265,11 +239,8 @@ def links(classes: DataFrame, n_bits: int, blocks: int, radius: int, near: int |
                 salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
                 row, leaf, copies = np.repeat(row, copies), np.repeat(leaf, copies), np.repeat(copies, copies)
                 home = (own[row] == leaf) & (ids[row] % copies == salt)
-                sent = batch.column(1)
-                if compared:
-                    sent = pa.array(np.hstack([fps[:, :compared // 8], fps[:, b * bits // 8:(b + 1) * bits // 8]]).copy().view(f"V{(compared + bits) // 8}").ravel().tolist(), type=pa.binary())
                 yield record_batch(dealt_schema, [np.full(len(row), b, dtype=np.int32), leaf.astype(np.int32), salt.astype(np.int32), home,
-                                                  ids[row], *(c.take(pa.array(row)) for c in (sent, *batch.columns[2:]))])
+                                                  ids[row], batch.column(1).take(pa.array(row))])
 
     def shards(batches: Iterator[pa.RecordBatch]):
         """The rows of one shard at a time, from rows sorted by shard."""
@@ -288,17 +259,12 @@ def links(classes: DataFrame, n_bits: int, blocks: int, radius: int, near: int |
 
     def solve(batches):
         for shard in shards(batches):
-            fps = matrix(shard.column(5).combine_chunks(), (compared + bits) // 8 if compared else size)
+            fps = matrix(shard.column(5).combine_chunks(), size)
             ids, home = shard.column(4).to_numpy(), shard.column(3).to_numpy()
-            values = block_values(fps, compared // bits if compared else shard.column(0)[0].as_py(), bits)
-            fps = fps[:, :compared // 8] if compared else fps
-            if similar:
-                found = shard_pairs(ids, fps, home, shard.column(6).to_numpy(), shard.column(7).to_numpy(), values, near, radius, similar)
-            else:
-                found = shard_links(ids, fps, home, values, near, radius)
+            found = shard_links(ids, fps, home, block_values(fps, shard.column(0)[0].as_py(), bits), near, radius)
             yield record_batch(link_schema, list(found))
 
-    dealt = classes.mapInArrow(deal, "block int, leaf int, salt int, home boolean, id long, fp binary" + ", n long, label long" * bool(similar))
+    dealt = classes.mapInArrow(deal, "block int, leaf int, salt int, home boolean, id long, fp binary")
     return (dealt.repartition("block", "leaf", "salt").sortWithinPartitions("block", "leaf", "salt")
             .mapInArrow(solve, "u long, v long").distinct())
 
@@ -320,96 +286,32 @@ def numbered(classes: DataFrame) -> DataFrame:
     return cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
 
-#: Corpus clean-up takes its candidates by 384 bits of the distinct five-word shingles. At a Jaccard similarity of 0.8 and
-#: equal sizes a bit differs with probability 0.152. The pair comes within one bit on some of 24 blocks of 16 bits but for
-#: 1 in 2,500; of the first 256 bits 39 +- 5.7 differ, over 62 for 1 in 50,000. Both together miss about 1 pair in 2,400.
-STAGE = {"n_words": 6, "blocks": 24, "radius": 62, "near": 1, "compared": 256}
-#: Jaccard similarity of the shingle sets from which on two documents are near-duplicates.
-SIMILAR = 0.8
-#: Blocks searched for the first, linear round of links.
-FIRST_BLOCKS = 4
-
-
-def shingle_sets(docs: DataFrame, shingle: int, n_words: int) -> DataFrame:
-    """``doc_id``, ``row``, a 128-bit digest of the shingle set, its size, and the fingerprint of the set. Narrow."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("fp", pa.binary())])
-
-    def run(batches):
-        for batch in row_blocks(batches):
-            rows = []
-            for text in batch.column(2).cast(pa.binary()):
-                kept = np.unique(shingle_hashes(text.as_buffer().to_pybytes(), shingle))
-                rows.append((xxhash.xxh3_128_digest(kept.tobytes()), len(kept), majority(kept, n_words)))
-            yield record_batch(schema, [batch.column(0), batch.column(1), *(list(x) for x in zip(*rows, strict=True))])
-
-    plain = doc_texts(docs).select(F.col("doc_id").cast("long"), row_hash().alias("row"), "text")
-    return plain.mapInArrow(run, "doc_id long, row long, digest binary, n long, fp binary")
-
-
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """The pairs ``(u, v)`` of class ids whose shingle sets have a Jaccard similarity of at least ``similar``."""
-    wanted = pairs.select(F.col("u").alias("_id")).union(pairs.select(F.col("v"))).distinct().join(classes, F.col("_id") == F.col("id"))
-    plain = doc_texts(docs).select(row_hash().alias("row"), "text")
-    texts = plain.join(wanted.select("id", F.col("best.row").alias("_row"), "digest"), F.col("row") == F.col("_row")).select("id", "digest", "text")
-    set_schema, pair_schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())]), pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def hashed(batches):
-        for batch in row_blocks(batches):
-            rows = []
-            for number, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                hashes = np.unique(shingle_hashes(text.as_buffer().to_pybytes(), shingle)).tobytes()
-                if xxhash.xxh3_128_digest(hashes) == digest:
-                    rows.append((number, hashes))
-            if rows:
-                yield record_batch(set_schema, list(zip(*rows, strict=True)))
-
-    def compare(batches):
-        for batch in row_blocks(batches, "b"):
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both >= similar * (len(a) + len(b) - both) - 1e-9)
-            yield record_batch(pair_schema, [c.filter(pa.array(good)) for c in batch.columns[:2]])
-
-    sets = cut(texts.mapInArrow(hashed, "id long, hashes binary").dropDuplicates(["id"]))
-    sides = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
-    return cut(sides.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
-
-
-def keep_first(docs: DataFrame, similar: float = SIMILAR, shingle: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the one of the smallest ``doc_id`` (a null id
-    only if the group has no other), of equal ids the one with the smaller row hash, of equal rows one.
+    only if the group has no other), of equal ids the one with the smaller row hash, of equal rows one."""
+    found = cut(near_duplicates(docs, shingle, radius=radius).select("doc_id", "row", "component"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"))
+    return keep_rows(docs, found, best.select("best.doc_id", "best.row"))
 
-    Documents are linked at a Jaccard similarity of their shingle sets of ``similar`` or more, computed exactly; fingerprints
-    only name the candidates. Equal sets are one class. The first round compares a spanning forest of the candidates, so
-    that a large group grows together over few pairs; the second compares all candidates that are in different groups yet.
-    """
-    marked = cut(shingle_sets(docs, shingle, STAGE["n_words"]))
-    classes = numbered(marked.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("n").alias("n"),
-                                                    F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")))
-    search_by = {"n_bits": 64 * STAGE["n_words"], **{k: v for k, v in STAGE.items() if k != "n_words"}}
-    first = cut(links(classes, **search_by, searched=FIRST_BLOCKS))
-    sure = verified(docs, classes, first, shingle, similar)
-    labelled = cut(classes.join(components(sure).select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"), "left")
-                   .select("id", "fp", "n", F.coalesce("component", "id").alias("label")))
-    second = cut(links(labelled, **search_by, similar=similar))
-    found = components(sure.unionByName(verified(docs, classes, second, shingle, similar)))
-    grouped = classes.join(found.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"), "left")
-    best = grouped.groupBy(F.coalesce("component", "id")).agg(F.min("best").alias("best"))
-    return keep_rows(docs, marked, best.select("best.doc_id", "best.row"))
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def keep_rows(docs: DataFrame, found: DataFrame, best: DataFrame) -> DataFrame:
     """The documents of the rows ``best`` of all rows ``found``, equal rows once."""
     # Rows meet by id and hash and not by their group, so no group meets in a task.
-    held = best.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
-    same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    later = found.select("doc_id", "row").distinct().join(held, same, "left_anti").select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
-    kept = docs.join(later, (row_hash() == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    row, doc = unused("_row", docs.columns), unused("_doc", docs.columns)
+    named = [F.col("row").alias(row), F.col("doc_id").alias(doc)]
+    same = (F.col("row") == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(doc))
+    later = found.select("doc_id", "row").distinct().join(best.select(*named), same, "left_anti").select(*named)
+    kept = docs.join(later, (row_hash() == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti")
     if found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
         return kept
-    return kept.withColumn("_row", row_hash()).dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return kept.withColumn(row, row_hash()).dropDuplicates(["doc_id", row]).drop(row)
 
 
 def op5_simhash(spark, folder: str) -> DataFrame:
