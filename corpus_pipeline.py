@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, similarity of about 0.8)."""
+    """One document of each group of near-duplicates stays (64-bit fingerprints of three-word shingles, 3 bits apart at most)."""
     return simhash.keep_first(docs)
 
 
