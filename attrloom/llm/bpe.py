@@ -24,7 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.ipc  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrloom.llm.common import doc_texts, record_batch, row_blocks, table
@@ -60,12 +60,13 @@ class Fold:
         self.ranks = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
         self.tokens = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
 
-    def rank(self, token: Column) -> Column:
-        return F.element_at(F.get(self.ranks, F.xxhash64(token).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), token)
+    @staticmethod
+    def rank(ranks: Column, token: Column) -> Column:
+        return F.element_at(F.get(ranks, F.xxhash64(token).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), token)
 
-    def merge(self, parts: Column) -> Column:
+    def merge(self, ranks: Column, parts: Column) -> Column:
         """One step: the leftmost pair of the lowest rank becomes one part."""
-        pairs = F.transform(parts, lambda p, i: F.struct(F.coalesce(self.rank(F.concat(p, F.get(parts, i + 1))), F.lit(NO_RANK)).alias("rank"), i.alias("at")))
+        pairs = F.transform(parts, lambda p, i: F.struct(F.coalesce(self.rank(ranks, F.concat(p, F.get(parts, i + 1))), F.lit(NO_RANK)).alias("rank"), i.alias("at")))
 
         def joined(best):
             at = best["at"]
@@ -74,22 +75,29 @@ class Fold:
 
         return F.get(F.transform(F.array(F.array_min(pairs)), joined), F.lit(0))
 
-    def word(self, word: Column) -> Column:
+    def word(self, ranks: Column, word: Column) -> Column:
         """Ids of one word in Latin-1 form."""
-        whole = self.rank(word)
+        whole = self.rank(ranks, word)
         steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
-        parts = F.aggregate(steps, F.split(word, ""), lambda parts, _: self.merge(parts))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(parts, self.rank))
+        parts = F.aggregate(steps, F.split(word, ""), lambda parts, _: self.merge(ranks, parts))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(parts, lambda p: self.rank(ranks, p)))
 
     def piece(self, text: Column) -> Column:
         """Ids of a stretch of text."""
         words = F.regexp_extract_all(text, F.lit(java_pattern(self.pattern)), F.lit(0))
-        return F.flatten(F.transform(words, lambda w: self.word(F.decode(w.cast("binary"), "ISO-8859-1"))))
+        # The literal stands in the plan once and is a variable in the fold; a copy for each use makes plans of many megabytes.
+        return F.get(F.transform(F.array(self.ranks), lambda ranks: F.flatten(F.transform(
+            words, lambda w: self.word(ranks, F.decode(w.cast("binary"), "ISO-8859-1"))))), 0)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of a row of ids."""
         return F.encode(F.concat_ws("", F.transform(ids, lambda i: F.get(self.tokens, i))), "ISO-8859-1")
 
+    @staticmethod
+    def brief(spark: SparkSession) -> None:
+        """Keep the driver from spelling the literals out in every description of a plan."""
+        spark.conf.set("spark.sql.maxPlanStringLength", "100000")
+
 
 def known_pieces(docs: DataFrame, fold: Fold, most: int = KNOWN_PIECES) -> bytes:
     """Ids (32 bit) of the most frequent pieces behind a blank: those above the lowest count that keeps their number within ``most``."""
@@ -137,6 +145,7 @@ def piece_table(packed: bytes) -> dict[str, bytes]:
 def encode(docs: DataFrame, fold: Fold | None = None) -> DataFrame:
     """``doc_id`` and ``ids``, the token ids of the whole text. The documents stay where they are read."""
     fold = fold or Fold()
+    fold.brief(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(known_pieces(docs, fold))
     path = fold.path
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
