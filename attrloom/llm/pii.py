@@ -17,7 +17,9 @@ documents or without any candidate nothing is added to the base spans; extra col
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from attrloom.llm.common import doc_texts, record_batch, row_blocks, table
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents the classifier is fitted on, at most.
 SAMPLE_DOCUMENTS = 20_000
+#: Examples for each of these documents, on average and at most.
+EXAMPLES_EACH = 20
 #: Held-out precision from which on a probability selects a span.
 PRECISION = 0.98
 
@@ -172,8 +176,11 @@ def examples(text: str) -> tuple[list[list[int]], list[bool]]:
     """
     base, wide, rows = candidates(text)
     data, labels = [], []
+    # Base spans of one kind do not overlap, so only the last that begins in time can hold a proposal.
+    spans = {kind: sorted((a, b) for k, a, b in base if k == kind) for kind in range(len(KINDS))}
     for (kind, start, end), row in zip(wide, rows.tolist(), strict=True):
-        own = any(k == kind and a <= start and end <= b for k, a, b in base)
+        at = bisect_right(spans[kind], (start, math.inf)) - 1
+        own = at >= 0 and end <= spans[kind][at][1]
         if kind != 0 and not (own and kind == 3):
             data.append(row)
             labels.append(own)
@@ -201,18 +208,21 @@ class Model:
         if self.trees is None or not wide:
             return base
         chance = self.trees.probability(rows)
-        taken = sorted((a, b) for _, a, b in base)
+        taken = bytearray(max(end for _, _, end in [*base, *wide]))
+        for _, start, end in base:
+            taken[start:end] = b"\1" * (end - start)
         chosen = list(base)
         for k in np.argsort(-chance, kind="stable"):
             kind, start, end = wide[k]
-            if chance[k] >= self.cuts[kind] and not any(a < end and start < b for a, b in taken):
+            if chance[k] >= self.cuts[kind] and taken.find(1, start, end) < 0:
                 chosen.append(wide[k])
-                taken.append((start, end))
+                taken[start:end] = b"\1" * (end - start)
         return sorted(chosen)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, precision: float = PRECISION) -> Model:
-    """Fit on the candidates of at most ``sample`` documents, the first by the hash of their id.
+def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, precision: float = PRECISION, examples_each: int = EXAMPLES_EACH) -> Model:
+    """Fit on the candidates of at most ``sample`` different rows, the first by the hash of id and text, and of these on at most
+    ``sample * examples_each`` examples.
 
     A proposal of phone or card kind without a label that has the form of a positive may be personal data the base misses and
     is left out. A fifth of the sample is held out for the calibration and the cuts.
@@ -220,20 +230,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, precision: float = PREC
     def gather(batches):
         for batch in row_blocks(batches):
             data, labels, fold = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, known = examples(text)
                 data += rows
                 labels += known
-                fold += [(doc or 0) % 5 == 0] * len(rows)
+                fold += [number % 5 == 0] * len(rows)
             if data:
                 yield record_batch(schema, [data, labels, fold])
 
     schema = pa.schema([("x", pa.list_(pa.int64())), ("y", pa.bool_()), ("held", pa.bool_())])
-    chosen = docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    few = (doc_texts(docs).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-           .filter(F.col("text").rlike(r"[0-9][0-9 ().-]{5}|[(\[]at[)\]]|@")))
-    found = few.mapInArrow(gather, "x array<long>, y boolean, held boolean").toArrow()
-    if not found.num_rows:
+    plain = doc_texts(docs).filter(F.col("text").rlike(r"[0-9][0-9 ().-]{5}|[(\[]at[)\]]|@"))
+    plain = plain.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("number"), "text")
+    # The sample ends at one hash; equal rows have equal hashes and count once.
+    last = plain.select("number").distinct().orderBy("number").limit(sample).agg(F.max("number")).first()[0]
+    few = plain.filter(F.col("number") <= (last if last is not None else 0)).dropDuplicates(["number"])
+    found = (few.mapInArrow(gather, "x array<long>, y boolean, held boolean")
+             .orderBy(F.xxhash64("x", "y", "held")).limit(sample * examples_each).toArrow())
+    if not found.num_rows or not 0 < sum(found["held"].to_pylist()) < found.num_rows:
+        # Without examples on both sides of the fold nothing can be learnt or calibrated: the base spans alone.
         return Model(None, [2.0] * len(KINDS))
     x = np.array(found["x"].to_pylist(), dtype=np.int64)
     y, held = (np.array(found[c].to_pylist(), dtype=bool) for c in ("y", "held"))

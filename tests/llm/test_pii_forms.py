@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from attrloom.llm import pii
@@ -59,3 +60,30 @@ def test_sentences_are_no_addresses(spark, tables):
     model = pii.fit(docs)
     plain = spark.createDataFrame([(1, "They looked (at) stones. Then the river came late")], "doc_id long, text string")
     assert pii.find_spans(plain, model).first().spans == []
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 5 * i, lambda i: 1])
+def test_the_sample_is_of_rows(spark, ids):
+    rows = [(ids(i), f"note {i} call +1 (974) 555-{3000 + i} or mail a{i}.b@mail{i}.example.org now. Then go home") for i in range(1500)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gathered = []
+    real = pii.boosting.fit
+    pii.boosting.fit = lambda x, y: gathered.append(len(x)) or real(x, y)
+    try:
+        model = pii.fit(docs, sample=50)
+    finally:
+        pii.boosting.fit = real
+    assert model.trees is not None and 50 < gathered[0] <= 50 * pii.EXAMPLES_EACH
+
+
+def test_selection_is_not_quadratic():
+    import time
+
+    class Sure:
+        def probability(self, rows):
+            return np.linspace(1, 0.99, len(rows))
+
+    wide = [(3, 10 * k + d, 10 * k + d + 8) for k in range(50_000) for d in (0, 2)]
+    start = time.time()
+    got = pii.Model(Sure(), [0.0] * 4).select([(0, 0, 4)], wide, np.zeros((len(wide), 1)))
+    assert time.time() - start < 5 and got[0] == (0, 0, 4) and len(got) == 50_000
