@@ -14,6 +14,8 @@ count once per id; an empty benchmark contaminates nothing. Extra columns are ig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ from attrloom.llm.common import doc_texts, record_batch, row_blocks, table
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block; a larger benchmark becomes several blocks.
 BENCHMARK_BLOCK = 8 << 20
+#: Occurrences held at a time; where words repeat in a document and an item, their number is the product.
+HITS = 1 << 21
 
 #: Lower-cases A-Z and turns every byte outside the word alphabet into a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -68,18 +72,17 @@ class TestSuffixes:
             self.by_length[size] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         self.shortest = min(self.by_length, default=0)
 
-    def search(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences ``(position, item number, item position, window length)`` in a shard's words."""
-        none = np.zeros(0, dtype=np.int64)
+    def search(self, sequence: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Occurrences ``(position, item number, item position, window length)`` in a shard's words, about ``HITS`` at a time."""
         if not self.shortest or not len(sequence):
-            return none, none, none, none
+            return
         known = sequence > 0
         stops = np.flatnonzero(~known)
         ahead = np.searchsorted(stops, np.arange(len(sequence)))
         run = np.append(stops, len(sequence))[ahead] - np.arange(len(sequence))
         starts = np.flatnonzero(run >= self.shortest)
         if not len(starts):
-            return none, none, none, none
+            return
         padded = np.concatenate([sequence, np.zeros(self.window, dtype=sequence.dtype)]).astype(">u4")
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.window)[starts])
         # Words behind the first unknown one take no part in a match; blank them so that keys stay comparable.
@@ -87,28 +90,32 @@ class TestSuffixes:
         keys = suffixes.view(f"S{4 * self.window}").ravel()
         order = np.argsort(keys, kind="stable")
         keys, starts = keys[order], starts[order]
-        out = []
         for size, (tests, numbers, offsets) in self.by_length.items():
             low = np.zeros((len(tests), self.window), dtype=">u4")
             high = np.full((len(tests), self.window), 0xFFFFFFFF, dtype=">u4")
             low[:, :size] = high[:, :size] = tests
             first = np.searchsorted(keys, low.view(keys.dtype).ravel(), "left")
             count = np.searchsorted(keys, high.view(keys.dtype).ravel(), "right") - first
-            hit = np.repeat(np.arange(len(tests)), count)
-            inside = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
-            out.append((starts[first[hit] + inside], numbers[hit], offsets[hit], np.full(len(hit), size)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def longest(position, number, offset, size) -> list[np.ndarray]:
-    """Join hits that continue each other on one diagonal: start, item, item start, length."""
+            found = np.flatnonzero(count)
+            slices = np.cumsum(count[found]) // HITS
+            for part in np.split(found, np.flatnonzero(np.diff(slices)) + 1) if len(found) else ():
+                n = count[part]
+                hit = np.repeat(part, n)
+                inside = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+                yield starts[first[hit] + inside], numbers[hit], offsets[hit], np.full(len(hit), size)
+
+
+def longest(position, number, offset, size, last=None) -> list[np.ndarray]:
+    """Join hits (or runs of hits up to the position ``last``) that continue each other on one diagonal: first and last position,
+    item, first item position, window length."""
+    last = position if last is None else last
     order = np.lexsort((position, position - offset, number))
-    position, number, offset, size = (x[order] for x in (position, number, offset, size))
+    position, number, offset, size, last = (x[order] for x in (position, number, offset, size, last))
     new = np.ones(len(position), dtype=bool)
-    new[1:] = (number[1:] != number[:-1]) | (position[1:] - offset[1:] != position[:-1] - offset[:-1]) | (position[1:] != position[:-1] + 1)
+    new[1:] = (number[1:] != number[:-1]) | (position[1:] - offset[1:] != position[:-1] - offset[:-1]) | (position[1:] != last[:-1] + 1)
     head = np.flatnonzero(new)
-    last = np.append(head[1:], len(position)) - 1
-    return [position[head], number[head], offset[head], position[last] - position[head] + size[head]] if len(head) else [position] * 4
+    tail = np.append(head[1:], len(position)) - 1
+    return [position[head], number[head], offset[head], size[head], last[tail]] if len(head) else [position] * 5
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list:
@@ -150,10 +157,11 @@ class Scanner:
             sequence = np.zeros(total, dtype=np.uint32)
             for at, parts in zip(begin, texts, strict=True):
                 sequence[at:at + len(parts)] = np.fromiter(map(tests.vocabulary.__getitem__, parts), np.uint32, len(parts))
-            found = tests.search(sequence)
-            if not len(found[0]):
+            runs = [longest(*found) for found in tests.search(sequence)]
+            if not runs:
                 continue
-            start, number, offset, length = longest(*found)
+            start, number, offset, size, last = longest(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+            length = last - start + size
             np.add.at(hit, start, 1)
             np.add.at(hit, start + length, -1)
             doc = np.searchsorted(begin, start, "right") - 1

@@ -412,3 +412,28 @@ def test_decontamination(spark, docs, texts, empty):
         assert clean.columns == docs.columns and clean.count() == sum(not x[2] for x in want)
     assert decontaminate.find_matches(docs, bench.limit(0)).filter("n_hit > 0").isEmpty()
     assert decontaminate.find_matches(empty, bench).count() == 0
+
+
+def test_a_word_repeated_in_document_and_item(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 1000)
+    docs = spark.createDataFrame([(1, "a " * 3000), (2, "b " + "a " * 40 + "c"), (3, "a a a"), (4, "x " * 10 + "a " * 10)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a " * 200), (2, "a a"), (3, "c " + "a " * 12)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_matches(docs, bench).collect()}
+    assert [(got[i].n_words, got[i].n_hit, sorted({m.item_id for m in got[i].matches})) for i in (1, 2, 3, 4)] == [
+        (3000, 3000, [1, 2, 3]), (42, 40, [1, 2, 3]), (3, 3, [2]), (20, 10, [1, 2, 3])]
+    # Every diagonal of equal words is one match: the longest have the item's length.
+    long = [m for m in got[1].matches if m.item_id == 1]
+    assert max(m.n_words for m in long) == 200 and len({m.doc_start - m.item_start for m in long}) == len(long) == 3000 + 200 - 2 * 10 + 1
+
+
+def test_many_repeats_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    from types import SimpleNamespace
+    scanner = decontaminate.Scanner([SimpleNamespace(value=[(1, b"a " * 600)])], 10)
+    tracemalloc.start()
+    counts, hit, _ = scanner.scan(pa.array(["a " * 20_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (counts[0], hit[0]) == (20_000, 20_000) and peak < 600e6
