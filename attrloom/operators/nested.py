@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrloom.functions import jsonleaves
 from attrloom.functions import text as tx
+from attrloom.operators.lookups import first_per_key
 from attrloom.operators.records import explode_first, name_value_key, usable_pair
 
+# The readers go to the workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(jsonleaves)
+
 # An array of objects inside other text, and the keys that may hold the list.
 JSON_ARRAY = r"(?s)\[[%s]*\{.*\}[%s]*\]" % (tx.WS, tx.WS)
 LIST_KEYS = ("records", "items", "data", "attributes")
@@ -30,85 +36,126 @@ def scalar_text(v: Column, null_text: str = "") -> Column:
             .otherwise(plain))
 
 
-def _children(v: Column) -> Column:
-    """Members of an object or items of a list; null for scalars."""
-    kind = "array<struct<key:string,item:int,v:variant>>"
-    members = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(
-        e["key"].alias("key"), F.lit(None).cast("int").alias("item"), e["value"].alias("v")))
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(
-        F.lit(None).cast("string").alias("key"), (i + 1).cast("int").alias("item"), x.alias("v")))
-    return F.coalesce(members.cast(kind), items.cast(kind))
-
-
-# Fixed value: bytes from which on Spark makes no variant of a text.
-VARIANT_BYTES = 128 << 20
-
-NODE = "struct<v:variant,path:string,keyed:boolean,open:boolean>"
-
-
-def _open_node(node: Column) -> Column:
-    """A container as its children, a leaf as itself, closed."""
-    def child(c: Column) -> Column:
-        at_root = node["path"] == ""
-        named = F.when(at_root, c["key"]).otherwise(F.concat(node["path"], F.lit("."), c["key"]))
-        numbered = F.concat(F.when(at_root, F.lit("item")).otherwise(node["path"]), F.lit("_"), c["item"].cast("string"))
-        return F.struct(c["v"].alias("v"), F.coalesce(named, numbered).alias("path"), c["key"].isNotNull().alias("keyed"),
-                        F.lit(True).alias("open")).cast(NODE)
-
-    closed = F.array(F.struct(node["v"].alias("v"), node["path"].alias("path"), node["keyed"].alias("keyed"),
-                              F.lit(False).alias("open")).cast(NODE))
-    opened = tx.let(_children(node["v"]), lambda kids: F.when(F.size(kids) > 0, F.transform(kids, child)).otherwise(closed))
-    return F.when(node["open"], opened).otherwise(F.array(node))
-
-
 LEAF = "array<struct<attribute:string,value:string,raw_attribute:string>>"
 
 
-# Levels every document is opened by in the first fold; only deeper documents take further steps.
-FIRST_LEVELS = 32
+# Bytes from which on a document is read in pieces, and bytes of a piece.
+PIECED_BYTES = 64 << 10
+PIECE_BYTES = 16 << 10
+
+_READ = "array<struct<path:string,value:string,literal:string>>"
+
+
+def _short_reader(batches: Iterator) -> Iterator:
+    """Leaves of whole texts; null where a text is malformed."""
+    import pyarrow as pa
+
+    from_python = jsonleaves.storable
+    field = pa.struct([("path", pa.string()), ("value", pa.string()), ("literal", pa.string())])
+    for batch in batches:
+        ends, columns, bad = [0], ([], [], []), []
+        for text in batch.column("text").to_pylist():
+            found = jsonleaves.whole_leaves(text)
+            bad.append(found is None)
+            for leaf in found or ():
+                for column, part in zip(columns, leaf, strict=True):
+                    column.append(from_python(part))
+            ends.append(len(columns[0]))
+        items = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=list(field))
+        leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), leaves, pa.array(bad)], names=["doc_id", "leaves", "malformed"])
+
+
+def _piece_reader(batches: Iterator) -> Iterator:
+    """Leaves of texts that come in pieces, as rows; one row without a path says that a text is malformed."""
+    import pyarrow as pa
+
+    names = ["doc_id", "_row", "order", "path", "value", "literal"]
+
+    def rows(key, leaves):
+        doc, row = key
+        clean = jsonleaves.storable
+        columns = [[x[1] for x in leaves], *([clean(x[k]) for x in leaves] for k in (2, 3, 4))]
+        arrays = [pa.array([doc] * len(leaves), id_type), pa.array([row] * len(leaves), pa.int64()), pa.array(columns[0], pa.binary()),
+                  *(pa.array(c, pa.string()) for c in columns[1:])]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def read(key, pieces):
+        found = jsonleaves.read_pieces(pieces)
+        if found is None:
+            yield rows(key, [(0, b"", None, None, None)])
+        else:
+            yield from (rows(key, leaves) for leaves in found if leaves)
+
+    held, pieces, id_type = None, [], None
+    for batch in batches:
+        id_type = batch.schema.field("doc_id").type
+        for doc, row, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "piece")), strict=True):
+            if held != (doc, row):
+                if held is not None:
+                    yield from read(held, pieces)
+                held, pieces = (doc, row), []
+            pieces.append(piece)
+    if held is not None:
+        yield from read(held, pieces)
+
+
+def _sized(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Short and long documents."""
+    size = F.coalesce(F.octet_length(tx.col(text)), F.lit(0))
+    slim = docs.select("doc_id", tx.col(text).alias("text"), (size >= PIECED_BYTES).alias("_long"))
+    return slim.filter("NOT _long").drop("_long"), slim.filter("_long").drop("_long")
+
+
+def _short_leaves(docs: DataFrame) -> DataFrame:
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(_short_reader, f"doc_id {id_type}, leaves {_READ}, malformed boolean")
+
+
+def _long_leaves(docs: DataFrame) -> DataFrame:
+    """Narrow: a document's pieces follow each other in the task that has read it."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    starts = F.sequence(F.lit(1), F.octet_length("text"), F.lit(PIECE_BYTES))
+    # The bytes are made once; a piece then copies no more than itself.
+    cut = tx.let(F.col("text").cast("binary"), lambda raw: F.transform(starts, lambda at: F.substring(raw, at, F.lit(PIECE_BYTES))))
+    pieces = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), cut.alias("pieces"))
+    return (pieces.select("doc_id", "_row", F.explode("pieces").alias("piece"))
+            .mapInArrow(_piece_reader, f"doc_id {id_type}, _row long, order binary, path string, value string, literal string"))
+
+
+def _leaf(path: Column, value: Column, literal: Column) -> Column:
+    """A record of a leaf; numbers are worded as the values of a variant are."""
+    return F.struct(tx.friendly_name(path).alias("attribute"),
+                    F.coalesce(value, scalar_text(F.try_parse_json(literal)), literal).alias("value"), path.alias("raw_attribute"))
 
 
-def json_leaves(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Keyed scalars of every document, ``leaves`` holding name, value and dotted path in order.
+def flatten_json(docs: DataFrame, text: str = "text", strip_headers: bool = True) -> DataFrame:
+    """Records of JSON documents, friendly names, first (name, value) per document.
 
-    A fold inside the row opens all containers one level per step, until none is left; each node is
-    looked at once. A document that is still open after the first levels goes on for at most as many
-    steps as it has brackets, so any depth the parser takes is read. Documents the parser does not take
-    are listed by ``unparsable_json``.
+    A short document becomes a row with its leaves, and its duplicates go inside the row. A long one, of up to what a cell
+    holds and of any depth, is read in pieces; its leaves are rows, which Spark numbers by path and reduces. Malformed
+    documents give nothing and are listed by ``unparsable_json``.
     """
-    brackets = F.length(F.regexp_replace(tx.col(text), r"[^\[{]", ""))
-    parsed = docs.select("doc_id", F.try_parse_json(tx.col(text)).alias("v"), brackets.alias("brackets")).filter(F.col("v").isNotNull())
-    root = F.array(F.struct(F.col("v").alias("v"), F.lit("").alias("path"), F.lit(False).alias("keyed"),
-                            F.lit(True).alias("open")).cast(NODE))
-    step = lambda nodes, _: F.when(
-        F.exists(nodes, lambda n: n["open"]), F.flatten(F.transform(nodes, _open_node))).otherwise(nodes)
-    first = F.aggregate(F.sequence(F.lit(0), F.lit(FIRST_LEVELS)), root, step)
-    nodes = tx.let(first, lambda found: F.when(
-        F.exists(found, lambda n: n["open"]), F.aggregate(F.sequence(F.lit(0), F.col("brackets")), found, step)).otherwise(found))
-
-    def keep(n: Column) -> Column:
-        kind = F.schema_of_variant(n["v"])
-        return n["keyed"] & ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-
-    leaf = lambda n: F.struct(
-        tx.friendly_name(n["path"]).alias("attribute"),
-        scalar_text(n["v"]).alias("value"), n["path"].alias("raw_attribute"))
-    kept = parsed.select("doc_id", F.filter(nodes, keep).alias("nodes"))
-    return kept.select("doc_id", F.transform("nodes", leaf).cast(LEAF).alias("leaves"))
-
-
-def flatten_json(docs: DataFrame, text: str = "text", strip_headers: bool = True) -> DataFrame:
-    """Records of JSON documents, friendly names, first (name, value) per document."""
     filled = lambda p: (tx.strip(p["attribute"]) != "") & (tx.strip(p["value"]) != "")
-    leaves = json_leaves(docs, text).select(
-        "doc_id", F.filter("leaves", usable_pair if strip_headers else filled).alias("leaves"))
-    return explode_first(leaves, "leaves", name_value_key)
+    keep = usable_pair if strip_headers else filled
+    short, long = _sized(docs, text)
+    named = F.transform("leaves", lambda n: _leaf(n["path"], n["value"], n["literal"])).cast(LEAF)
+    held = _short_leaves(short).filter("NOT malformed").select("doc_id", named.alias("leaves"))
+    from_short = explode_first(held.withColumn("leaves", F.filter("leaves", keep)), "leaves", name_value_key)
+    rows = _long_leaves(long).filter("path IS NOT NULL").select(
+        "doc_id", "_row", "order", _leaf(F.col("path"), F.col("value"), F.col("literal")).alias("leaf"))
+    numbered = rows.filter(keep(F.col("leaf"))).withColumn(
+        "pos", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("order")).cast("bigint") - 1)
+    first = first_per_key(numbered.select("doc_id", "_row", "pos", "leaf.*"), [F.col("doc_id"), F.col("_row"), name_value_key(F.struct("attribute", "value"))], "pos")
+    return from_short.unionByName(first.drop("_row"))
 
 
 def unparsable_json(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents S3 cannot read, with the reason as ``error``. Empty and null texts are malformed too."""
-    reason = F.when(F.octet_length(tx.col(text)) >= VARIANT_BYTES, F.lit("larger than the parser takes")).otherwise(F.lit("malformed"))
-    return docs.filter(F.try_parse_json(tx.col(text)).isNull()).withColumn("error", reason)
+    short, long = _sized(docs, text)
+    bad = _short_leaves(short).filter("malformed").select("doc_id").unionByName(
+        _long_leaves(long).filter("path IS NULL").select("doc_id"))
+    return docs.join(bad.distinct(), "doc_id", "left_semi").withColumn("error", F.lit("malformed"))
 
 
 def _xml_parser():

@@ -57,9 +57,14 @@ def explode_first(docs: DataFrame, items: str, key) -> DataFrame:
     array; the fields of the items become columns. Equal keys stand together after a sort, so the work
     grows with n log n of the items.
     """
-    numbered = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
-    firsts = tx.let(numbered, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
-    kept = F.transform(firsts, lambda x: (x["i"] + 1).cast("int"))
+    def places(keys):
+        numbered = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        firsts = tx.let(numbered, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
+        # Most documents repeat nothing; a set of the keys tells so without the sort.
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.transform(keys, lambda k, i: i + 1)).otherwise(
+            F.transform(firsts, lambda x: x["i"] + 1)).cast("array<int>")
+
+    kept = tx.let(F.transform(items, key), places)
     out = tx.explode_costly(docs.withColumn("_kept", kept), "_kept", "_at")
     rest = [c for c in docs.columns if c != items]
     picked = out.select(*rest, (F.col("_at") - 1).cast("bigint").alias("pos"), F.get(F.col(items), F.col("_at") - 1).alias("_item"))

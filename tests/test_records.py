@@ -109,10 +109,94 @@ def test_json_of_any_depth_is_read(spark):
 
 
 def test_documents_that_cannot_be_read_are_listed_with_a_reason(spark, monkeypatch):
-    monkeypatch.setattr(ns, "VARIANT_BYTES", 30)
-    df = spark.createDataFrame([(1, "{bad"), (2, "{" + " " * 40), (3, '{"a":1}'), (4, None), (5, "")], "doc_id int, text string")
-    assert {r["doc_id"]: r["error"] for r in ns.unparsable_json(df).collect()} == {
-        1: "malformed", 2: "larger than the parser takes", 4: "malformed", 5: "malformed"}
+    df = spark.createDataFrame([(1, "{bad"), (2, "{" + " " * 40), (3, '{"a":1}'), (4, None), (5, ""), (6, '{"a":1} x'), (7, '{"a":01}')], "doc_id int, text string")
+    want = {1: "malformed", 2: "malformed", 4: "malformed", 5: "malformed", 6: "malformed", 7: "malformed"}
+    assert {r["doc_id"]: r["error"] for r in ns.unparsable_json(df).collect()} == want
+    # The same in pieces; null and empty texts have none.
+    monkeypatch.setattr(ns, "PIECED_BYTES", 1)
+    assert {r["doc_id"]: r["error"] for r in ns.unparsable_json(df).collect()} == want
+
+
+JSON_TEXTS = [
+    '{"data":{"order":{"payMode":"UPI","items":[{"qty":2}],"tags":["x"]}}}', '[{"a":1.0,"b":true,"c":null,"e":1.5e-7},[{"z":1}],{},5]', "{bad", '{"k":1,"k":2}',
+    '{"a":{"x":1,"y":[{"q":1}]},"b":2,"a":{"y":3},"b":{"c":4}}', '"scalar"', "[]", " {} ", '{"é\\u00e9":"\\ud83d\\ude00 \\ud800","":{"a":"q\\"\\\\"},"z":"\U0001f600","\uffff":1}',
+    '{"n":[1,2],"m":{"big":123456789012345678901234567890,"tiny":1e-300,"huge":1e400,"int":-0,"dec":12.50}}', '{"same":"v","Same":"v","same ":"v"}', '{"a":1}{"b":2}',
+    "".join(f'{{"k{i}":[' for i in range(60)) + '{"a":1,"b":[[{"c":2}]]}' + "]}" * 60]
+
+
+def test_pieces_give_what_whole_texts_give(spark, monkeypatch):
+    from attrloom.functions import jsonleaves
+    df = spark.createDataFrame(list(enumerate(JSON_TEXTS)), "doc_id int, text string").repartition(3)
+    want = sorted(tuple(r) for r in ns.flatten_json(df).collect())
+    assert {i for i, *_ in want} == {0, 1, 3, 4, 8, 9, 10, 12}
+    assert [r[2:] for r in want if r[0] == 4] == [("a y", "3", "a.y"), ("b c", "4", "b.c")]
+    monkeypatch.setattr(ns, "PIECED_BYTES", 1)
+    monkeypatch.setattr(ns, "PIECE_BYTES", 7)
+    monkeypatch.setattr(jsonleaves, "STRETCH", 10)
+    assert sorted(tuple(r) for r in ns.flatten_json(df).collect()) == want
+
+
+def test_json_readers_agree_with_the_plain_tree():
+    import json
+    import random
+
+    from attrloom.functions import jsonleaves
+    rng = random.Random(1)
+
+    def plain(v, path="", keyed=False):
+        if isinstance(v, dict):
+            return [x for k in sorted(v) for x in plain(v[k], f"{path}.{k}" if path else k, True)]
+        if isinstance(v, list):
+            return [x for i, y in enumerate(v, 1) for x in plain(y, f"{path or 'item'}_{i}")]
+        return [(path, "" if v is None else v if isinstance(v, str) else str(v))] if keyed else []
+
+    def make(depth):
+        kind = rng.random()
+        if depth > 5 or kind < 0.35:
+            return rng.choice([1, -2.5, True, None, "x", 'é\n"q\\', "", 1e3, " "])
+        if kind < 0.7:
+            return {rng.choice(["a", "b", "A", "é", "k k", "", "z.y"]) + str(rng.randint(0, 3)): make(depth + 1) for _ in range(rng.randint(0, 5))}
+        return [make(depth + 1) for _ in range(rng.randint(0, 4))]
+
+    def is_json(text):
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    for _ in range(600):
+        tree = make(0)
+        text = json.dumps(tree, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        got = jsonleaves.whole_leaves(text)
+        assert [(p, v if v is not None else str(json.loads(n))) for p, v, n in got] == plain(tree)
+        data = text.encode()
+        reader, step, found = jsonleaves.LeafReader(), rng.randint(1, 9), []
+        for at in range(0, len(text), step):
+            found += reader.feed(text[at:at + step], False)
+        found += reader.feed("", True)
+        assert not reader.failed and [x[2:] for x in sorted(found, key=lambda x: x[1])] == got
+        pieces = jsonleaves.read_pieces([data[k:k + 5] for k in range(0, len(data), 5)])
+        assert [x[2:] for x in sorted((x for part in pieces for x in part), key=lambda x: x[1])] == got
+        place = rng.randrange(len(text))
+        for broken in (text[:place], text[:place] + rng.choice('{}[],:"1a\\ ') + text[place + 1:]):
+            reader = jsonleaves.LeafReader()
+            reader.feed(broken, True)
+            assert (not reader.failed) == is_json(broken) == (jsonleaves.whole_leaves(broken) is not None)
+
+
+def test_very_deep_and_very_large_json(spark, tmp_path):
+    from pyspark.sql import functions as F
+    deep = spark.createDataFrame([(1, '{"a":' * 5000 + '{"leaf":"deep"}' + "}" * 5000)], "doc_id int, text string")
+    row = ns.flatten_json(deep).first()
+    assert (row.value, row.raw_attribute) == ("deep", "a." * 5000 + "leaf") and ns.unparsable_json(deep).isEmpty()
+    with open(tmp_path / "large.json", "w") as out:
+        for k in range(3000):
+            out.write(f'{"," if k else "{"}"k{k}":"{"x" * 100_000}"')
+        out.write("}")
+    large = spark.read.text(str(tmp_path / "large.json"), wholetext=True).select(F.lit(2).alias("doc_id"), F.col("value").alias("text"))
+    got = ns.flatten_json(large).agg(F.count("*"), F.countDistinct("raw_attribute"), F.sum(F.length("value")), F.max("pos")).first()
+    assert tuple(got) == (3000, 3000, 300_000_000, 2999)
 
 
 def test_xml_flatten(spark):
