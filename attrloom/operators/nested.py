@@ -115,11 +115,11 @@ def _short_leaves(docs: DataFrame) -> DataFrame:
 def _long_leaves(docs: DataFrame) -> DataFrame:
     """Narrow: a document's pieces follow each other in the task that has read it."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    starts = F.sequence(F.lit(1), F.octet_length("text"), F.lit(PIECE_BYTES))
-    # The bytes are made once; a piece then copies no more than itself.
-    cut = tx.let(F.col("text").cast("binary"), lambda raw: F.transform(starts, lambda at: F.substring(raw, at, F.lit(PIECE_BYTES))))
-    pieces = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), cut.alias("pieces"))
-    return (pieces.select("doc_id", "_row", F.explode("pieces").alias("piece"))
+    # The bytes are made once for a document; a piece copies no more than itself and no row holds them all again.
+    raw = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.col("text").cast("binary").alias("raw"))
+    starts = F.sequence(F.lit(1), F.length("raw"), F.lit(PIECE_BYTES))
+    pieces = raw.select("doc_id", "_row", "raw", F.explode(starts).alias("at"))
+    return (pieces.select("doc_id", "_row", F.substring("raw", F.col("at"), F.lit(PIECE_BYTES)).alias("piece"))
             .mapInArrow(_piece_reader, f"doc_id {id_type}, _row long, order binary, path string, value string, literal string"))
 
 
