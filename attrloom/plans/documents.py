@@ -6,7 +6,7 @@ for matching, and ``documents(doc_id, input_format, doc_type, n_records)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
@@ -26,10 +26,32 @@ def _page_pos(page: str, no: str, row: str | None = None) -> Column:
     return base + F.col(no).cast("bigint") * (100_000_000 if row else 1) + (F.col(row).cast("bigint") if row else F.lit(0))
 
 
+# Tables of a page and rows of a table that have room in the plain number.
+PAGE_TABLES, TABLE_ROWS = 10_000, 100_000_000
+
+
+def _with_row_pos(rows: DataFrame) -> DataFrame:
+    """Rows with ``pos``, their place in the document as one number that no other row has.
+
+    Page, table and row are written side by side where they have room. In documents with more tables on a page or
+    more rows in a table, a table begins behind the last row of the one before.
+    """
+    plain = _page_pos("page", "table_no", "row_no")
+    large = rows.filter((F.col("table_no") >= PAGE_TABLES) | (F.col("row_no") >= TABLE_ROWS)).select("doc_id")
+    if large.isEmpty():
+        return rows.withColumn("pos", plain)
+    table = ["doc_id", "page", "table_no"]
+    sizes = rows.join(large.distinct(), "doc_id", "left_semi").groupBy(*table).agg((F.max("row_no").cast("bigint") + 1).alias("_n"))
+    before = Window.partitionBy("doc_id").orderBy("page", "table_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*table, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), "_n")
+    placed = join_per_key(rows, starts, table, "_n")
+    return placed.withColumn("pos", F.coalesce(F.col("_start") + F.col("row_no"), plain)).drop("_start")
+
+
 def table_row_records(rows: DataFrame) -> DataFrame:
     """First two filled cells of document table rows, one dedupe scope for the whole document."""
     a, v = tx.row_to_pair("cells")
-    pairs = rows.select("doc_id", _page_pos("page", "table_no", "row_no").alias("pos"), a.alias("attribute"), v.alias("value"))
+    pairs = _with_row_pos(rows).select("doc_id", "pos", a.alias("attribute"), v.alias("value"))
     kept = pairs.filter(~tx.is_header_row("attribute", "value") & ~tx.is_numeric_only("attribute"))
     return dedupe_records(kept)
 
@@ -109,17 +131,20 @@ def _with_free_text(structured: DataFrame, texts: DataFrame, routed: DataFrame)
     return kept.unionByName(free, allowMissingColumns=True)
 
 
-def route_lines(records: DataFrame, documents: DataFrame, texts: DataFrame, rows_and_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def route_lines(records: DataFrame, documents: DataFrame, texts, rows_and_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T3 for PDF and DOCX: tagged documents, and those T2 picks, go to free-text extraction.
 
-    ``texts`` are the assembled document texts and ``rows_and_lines`` the same lines as a table, whose
-    statistics decide without the texts; only routed documents are extracted from.
+    ``rows_and_lines`` are the lines as a table, whose statistics decide without any text. ``texts`` are the assembled
+    document texts, or a function that assembles those of the documents it is given; then no other text is put together.
     """
     facts = ft.narrative_lines(rows_and_lines).select("doc_id", F.col("is_narrative").alias("_narrative"))
     judged = documents.join(facts, "doc_id", "left").withColumn(
         "_routed", (F.col("doc_type") == "unstructured")
         | (F.coalesce("_narrative", F.lit(False)) & (F.col("n_records") <= 1)))
     routed = judged.filter("_routed").select("doc_id")
+    if callable(texts):
+        routed = materialize(routed, "routed")
+        texts = texts(routed)
     out = _with_free_text(records, texts, routed)
     kinds = judged.withColumn("doc_type", F.when(F.col("_routed"), F.lit("unstructured")).otherwise(F.col("doc_type")))
     return out, kinds.select(*documents.columns)

@@ -61,7 +61,11 @@ def document_records(inputs: DocumentInputs) -> tuple[DataFrame, DataFrame, Data
     if inputs.rows is not None and inputs.lines is not None:
         for fmt, plan, text in (("pdf", dc.pdf_records, lambda r, ln: dc.pdf_text(ln)), ("docx", dc.docx_records, dc.docx_text)):
             rows, lines = of(inputs.rows, fmt), of(inputs.lines, fmt)
-            take(dc.route_lines(*plan(rows, lines), text(rows, lines), lines))
+
+            def texts(ids, rows=rows, lines=lines, text=text):
+                return text(rows.join(ids, "doc_id", "left_semi"), lines.join(ids, "doc_id", "left_semi"))
+
+            take(dc.route_lines(*plan(rows, lines), texts, lines))
             seen += [rows.select("doc_id"), lines.select("doc_id")]
     if inputs.texts is not None:
         for fmt, plan, broken in (("json", dc.json_records, unparsable_json), ("xml", dc.xml_records, unparsable_xml)):

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["matching_cases", "text_cases", "grid_cases", "nested_cases", "freetext_cases", "sink_cases"]
+MODULES = ["matching_cases", "text_cases", "grid_cases", "nested_cases", "freetext_cases", "mixed_cases", "sink_cases"]
 
 
 def load_cases() -> None:

@@ -167,3 +167,17 @@ def test_output_projection_with_extras(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "t"), header=True).select("sheet_name").distinct().first()[0] == "s" * 31
     widths = {r["column"]: r["width"] for r in wr.column_widths(out).collect()}
     assert widths["Output Attribute"] == 20 and widths["Value"] == 9
+
+
+def test_pages_with_very_many_tables_keep_their_order(spark, monkeypatch):
+    from attrloom.plans import documents as dc
+    rows = [(1, 1, k, 0, [f"n{k}", "v"]) for k in range(10_002)] + [(1, 2, 0, 0, ["n10001", "v"]), (1, 2, 1, 0, ["last", "v"]), (2, 1, 3, 4, ["a b", "c"])]
+    df = spark.createDataFrame(rows, "doc_id int, page int, table_no int, row_no int, cells array<string>").repartition(5)
+    got = {(r.doc_id, r.attribute): r.pos for r in dc.table_row_records(df).collect()}
+    # The table beyond the ten-thousandth and the next page's first had one number before.
+    order = [got[1, f"n{k}"] for k in range(10_002)] + [got[1, "last"]]
+    assert order == sorted(order) and len(set(order)) == 10_003 and got[2, "a b"] == 1_000_300_000_004
+    assert len(got) == 10_004
+    monkeypatch.setattr(dc, "TABLE_ROWS", 3)
+    few = spark.createDataFrame([(1, 1, 0, k, [f"x{k} y", "v"]) for k in range(9)] + [(1, 1, 1, 0, ["next", "v"])], df.schema)
+    assert [r.attribute for r in dc.table_row_records(few).orderBy("pos").collect()] == [f"x{k} y" for k in range(9)] + ["next"]
