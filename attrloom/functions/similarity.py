@@ -102,7 +102,7 @@ def block_tokens(cs: Column | str) -> Column:
 
     def token(x: Column, i: Column) -> Column:
         nth = F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda y: y == x))
-        return F.concat(F.lpad((F.lit(9999) - nth).cast("string"), 4, "0"),
+        return F.concat(F.lpad((F.lit(999_999_999) - nth).cast("string"), 9, "0"),
                         F.translate(x, LETTERS_BY_FREQUENCY, ranks))
 
     return F.array_sort(F.transform(cs, token))

@@ -50,11 +50,19 @@ def unique_headers(cells: Column | str) -> Column:
     base = F.transform(tx.col(cells), lambda c, i: F.when(
         tx.clean_cell(c) == "", F.concat(F.lit("col_"), (i + 1).cast("string"))).otherwise(tx.clean_cell(c)))
 
-    def numbered(b: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(base, F.lit(1), i + 1), lambda x: x == b))
-        return F.when(nth == 1, b).otherwise(F.concat(b, F.lit("_"), nth.cast("string")))
-
-    return F.transform(base, numbered)
+    def numbered(ordered: Column) -> Column:
+        # Equal headers stand together after the sort, so a group's numbers are those up to the next group's start.
+        new = F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["b"] != x["b"]), i))
+        nth = tx.let(F.filter(new, lambda i: i.isNotNull()), lambda starts: F.flatten(F.transform(
+            starts, lambda at, k: F.sequence(F.lit(1), F.coalesce(F.get(starts, k + 1), F.size(ordered)) - at))))
+        placed = F.array_sort(F.zip_with(ordered, nth, lambda x, n: F.struct(x["i"].alias("i"), x["b"].alias("b"), n.alias("n"))))
+        return F.transform(placed, lambda x: F.when(x["n"] == 1, x["b"]).otherwise(F.concat(x["b"], F.lit("_"), x["n"].cast("string"))))
+
+    def named(names: Column) -> Column:
+        ordered = F.array_sort(F.transform(names, lambda b, i: F.struct(b.alias("b"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(tx.let(ordered, numbered))
+
+    return tx.let(base, named)
 
 
 def attribute_position(headers: Column | str) -> Column:

@@ -19,6 +19,23 @@ def pairs(df, *cols):
     return [tuple(r[c] for c in cols or ("attribute", "value")) for r in df.orderBy("pos").collect()]
 
 
+def test_fifty_thousand_headers(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    cells = [f"h{k % 20_000}" if k % 7 else " " for k in range(50_000)]
+    df = spark.createDataFrame([(cells,), ([],), (["a", "b"],), (["x"] * 3,)], "c array<string>")
+    start = time.time()
+    got = [r[0] for r in df.select(gr.unique_headers("c").alias("h")).collect()]
+    assert time.time() - start < 20
+    seen, want = {}, []
+    for k, c in enumerate(cells):
+        name = c.strip() or f"col_{k + 1}"
+        seen[name] = seen.get(name, 0) + 1
+        want.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    assert got == [want, [], ["a", "b"], ["x", "x_2", "x_3"]] and df.filter(F.size("c") < 0).isEmpty()
+
+
 def test_unique_headers(spark):
     df = spark.createDataFrame([(["A", "A", "", "B", "A"],)], "c array<string>")
     assert df.select(gr.unique_headers("c")).first()[0] == ["A", "A_2", "col_3", "B", "A_3"]
