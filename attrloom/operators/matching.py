@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from attrloom.functions import similarity as sim
 from attrloom.functions import text as tx
 from attrloom.functions.shapes import passes_guard
+from attrloom.operators.vectors import embedding_scores
 from attrloom.sources.dictionary import Dictionary
 
 # Acceptance thresholds and the lead the best text must have over the next one.
@@ -155,37 +156,14 @@ def tfidf_match(texts: DataFrame, dictionary: Dictionary, threshold: float = SEM
                        F.col("form").alias("variation"))
 
 
-CORPUS_BLOCK = 256
-# Dense vectors sent to every executor at most.
-BROADCAST_VECTORS = 4096
-
-
 def embedding_match(texts: DataFrame, corpus: DataFrame, threshold: float = SEMANTIC_THRESHOLD,
                     gap: float = SEMANTIC_GAP) -> DataFrame:
     """M6: best cosine of dense vectors.
 
-    ``texts(text, vector)`` against ``corpus(var_no, form, canonical, guard, vector)``. The corpus is
-    packed into blocks of about CORPUS_BLOCK vectors; a text meets each block once and keeps its two best
-    there, so the exact top two come from a join on the block number with two rows per text and block.
-    Up to BROADCAST_VECTORS vectors the blocks go to the texts, beyond that both are shuffled by block.
+    ``texts(text, vector)`` against ``corpus(var_no, form, canonical, guard, vector)``. Vectors below
+    ``threshold - gap`` cannot change the outcome; of the others a pivot index finds the exact two best.
     """
-    total = corpus.count()
-    n_blocks = max(1, -(-total // CORPUS_BLOCK))
-    block = F.pmod(F.xxhash64("var_no"), F.lit(n_blocks)).cast("int")
-    blocks = corpus.select(block.alias("block"), "var_no", "form", "canonical", "guard", "vector",
-                           sim.norm2("vector").alias("length"))
-    blocks = blocks.groupBy("block").agg(
-        F.collect_list(F.struct("var_no", "form", "canonical", "guard", "vector", "length")).alias("members"))
-    query = texts.filter(F.col("vector").isNotNull()).select("text", "vector", sim.norm2("vector").alias("q_length"))
-    spread = query.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    score = lambda m: sim.cosine(F.col("vector"), m["vector"], F.col("q_length"), m["length"])
-    rated = F.transform("members", lambda m: F.struct(
-        score(m).alias("score"), (-m["var_no"]).alias("neg_no"), m["form"].alias("form"),
-        m["canonical"].alias("canonical"), m["guard"].alias("guard")))
-    top = F.slice(F.sort_array(rated, asc=False), 1, 2)
-    blocks = F.broadcast(blocks) if total <= BROADCAST_VECTORS else blocks
-    scored = spread.join(blocks, "block").select("text", F.explode(top).alias("m")).select(
-        "text", (-F.col("m.neg_no")).alias("var_no"), "m.form", "m.canonical", "m.guard", "m.score")
+    scored = embedding_scores(texts, corpus, threshold - gap - EPSILON)
     best = _best_with_lead(scored, threshold, gap, "text")
     return best.select("text", "canonical", "guard", F.col("score").alias("confidence"),
                        F.col("form").alias("variation"))

@@ -197,6 +197,8 @@ def test_rows_keep_their_own_casing(spark, traps):
 
 def test_embedding_match_is_exact_over_several_blocks(spark, monkeypatch):
     import random
+
+    from attrloom.operators import vectors as vc
     rnd = random.Random(3)
     vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
     corpus = [(i, f"f{i}", f"c{i}", None, vec()) for i in range(40)]
@@ -207,7 +209,7 @@ def test_embedding_match_is_exact_over_several_blocks(spark, monkeypatch):
         best, second = sorted((cos(v, c[4]) for c in corpus), reverse=True)[:2]
         if best >= 0.6 and best - second >= 0.05:
             expected[name] = best
-    monkeypatch.setattr(mt, "CORPUS_BLOCK", 7)
+    monkeypatch.setattr(vc, "CORPUS_BLOCK", 7)
     got = mt.embedding_match(spark.createDataFrame(texts, "text string, vector array<double>"),
                              spark.createDataFrame(corpus, "var_no long, form string, canonical string, guard string, vector array<double>"), 0.6, 0.05)
     rows = {r["text"]: r["confidence"] for r in got.collect()}
