@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attrloom.functions import text as tx
 from attrloom.operators.grids import has_content
+from attrloom.sources.csvsplit import csv_records
 
 # File suffixes and the format that reads them.
 FORMATS = {".pdf": "pdf", ".xlsx": "excel", ".xls": "excel", ".csv": "csv", ".docx": "docx", ".json": "json", ".xml": "xml"}
@@ -33,17 +34,19 @@ def csv_grid(spark: SparkSession, path: str | list[str], multi_line: bool = True
     """Header-less CSV files as a grid ``(doc_id, sheet, row_no, cells)``; missing-value tokens
     become empty, blank rows go, ``doc_id`` is the file.
 
-    Records may have any number of fields: the reader cuts records (read as one column, a record with
-    more fields comes back whole) and the fields are taken apart in the row. ``multi_line`` reads a file
-    in one task, which quoted line breaks need. Without it large files split; ``row_no`` then still orders
-    the rows of a file, by byte offset of the split first.
+    Records may have any number of fields. ``multi_line`` allows line breaks in quoted fields; large files
+    are divided either way. Without it the CSV reader takes every line as a record, in one scan.
     """
-    raw = spark.read.csv(path, schema="c0 string, _raw string", header=False, multiLine=multi_line, quote='"', escape='"',
-                         mode="PERMISSIVE", columnNameOfCorruptRecord="_raw")
-    seq = F.monotonically_increasing_id()
-    row_no = seq if multi_line else F.col("_metadata.file_block_start") * F.lit(1 << 16) + seq.bitwiseAND(F.lit((1 << 33) - 1))
-    cells = F.coalesce(csv_fields(F.regexp_replace("_raw", r"[\r\n]+\z", "")), F.array("c0"))
-    grid = raw.select(F.col("_metadata.file_path").alias("doc_id"), F.lit("").alias("sheet"), row_no.alias("row_no"),
+    if multi_line:
+        raw = csv_records(spark, path)
+        cells, doc_id, row_no = csv_fields(F.regexp_replace("record", r"[\r\n]+\z", "")), F.col("doc_id"), F.col("row_no")
+    else:
+        raw = spark.read.csv(path, schema="c0 string, _raw string", header=False, quote='"', escape='"',
+                             mode="PERMISSIVE", columnNameOfCorruptRecord="_raw")
+        # A record with more fields than the schema comes back whole and is taken apart in the row.
+        cells, doc_id = F.coalesce(csv_fields(F.regexp_replace("_raw", r"[\r\n]+\z", "")), F.array("c0")), F.col("_metadata.file_path")
+        row_no = F.col("_metadata.file_block_start") * F.lit(1 << 16) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    grid = raw.select(doc_id.alias("doc_id"), F.lit("").alias("sheet"), row_no.alias("row_no"),
                       F.transform(cells, lambda c: F.coalesce(tx.blank_na(c), F.lit(""))).alias("cells"))
     return grid.filter(has_content("cells"))
 
