@@ -17,18 +17,23 @@ from attrloom.sources.tables import spread
 MATCH_COLUMNS = ["raw_attr", "canonical_attr", "match_type", "confidence", "matched_variation"]
 
 
+def map_names(names: DataFrame, dictionary: Dictionary, **options) -> DataFrame:
+    """Tier candidates of distinct names (from ``name_texts``), with the tables between the tiers written once."""
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        stored = materialize(df, label)
+        return spread(stored, "text") if label == "texts" else stored
+
+    return match_names(names, dictionary, keep=keep, **options)
+
+
 def name_mapping(records: DataFrame, dictionary: Dictionary, name: str = "attribute", **options) -> DataFrame:
     """The schema mapping: tier candidates of every distinct name, written to the shared folder.
 
     Names repeat without bound while distinct names do not, so matching runs once per name here and
     is joined back per row. Writing it once cuts the lineage and makes its size known.
     """
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        stored = materialize(df, label)
-        return spread(stored, "text") if label == "texts" else stored
-
     names = materialize(name_texts(records.select(tx.strip(F.coalesce(name, F.lit(""))).alias(name)), name), "names")
-    return materialize(match_names(names, dictionary, keep=keep, **options), "name-mapping")
+    return materialize(map_names(names, dictionary, **options), "name-mapping")
 
 
 def match_records(records: DataFrame, dictionary: Dictionary, name: str = "attribute", value: str = "value",

@@ -36,13 +36,17 @@ SPLITS = "doc_id string, start long, n_lines long, from_out boolean, from_in boo
 PIECES = "doc_id string, start long, line_no long, whole boolean, follows boolean, text string"
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], divided_only: bool = False) -> DataFrame:
     """Lines in scan order with their split, and the state behind each line from outside and from inside."""
-    raw = spark.read.text(path, lineSep="\n").withColumn("value", F.make_valid_utf8("value"))
-    return raw.select(
+    raw = spark.read.text(path, lineSep="\n")
+    if divided_only:
+        # The size alone keeps small files from being opened.
+        size = F.col("_metadata.file_size")
+        raw = raw.filter((size > _smallest_split(spark)) & (F.col("_metadata.file_block_length") < size))
+    return raw.withColumn("value", F.make_valid_utf8("value")).select(
         F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("start"),
         (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("divided"),
-        F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("seq"), "value",
+        F.monotonically_increasing_id().alias("seq"), "value",
         (F.contains("value", F.lit('"')) & F.col("value").rlike(OPENS)).alias("from_out"),
         (~F.contains("value", F.lit('"')) | F.col("value").rlike(STAYS_OPEN)).alias("from_in"))
 
@@ -166,8 +170,7 @@ def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     in between so that they do not, the job ends with an error. ``spark.sql.files.minPartitionNum`` fixes the division.
     """
     lines = _lines(spark, path)
-    large = lines.filter(F.col("file_size") > _smallest_split(spark)).filter("divided")
-    known = materialize(_split_states(large), "csv-splits")
+    known = materialize(_split_states(_lines(spark, path, divided_only=True)), "csv-splits")
     # A split has no more lines than bytes, so split and line number make one increasing number.
     row_no = (F.col("start") * (1 << 16) + F.col("line_no")).alias("row_no")
     whole = _pieces(lines, known, "left").filter("whole").select("doc_id", row_no, F.col("text").alias("record"))
