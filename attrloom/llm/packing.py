@@ -2,8 +2,8 @@
 
 Each task encodes its documents, cuts overlong ones into full rows and a rest (nothing is lost), and packs
 a block of pieces at a time: longest first, each into the fullest row it still fits, found by a descent in
-a segment tree over the free space. Rows come out as an id matrix with cumulative segment lengths and
-position resets. Blocks have a fixed number of tokens, so memory does not grow with the table.
+a segment tree over the free space. Rows come out as padded rows of an id matrix with cumulative segment
+lengths and positions that start again at each segment. Blocks have a fixed number of tokens, so memory does not grow with the table.
 
 Defined results: null and empty texts have no tokens and take no room (they are listed in no row);
 repeated documents are packed each; ties in length keep input order; an empty table gives no rows; extra
@@ -26,8 +26,10 @@ ROW_TOKENS = 2048
 BLOCK_TOKENS = 1 << 22
 
 SCHEMA = pa.schema([("pack_id", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int64())),
-                    ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-DDL = "pack_id string, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, n_tokens long, ids binary"
+                    ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()), ("position_bytes", pa.int32()),
+                    ("input_ids", pa.binary()), ("position_ids", pa.binary())])
+DDL = ("pack_id string, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, n_tokens long, id_bytes int, position_bytes int, "
+       "input_ids binary, position_ids binary")
 
 
 class FreeSpace:
@@ -85,29 +87,36 @@ def split(doc: int | None, ids: np.ndarray, capacity: int) -> list[tuple[int | N
     return [(doc, at, ids[at:at + capacity]) for at in range(0, len(ids), capacity)]
 
 
-def pack_block(pieces: list, capacity: int, label: str) -> pa.RecordBatch:
+def width(values: int) -> np.dtype:
+    """Unsigned little-endian integers that hold ``values`` different numbers, of 16 bit where they suffice."""
+    return np.dtype("<u2" if values <= 1 << 16 else "<u4")
+
+
+def pack_block(pieces: list, capacity: int, label: str, pad: int, ids: np.dtype) -> pa.RecordBatch:
+    places = width(capacity)
     rows = []
     for number, pack in enumerate(best_fit_decreasing(np.array([len(x[2]) for x in pieces], dtype=np.int64), capacity)):
         chosen = [pieces[k] for k in pack]
-        lengths = np.cumsum([0, *(len(x[2]) for x in chosen)])
-        rows.append((f"{label}-{number}", [x[0] for x in chosen], [x[1] for x in chosen], lengths.astype(np.int32), int(lengths[-1]),
-                     b"".join(x[2].tobytes() for x in chosen)))
+        lengths = np.array([len(x[2]) for x in chosen])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        row, positions = np.full(capacity, pad, dtype=ids), np.zeros(capacity, dtype=places)
+        row[:ends[-1]] = np.concatenate([x[2] for x in chosen])
+        positions[:ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
+        rows.append((f"{label}-{number}", [x[0] for x in chosen], [x[1] for x in chosen], ends.astype(np.int32), int(ends[-1]),
+                     ids.itemsize, places.itemsize, row.tobytes(), positions.tobytes()))
     return record_batch(SCHEMA, list(zip(*rows, strict=True)))
 
 
-def matrices(ids: bytes, cu_seqlens: np.ndarray, capacity: int, pad: int = 0, dtype: str = "<u2") -> tuple[np.ndarray, np.ndarray]:
-    """A padded id row and its positions, which start again at each segment."""
-    row, positions = np.full(capacity, pad, dtype=dtype), np.zeros(capacity, dtype=np.int32)
-    values = np.frombuffer(ids, dtype=dtype)
-    row[:len(values)] = values
-    positions[:len(values)] = np.arange(len(values)) - np.repeat(cu_seqlens[:-1], np.diff(cu_seqlens))
-    return row, positions
+def matrix(rows: list[bytes], item_bytes: int) -> np.ndarray:
+    """Rows of ``input_ids`` or ``position_ids`` as one matrix."""
+    return np.stack([np.frombuffer(r, dtype=f"<u{item_bytes}") for r in rows])
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Packed rows: which documents from which token on, cumulative lengths, and ids (little-endian, 16 bit where they fit).
+def pack(docs: DataFrame, vocabulary: str | None = None, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS, pad: int = 0) -> DataFrame:
+    """Packed rows of ``row_tokens``: which documents from which token on, cumulative lengths, padded ids and positions.
 
-    Narrow: no shuffle. A lost task is packed again from its own input alone.
+    ``input_ids`` and ``position_ids`` are little-endian rows of ``id_bytes`` and ``position_bytes`` an item; from
+    ``n_tokens`` on they hold ``pad`` and 0. Narrow: no shuffle. A lost task is packed again from its own input alone.
     """
     if row_tokens < 1:
         raise ValueError("row_tokens must be positive")
@@ -115,37 +124,25 @@ def pack(docs: DataFrame, vocabulary: str | None = None, row_tokens: int = ROW_T
     def run(batches):
         from pyspark import TaskContext
         coder, part, block = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        dtype = "<u2" if len(coder.sizes) <= 1 << 16 else "<u4"
+        kind = width(max(len(coder.sizes), pad + 1))
         pieces, held = [], 0
         for batch in row_blocks(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.encode(text).astype(dtype)
+                ids = coder.encode(text).astype(kind)
                 pieces += split(doc, ids, row_tokens)
                 held += len(ids)
                 if held >= block_tokens:
-                    yield pack_block(pieces, row_tokens, f"{part}-{block}")
+                    yield pack_block(pieces, row_tokens, f"{part}-{block}", pad, kind)
                     pieces, held, block = [], 0, block + 1
         if pieces:
-            yield pack_block(pieces, row_tokens, f"{part}-{block}")
+            yield pack_block(pieces, row_tokens, f"{part}-{block}", pad, kind)
 
     return doc_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DDL)
 
 
-def write_packs(packs: DataFrame, path: str, row_tokens: int = ROW_TOKENS, pad: int = 0) -> None:
-    """Fixed-size rows to Parquet: padded ids, positions, cumulative lengths. 16-bit ids."""
-    schema = pa.schema([("pack_id", pa.string()), ("input_ids", pa.binary()), ("position_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32()))])
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for name, ids, lengths in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                row, positions = matrices(ids, np.array(lengths), row_tokens, pad)
-                rows.append((name, row.tobytes(), positions.tobytes(), lengths))
-            if rows:
-                yield record_batch(schema, list(zip(*rows, strict=True)))
-
-    (packs.select("pack_id", "ids", "cu_seqlens")
-     .mapInArrow(run, "pack_id string, input_ids binary, position_ids binary, cu_seqlens array<int>").write.parquet(path))
+def write_packs(packs: DataFrame, path: str) -> None:
+    """The matrix rows of ``packs`` to Parquet: padded ids and positions with their widths, cumulative lengths."""
+    packs.select("pack_id", "id_bytes", "position_bytes", "input_ids", "position_ids", "cu_seqlens").write.parquet(path)
 
 
 def op7_packing(spark, folder: str) -> DataFrame:

@@ -5,11 +5,14 @@ those sorted spans with the section spans (two binary searches) tells which sect
 token that crosses a boundary goes to the section that holds most of its characters, the earlier one on
 a tie (``rule="most"``), or to the section of its first character (``rule="first"``).
 
-Sections are the lines of a text, each with its line feed; any other spans can be given as an array of
-start offsets. A token that holds part of a character counts for the character it starts in.
-
-Defined results: a null or empty text has no tokens and one empty section; repeated documents each get
-their row; an empty table gives no rows; extra columns are ignored.
+Sections are the lines of a text, each with its line feed, or begin at the offsets a column gives (code
+points; order and repeats do not matter, offsets outside the text are ignored, the first section begins at 0, one
+that begins at the end of the text is empty), or are the fields of a record, each with the separator behind it. A
+token that holds part of a character counts for the character it starts in.
+
+Defined results: a null or empty text has no tokens and one empty section (as many as fields, for fields); a null
+array of offsets stands for the lines; repeated documents each get their row; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrloom.llm.common import doc_texts, record_batch, row_blocks, table
+from attrloom.llm.common import record_batch, row_blocks, table
 from attrloom.llm.encoder import encoder
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_sections", pa.int64()),
@@ -58,8 +61,15 @@ def line_starts(text: str) -> np.ndarray:
     return starts[:-1] if len(starts) > 1 and starts[-1] == len(points) else starts
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None, rule: str = "most") -> DataFrame:
-    """Tokens of each document and of each of its sections. Narrow: no shuffle, one document at a time."""
+def given_starts(starts: list[int | None], length: int) -> np.ndarray:
+    return np.array(sorted({0, *(s for s in starts if s is not None and 0 < s <= length)}), dtype=np.int64)
+
+
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, rule: str = "most", sections: str | None = None) -> DataFrame:
+    """Tokens of each document and of each of its sections, which are lines or begin at the offsets in column ``sections``.
+
+    Narrow: no shuffle, one document at a time.
+    """
     if rule not in ("most", "first"):
         raise ValueError(f"unknown rule {rule}")
 
@@ -67,14 +77,29 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, rule: str = "mo
         coder = encoder(vocabulary)
         for batch in row_blocks(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids, sections = coder.encode(text), line_starts(text)
+            given = batch.column(2).to_pylist() if sections else [None] * batch.num_rows
+            for text, offsets in zip(batch.column(1).to_pylist(), given, strict=True):
+                ids, starts = coder.encode(text), line_starts(text) if offsets is None else given_starts(offsets, len(text))
                 first, stop = token_spans(text, ids, coder.sizes)
-                counts, crossing = attribute(first, stop, sections, len(text), rule)
-                rows.append((len(ids), len(sections), sections, counts, crossing))
+                counts, crossing = attribute(first, stop, starts, len(text), rule)
+                rows.append((len(ids), len(starts), starts, counts, crossing))
             yield record_batch(SCHEMA, [batch.column(0), *(list(x) for x in zip(*rows, strict=True))])
 
-    return doc_texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DDL)
+    offsets = [F.col(f"`{sections}`").cast("array<long>").alias("starts")] if sections else []
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *offsets).mapInArrow(run, DDL)
+
+
+def count_field_tokens(records: DataFrame, fields: list[str], separator: str = "\n", vocabulary: str | None = None, rule: str = "most") -> DataFrame:
+    """Tokens of each record's joined ``fields``, and of each field with the separator behind it; a null field is empty."""
+    if not fields or not separator:
+        raise ValueError("fields and a separator are needed")
+    texts = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields]
+    starts, at = [], F.lit(0).cast("long")
+    for text in texts:
+        starts.append(at)
+        at = at + F.length(text) + F.lit(len(separator))
+    joined = records.select("doc_id", F.concat_ws(separator, *texts).alias("text"), F.array(*starts).alias("starts"))
+    return count_tokens(joined, vocabulary, rule, sections="starts")
 
 
 def op9_token_counts(spark, folder: str) -> DataFrame:

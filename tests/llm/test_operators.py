@@ -159,6 +159,55 @@ def test_shared_weights_order_the_thresholds():
     assert np.allclose(theta / w[0], [0.8, 1.6, 2.4], atol=0.1)
 
 
+def test_the_ordinal_fit_is_a_stationary_point():
+    """Central differences of the penalized likelihood, written out case by case, vanish at the fitted weights."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.7, (400, 5)).astype(float)
+    grades = np.digitize(x @ [1.2, 0.6, -0.5, 0.0, 0.3] + rng.logistic(0, 1, 400), [0.5, 1.5, 2.5])
+    rows, columns = np.nonzero(x)
+    w, theta = toxicity.fit_ordinal(rows, columns, x[rows, columns], grades, 5, steps=8000, rate=0.01)
+
+    def objective(values):
+        total = 0.0
+        for row, g in zip(x, grades, strict=True):
+            above = [1.0, *(1 / (1 + np.exp(t - row @ values[:5])) for t in values[5:]), 0.0]
+            total += np.log(above[g] - above[g + 1])
+        return total / len(x) - 1e-4 * (values[:5] ** 2).sum()
+
+    at = np.concatenate([w, theta])
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-4
+        assert abs(objective(at + step) - objective(at - step)) / 2e-4 < 2e-3, k
+
+
+def test_features_and_severity_equal_plain_python(spark):
+    rng = random.Random(9)
+    rows = [(k, prose(rng, rng.randint(0, 50)) + (" vile, ROTTEN" * (k % 4) if k % 3 == 0 else "")) for k in range(300)]
+    rows += [(500, None), (501, ""), (None, "vile"), (7, "on rotten"), (600, "vile rotten " * 20_000)]
+    marks = [(k, int(k % 3 == 0)) for k in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, 1, m) for k, m in marks], "doc_id long, quality int, toxic int"))
+
+    split = lambda text: Counter(w.encode() for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w)
+    known, held = dict(marks), {0: [], 1: []}
+    for k, text in rows:
+        if k in known:
+            held[known[k]].append(set(split(text)))
+    size, want = {m: len(x) for m, x in held.items()}, set()
+    for word in set().union(*held[0], *held[1]):
+        a, b = (sum(word in x for x in held[m]) for m in (1, 0))
+        p = (a + b) / (size[0] + size[1])
+        z = (a / size[1] - b / size[0]) / np.sqrt(p * (1 - p) * (1 / size[1] + 1 / size[0]) + 1e-9)
+        want |= {word} if abs(z) >= toxicity.FEATURE_Z else set()
+    assert set(model.weights) == want and {b"vile", b"rotten"} <= want
+    plain = Counter()
+    for k, text in rows:
+        score = sum(model.weights[w] * np.log(1 + n) for w, n in split(text).items() if w in model.weights)
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        plain[(k, round(sum(above), 9), above[0] >= 0.5)] += 1
+    assert Counter((r.doc_id, round(r.severity, 9), r.rejected) for r in toxicity.grade(docs, model).collect()) == plain
+
+
 def brute_components(prints, radius):
     parent = list(range(len(prints)))
 
@@ -293,13 +342,13 @@ def test_sketches_estimate_containment():
 def test_packing(docs, texts, empty):
     rows = packing.pack(docs, row_tokens=64, block_tokens=700).collect()
     library, back = encoder().library, {}
-    for r in rows:
-        ids = np.frombuffer(bytes(r.ids), dtype="<u2")
-        assert len(ids) == r.n_tokens == r.cu_seqlens[-1] <= 64
-        row, positions = packing.matrices(bytes(r.ids), np.array(r.cu_seqlens), 64)
+    ids, positions = (packing.matrix([bytes(r[name]) for r in rows], 2) for name in ("input_ids", "position_ids"))
+    assert ids.shape == positions.shape == (len(rows), 64) and all(r.id_bytes == r.position_bytes == 2 for r in rows)
+    for r, row, place in zip(rows, ids, positions, strict=True):
+        assert r.n_tokens == r.cu_seqlens[-1] <= 64 and not row[r.n_tokens:].any() and not place[r.n_tokens:].any()
         for doc, at, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
-            back.setdefault(doc, []).append((at, ids[a:b].tolist()))
-            assert positions[a:b].tolist() == list(range(b - a)) and row[a:b].tolist() == ids[a:b].tolist()
+            back.setdefault(doc, []).append((at, row[a:b].tolist()))
+            assert place[a:b].tolist() == list(range(b - a))
     want = {}
     for i, t in texts:
         want.setdefault(i, []).extend(library.encode_ordinary(t or ""))
@@ -326,8 +375,24 @@ def test_best_fit_decreasing_equals_the_plain_search():
 
 
 def test_packed_files(spark, docs, tmp_path):
-    packing.write_packs(packing.pack(docs, row_tokens=64), str(tmp_path / "packs"), 64)
-    assert all(len(r.input_ids) == 128 and len(r.position_ids) == 256 for r in spark.read.parquet(str(tmp_path / "packs")).collect())
+    packing.write_packs(packing.pack(docs, row_tokens=64), str(tmp_path / "packs"))
+    assert all(len(r.input_ids) == len(r.position_ids) == 128 for r in spark.read.parquet(str(tmp_path / "packs")).collect())
+
+
+def test_packing_widths_follow_the_values(spark, docs):
+    """A pad value or a row beyond 16 bit takes wider items; a very long text fills whole rows and loses nothing."""
+    assert [packing.width(n).itemsize for n in (1, 65536, 65537)] == [2, 2, 4]
+    rows = packing.pack(docs, row_tokens=64, pad=1 << 16).collect()
+    ids = packing.matrix([bytes(r.input_ids) for r in rows], 4)
+    assert all(r.id_bytes == 4 and (row[r.n_tokens:] == 1 << 16).all() for r, row in zip(rows, ids, strict=True))
+    text = prose(random.Random(2), 90_000)
+    wide, = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), row_tokens=1 << 20).collect()
+    want = encoder().library.encode_ordinary(text)
+    assert wide.position_bytes == 4 and wide.n_tokens == len(want) > 1 << 16
+    assert packing.matrix([bytes(wide.input_ids)], 2)[0][:len(want)].tolist() == want
+    assert packing.matrix([bytes(wide.position_ids)], 4)[0][:len(want)].tolist() == list(range(len(want)))
+    cut = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(r.n_tokens == packing.ROW_TOKENS for r in cut) == len(want) // packing.ROW_TOKENS
 
 
 def test_personal_data(docs, texts, empty):
@@ -387,6 +452,54 @@ def test_token_counts(docs, texts, empty):
     assert token_counts.attribute(first, np.array([4]), sections, 4, "most") [0].tolist() == [1, 0]
 
 
+def plain_counts(text, starts, rule):
+    """Every token's characters one by one: those that begin in its bytes, or else the one it continues."""
+    library = encoder().library
+    of_byte = [k for k, c in enumerate(text) for _ in c.encode()]
+    heads = [k == 0 or of_byte[k] != of_byte[k - 1] for k in range(len(of_byte))]
+    section = [max(n for n, s in enumerate(starts) if s <= k) for k in range(len(text))]
+    counts, crossing, at = [0] * len(starts), 0, 0
+    for token in library.encode_ordinary(text):
+        end = at + len(library.decode_single_token_bytes(token))
+        chars = [of_byte[k] for k in range(at, end) if heads[k]] or [of_byte[at]]
+        held = Counter(section[c] for c in chars)
+        owner = min(held, key=lambda n: (-held[n], n)) if rule == "most" else section[chars[0]]
+        counts[owner] += 1
+        crossing += len(held) > 1
+        at = end
+    return counts, crossing
+
+
+@pytest.mark.parametrize("rule", ["most", "first"])
+def test_section_counts_equal_the_plain_walk(spark, rule):
+    rng = random.Random(12)
+    parts = ["the", " on", "\n", "\n\n", " ", "é", "你好", "\U0001f600", "'ll", "12345", "x" * 9, "\r\n", "  "]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(0, 40)))) for k in range(120)]
+    rows = [(k, t, rng.choice([None, [], [0], [rng.randint(-3, len(t) + 3) for _ in range(rng.randint(1, 9))] + [None, len(t)]])) for k, t in rows]
+    table = spark.createDataFrame(rows, "doc_id long, text string, marks array<int>")
+
+    def lines(text):
+        return [0, *(k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text))]
+
+    for column in (None, "marks"):
+        got = {r.doc_id: r for r in token_counts.count_tokens(table, rule=rule, sections=column).collect()}
+        for k, text, marks in rows:
+            starts = lines(text) if column is None or marks is None else sorted({0, *(m for m in marks if m is not None and 0 < m <= len(text))})
+            assert (got[k].section_starts, (got[k].section_tokens, got[k].n_crossing)) == (starts, plain_counts(text, starts, rule)), (text, starts)
+
+
+def test_field_counts(spark):
+    rows = [(1, "the on", "é 你好", 5), (2, None, "", None), (3, "", "x\ny", 12), (None, "a", "b", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, title string, `the body` string, n int")
+    got = {r.doc_id: r for r in token_counts.count_field_tokens(table, ["title", "the body", "n"]).collect()}
+    for k, *fields in rows:
+        texts = ["" if f is None else str(f) for f in fields]
+        starts = [0, len(texts[0]) + 1, len(texts[0]) + len(texts[1]) + 2]
+        assert (got[k].section_starts, (got[k].section_tokens, got[k].n_crossing)) == (starts, plain_counts("\n".join(texts), starts, "most"))
+    with pytest.raises(ValueError, match="needed"):
+        token_counts.count_field_tokens(table, [])
+
+
 def test_decontamination(spark, docs, texts, empty):
     long = texts[10][1].split(" ")
     items = [(1, " ".join(long[20:45])), (2, long[3] + "; " + long[4].upper()), (3, ""), (4, None), (None, "zz qq"), (1, " ".join(long[20:45])), (5, " ".join(long[20:29]) + " qqq ww"), (6, "a")]
