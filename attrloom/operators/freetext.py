@@ -1,23 +1,29 @@
 """Routing, chunking and rule-based extraction of free text.
 
-All rules of a document run inside its own row, duplicates are dropped there too, and only found
-records leave the row: one narrow pass over the text, no shuffle.
+All rules of a document run on its own row in one batch function, duplicates are dropped there too, and only
+found records leave it: one narrow pass over the text, no shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import chain
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attrloom.functions import text as tx
-from attrloom.operators.records import explode_first, name_value_key, split_key_value, usable_pair
+from attrloom.functions import textrules
+from attrloom.functions.textrules import triggered as _if_triggered
+
+# The rules go to the workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(textrules)
 
-PAIRS = "array<struct<attribute:string,value:string>>"
 MAX_CHARS = 2200
 OVERLAP = 250
 
-FLAGS = "(?diU)"
-
 # Find-all rules for sentences about an order (attribute, pattern with one group).
 SENTENCE_RULES = (
     ("Total Order Value", r"\btotal billed amount\b.*?(\d+(?:\.\d+)?\s*rupees?)"),
@@ -29,8 +35,8 @@ SENTENCE_RULES = (
     ("Address", r"\bdelivery city is\s+([A-Za-z ]+?)(?:\s+and|\.$)"),
     ("Order Number", r"\border reference\s+is\s+([A-Z0-9\-]+)"),
 )
-CUSTOMER_AT_START = r"(?dU)\A([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s+placed an order"
-PRODUCT_IN_ORDER = FLAGS + r"\bfor\s+\d+\s+(?:units?|pcs?|pieces?|items?)\s+of\s+([A-Za-z0-9 ]+?)(?:\.| at | worth )"
+CUSTOMER_AT_START = r"\A([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s+placed an order"
+PRODUCT_IN_ORDER = r"\bfor\s+\d+\s+(?:units?|pcs?|pieces?|items?)\s+of\s+([A-Za-z0-9 ]+?)(?:\.| at | worth )"
 
 # Find-all rules for identifiers and measures (attribute, pattern, group, suffix, flags).
 FIELD_RULES = (
@@ -229,92 +235,70 @@ def chunks(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHARS, over
 # ---------------------------------------------------------------- rules
 
 
-def _pairs(attribute: str, values: Column, suffix: str = "") -> Column:
-    end = F.lit(suffix)
-    return F.transform(values, lambda v: F.struct(
-        F.lit(attribute).alias("attribute"), F.concat(tx.strip(v), end).alias("value"))).cast(PAIRS)
-
-
-def _only(attribute: str, value: Column) -> Column:
-    return F.filter(_pairs(attribute, F.array(value)), lambda p: p["value"] != "")
-
-
-
-def folded(text: Column | str) -> Column:
-    """Lower case the way case-insensitive patterns see it: four letters count as i, s and k."""
-    return F.lower(F.translate(tx.col(text), "\u0130\u0131\u017f\u212a", "iisk"))
-
+def _rules(found: tuple, firsts: tuple = ()) -> Callable:
+    """Pairs of one text by find-all rules, then by first-match rules; the trigger test is looked up when the plan is made."""
+    return textrules.matches([*found, *firsts], _if_triggered)
 
-def _if_triggered(low: Column, words: tuple[str, ...], pairs: Column) -> Column:
-    if not words:
-        return pairs
-    any_word = low.contains(words[0])
-    for word in words[1:]:
-        any_word = any_word | low.contains(word)
-    return F.when(any_word, pairs).otherwise(F.array().cast(PAIRS))
 
-
-def sentence_pairs(text: Column | str) -> Column:
+def sentence_pairs() -> Callable:
     """T5 before the dedupe: key/value lines, find-all rules, then the two first-match rules."""
-    c = tx.col(text)
-    lines = F.filter(F.transform(tx.lines(c), split_key_value), lambda p: p.isNotNull()).cast(PAIRS)
-
-    def found(low: Column) -> Column:
-        every = [_if_triggered(low, SENTENCE_TRIGGERS[attribute],
-                               _pairs(attribute, F.regexp_extract_all(c, F.lit(FLAGS + pattern), 1)))
-                 for attribute, pattern in SENTENCE_RULES]
-        firsts = [_if_triggered(low, ("placed an order",), _only("Customer Name", F.regexp_extract(c, CUSTOMER_AT_START, 1))),
-                  _if_triggered(low, ("for",), _only("Product Name", F.regexp_extract(c, PRODUCT_IN_ORDER, 1)))]
-        return F.concat(*every, *firsts)
-
-    return F.concat(lines, tx.let(folded(c), found))
+    found = [(a, SENTENCE_TRIGGERS[a], textrules.compiled(p), 1, "", False) for a, p in SENTENCE_RULES]
+    firsts = [("Customer Name", ("placed an order",), textrules.compiled(CUSTOMER_AT_START, ignore_case=False), 1, "", True),
+              ("Product Name", ("for",), textrules.compiled(PRODUCT_IN_ORDER), 1, "", True)]
+    lines, rules = textrules.key_value_pairs, _rules(found, firsts)
+    return lambda text: chain(lines(text), rules(text))
 
 
-def field_pairs(text: Column | str) -> Column:
+def field_pairs() -> Callable:
     """Find-all rules on a collapsed text."""
-    c = tx.col(text)
-    return tx.let(folded(c), lambda low: F.concat(*[
-        _if_triggered(low, FIELD_TRIGGERS[attribute],
-                      _pairs(attribute, F.regexp_extract_all(c, F.lit(f"(?dU{i})" + pattern), group), suffix))
-        for attribute, pattern, group, suffix, i in FIELD_RULES]))
+    return _rules([(a, FIELD_TRIGGERS[a], textrules.compiled(p, i == "i"), group, suffix, False) for a, p, group, suffix, i in FIELD_RULES])
 
 
-def phrase_pairs(text: Column | str) -> Column:
+def phrase_pairs() -> Callable:
     """First-match rules on a collapsed text."""
-    c = tx.col(text)
-    return tx.let(folded(c), lambda low: F.concat(*[
-        _if_triggered(low, PHRASE_TRIGGERS[attribute], _only(attribute, F.regexp_extract(c, FLAGS + pattern, 1)))
-        for attribute, pattern in PHRASE_RULES]))
+    return _rules([], [(a, PHRASE_TRIGGERS[a], textrules.compiled(p), 1, "", True) for a, p in PHRASE_RULES])
 
 
-def keyword_pairs(text: Column | str) -> Column:
+def keyword_pairs() -> Callable:
     """The word "urgent" sets a priority."""
-    flag = F.array(F.struct(F.lit("Priority Level").alias("attribute"), F.lit("Urgent").alias("value"))).cast(PAIRS)
-    return F.when(tx.col(text).rlike(FLAGS + r"\burgent\b"), flag).otherwise(F.array().cast(PAIRS))
+    fold, pattern = textrules.folded, textrules.URGENT
+    return lambda text: [("Priority Level", "Urgent")] if "urgent" in fold(text) and pattern.search(text) else []
+
+
+def _usable_of(pairs: Callable) -> Callable:
+    usable = textrules.usable_pairs()
+    return lambda text: [p for p in pairs(text or "") if usable(*p)]
+
+
+def _found(docs: DataFrame, text: str, cell: Column, pairs: Callable, fold_value: bool = False) -> DataFrame:
+    """The first of the pairs that a function finds in every ``cell``; all columns of ``docs`` but the text stay."""
+    rest = [f for f in docs.schema.fields if f.name != text]
+    schema = StructType([*rest, *StructType.fromDDL("pos bigint, attribute string, value string").fields])
+    cells = docs.select(*[F.col(f"`{f.name}`") for f in rest], cell.alias("_cell"))
+    return cells.mapInArrow(textrules.first_pairs(pairs, "_cell", fold_value), schema)
 
 
 def extract_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """T5: records of the sentence rules, first (lower-cased name, value) per row."""
-    found = docs.withColumn("_pairs", F.filter(sentence_pairs(text), usable_pair)).drop(text)
-    return explode_first(found, "_pairs", name_value_key)
+    return _found(docs, text, F.make_valid_utf8(text), _usable_of(sentence_pairs()))
 
 
 def extract_chunked(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Chunk, extract from each chunk, merge in chunk order with one dedupe per document."""
-    stripped = docs.withColumn("_t", tx.strip(F.coalesce(text, F.lit(""))))
-    cut = stripped.withColumn("_chunks", chunk_array("_t", max_chars, overlap)).drop(text, "_t")
-    found = cut.withColumn("_pairs", F.filter(
-        F.flatten(F.transform("_chunks", lambda c: sentence_pairs(c["text"]))), usable_pair)).drop("_chunks")
-    return explode_first(found, "_pairs", name_value_key)
+    stripped = docs.withColumn(text, tx.strip(F.coalesce(F.make_valid_utf8(text), F.lit(""))))
+    texts = F.transform(chunk_array(text, max_chars, overlap), lambda c: c["text"])
+    pairs = _usable_of(sentence_pairs())
+    return _found(stripped, text, texts, lambda chunks: chain.from_iterable(map(pairs, chunks)))
 
 
 def extract_fields(docs: DataFrame, text: str = "text", rules: tuple[str, ...] = ("field", "phrase", "keyword")) -> DataFrame:
     """Records of the field and phrase rules, deduplicated without regard to case."""
-    parts = {"field": field_pairs, "phrase": phrase_pairs, "keyword": keyword_pairs}
-    flat = docs.withColumn("_flat", tx.collapse(F.coalesce(text, F.lit("")))).drop(text)
-    found = flat.withColumn("_pairs", F.concat(*[parts[r]("_flat") for r in rules])).drop("_flat")
-    cleaned = found.withColumn("_pairs", F.filter(
-        F.transform("_pairs", lambda p: F.struct(
-            p["attribute"].alias("attribute"), tx.collapse(p["value"]).alias("value"))),
-        lambda p: (p["attribute"] != "") & (p["value"] != "")))
-    return explode_first(cleaned, "_pairs", lambda p: F.concat(F.lower(p["attribute"]), F.lit("\0"), F.lower(p["value"])))
+    kinds = {"field": field_pairs, "phrase": phrase_pairs, "keyword": keyword_pairs}
+    parts = [kinds[r]() for r in rules]
+
+    def pairs(text):
+        flat = " ".join((text or "").split())
+        cleaned = ((attribute, " ".join(value.split())) for part in parts for attribute, value in part(flat))
+        return [p for p in cleaned if p[1]]
+
+    return _found(docs, text, F.make_valid_utf8(text), pairs, fold_value=True)
