@@ -8,13 +8,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrloom.functions import jsonleaves
+from attrloom.functions import jsonleaves, textrules
 from attrloom.functions import text as tx
 from attrloom.operators.lookups import first_per_key
-from attrloom.operators.records import explode_first, name_value_key, usable_pair
+from attrloom.operators.records import explode_first, first_places, name_value_key, usable_pair
 
 # The readers go to the workers by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(jsonleaves)
+cloudpickle.register_pickle_by_value(textrules)
 
 # An array of objects inside other text, and the keys that may hold the list.
 JSON_ARRAY = r"(?s)\[[%s]*\{.*\}[%s]*\]" % (tx.WS, tx.WS)
@@ -43,27 +44,34 @@ LEAF = "array<struct<attribute:string,value:string,raw_attribute:string>>"
 PIECED_BYTES = 64 << 10
 PIECE_BYTES = 16 << 10
 
-_READ = "array<struct<path:string,value:string,literal:string>>"
+_READ = "array<struct<path:string,value:string,literal:string,name:string>>"
+_ITEM = "array<struct<pos:bigint,path:string,value:string,literal:string,name:string>>"
 
 
-def _short_reader(batches: Iterator) -> Iterator:
-    """Leaves of whole texts; null where a text is malformed."""
-    import pyarrow as pa
+def _short_reader(keep, noise: tuple[str, ...]):
+    """Leaves of whole texts, named and filtered where a document is plain; null where a text is malformed."""
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    from_python = jsonleaves.storable
-    field = pa.struct([("path", pa.string()), ("value", pa.string()), ("literal", pa.string())])
-    for batch in batches:
-        ends, columns, bad = [0], ([], [], []), []
-        for text in batch.column("text").to_pylist():
-            found = jsonleaves.whole_leaves(text)
-            bad.append(found is None)
-            for leaf in found or ():
-                for column, part in zip(columns, leaf, strict=True):
-                    column.append(from_python(part))
-            ends.append(len(columns[0]))
-        items = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=list(field))
-        leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), leaves, pa.array(bad)], names=["doc_id", "leaves", "malformed"])
+        from_python, named = jsonleaves.storable, jsonleaves.naming(keep, noise)
+        field = [pa.field(name, pa.string()) for name in ("path", "value", "literal", "name")]
+        for batch in batches:
+            ends, columns, bad, plain = [0], ([], [], [], []), [], []
+            for text in batch.column("text").to_pylist():
+                found = jsonleaves.whole_leaves(text)
+                bad.append(found is None)
+                ready = named(found or ())
+                plain.append(ready is not None)
+                for leaf in [(*x, None) for x in found] if ready is None else ready:
+                    for column, part in zip(columns, leaf, strict=True):
+                        column.append(from_python(part))
+                ends.append(len(columns[0]))
+            items = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=field)
+            leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), leaves, pa.array(plain, pa.bool_()), pa.array(bad, pa.bool_())],
+                                             names=["doc_id", "leaves", "plain", "malformed"])
+
+    return read
 
 
 def _piece_reader(batches: Iterator) -> Iterator:
@@ -107,9 +115,10 @@ def _sized(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return slim.filter("NOT _long").drop("_long"), slim.filter("_long").drop("_long")
 
 
-def _short_leaves(docs: DataFrame) -> DataFrame:
+def _short_leaves(docs: DataFrame, strip_headers: bool = True) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_short_reader, f"doc_id {id_type}, leaves {_READ}, malformed boolean")
+    keep = textrules.usable_name if strip_headers else lambda name: name.strip() != ""
+    return docs.mapInArrow(_short_reader(keep, tx.PATH_NOISE), f"doc_id {id_type}, leaves {_READ}, plain boolean, malformed boolean")
 
 
 def _long_leaves(docs: DataFrame) -> DataFrame:
@@ -132,16 +141,28 @@ def _leaf(path: Column, value: Column, literal: Column) -> Column:
 def flatten_json(docs: DataFrame, text: str = "text", strip_headers: bool = True) -> DataFrame:
     """Records of JSON documents, friendly names, first (name, value) per document.
 
-    A short document becomes a row with its leaves, and its duplicates go inside the row. A long one, of up to what a cell
+    A short document becomes a row with its leaves; the reader names and filters them unless a path is not ASCII or a name
+    repeats, which Spark does inside the row. A long one, of up to what a cell
     holds and of any depth, is read in pieces; its leaves are rows, which Spark numbers by path and reduces. Malformed
     documents give nothing and are listed by ``unparsable_json``.
     """
     filled = lambda p: (tx.strip(p["attribute"]) != "") & (tx.strip(p["value"]) != "")
     keep = usable_pair if strip_headers else filled
     short, long = _sized(docs, text)
-    named = F.transform("leaves", lambda n: _leaf(n["path"], n["value"], n["literal"])).cast(LEAF)
-    held = _short_leaves(short).filter("NOT malformed").select("doc_id", named.alias("leaves"))
-    from_short = explode_first(held.withColumn("leaves", F.filter("leaves", keep)), "leaves", name_value_key)
+    held = _short_leaves(short, strip_headers).filter("NOT malformed")
+
+    def firsts(leaves: Column) -> Column:
+        item = lambda n, at: F.struct(at.cast("bigint").alias("pos"), n["raw_attribute"].alias("path"), n["value"].alias("value"),
+                                      F.lit(None).cast("string").alias("literal"), n["attribute"].alias("name"))
+        return F.transform(first_places(leaves, name_value_key), lambda at: item(F.get(leaves, at - 1), at - 1)).cast(_ITEM)
+
+    # What the reader has not named is named here, and its repeats fall away.
+    odd = F.filter(F.transform("leaves", lambda n: _leaf(n["path"], n["value"], n["literal"])).cast(LEAF), keep)
+    plain = F.transform("leaves", lambda n, i: F.struct(i.cast("bigint").alias("pos"), n["path"], n["value"], n["literal"], n["name"])).cast(_ITEM)
+    items = tx.explode_costly(held, F.when(F.col("plain"), plain).otherwise(tx.let(odd, firsts)), "x")
+    parsed = items.select("doc_id", "x.*", F.try_parse_json("x.literal").alias("_number"))
+    from_short = parsed.select("doc_id", "pos", F.col("name").alias("attribute"), F.coalesce("value", scalar_text(F.col("_number")), "literal").alias("value"),
+                               F.col("path").alias("raw_attribute"))
     rows = _long_leaves(long).filter("path IS NOT NULL").select(
         "doc_id", "_row", "order", _leaf(F.col("path"), F.col("value"), F.col("literal")).alias("leaf"))
     numbered = rows.filter(keep(F.col("leaf"))).withColumn(
