@@ -88,6 +88,19 @@ XML_HEAD = "<?xml version='1.0' encoding='utf-8'?>\n<normalized_records>"
 XML_FOOT = "</normalized_records>"
 
 
+def _xml_rows(records: DataFrame, pos: str) -> DataFrame:
+    """Every record as an element, with the tags of its parents."""
+    named = records.select("doc_id", F.col(pos).alias("pos"), tx.strip("attribute").alias("_a"), tx.strip(F.coalesce("value", F.lit(""))).alias("_v"))
+    named = named.filter(F.col("_a") != "").withColumn("_tags", F.transform(F.split("_a", r"\."), xml_tag))
+    leaf = F.element_at("_tags", -1)
+    element = F.concat(F.lit("<"), leaf, F.lit(">"), _escape(F.col("_v")), F.lit("</"), leaf, F.lit(">"))
+    return named.select("doc_id", "pos", element.alias("piece"), F.slice("_tags", F.lit(1), F.size("_tags") - 1).alias("parents"))
+
+
+def _xml_tags(tags: Column, mark: str) -> Column:
+    return F.array_join(F.transform(tags, lambda t: F.concat(F.lit(mark), t, F.lit(">"))), "")
+
+
 def xml_pieces(records: DataFrame, pos: str = "pos") -> DataFrame:
     """K4 as ordered pieces ``(doc_id, place, piece)``; dots in a name nest elements.
 
@@ -98,20 +111,14 @@ def xml_pieces(records: DataFrame, pos: str = "pos") -> DataFrame:
     place = lambda part, group, step, no: F.struct(
         F.lit(part).alias("part"), group.cast("bigint").alias("group"), F.lit(step).alias("step"), no.cast("bigint").alias("no")).alias("place")
     zero = F.lit(0)
-    named = records.select("doc_id", F.col(pos).alias("pos"), tx.strip("attribute").alias("_a"), tx.strip(F.coalesce("value", F.lit(""))).alias("_v"))
-    named = named.filter(F.col("_a") != "").withColumn("_tags", F.transform(F.split("_a", r"\."), xml_tag))
-    leaf = F.element_at("_tags", -1)
-    element = F.concat(F.lit("<"), leaf, F.lit(">"), _escape(F.col("_v")), F.lit("</"), leaf, F.lit(">"))
-    rows = named.select("doc_id", "pos", element.alias("piece"), F.slice("_tags", F.lit(1), F.size("_tags") - 1).alias("parents"))
-    rows = materialize(rows, "xml-rows")
+    rows = materialize(_xml_rows(records, pos), "xml-rows")
 
     flat = rows.filter(F.size("parents") == 0).select("doc_id", place(1, F.col("pos"), 1, zero), "piece")
     inner = rows.filter(F.size("parents") > 0)
     groups = inner.groupBy("doc_id", "parents").agg(F.min("pos").alias("first"), F.count("*").alias("_n"))
     members = join_per_key(inner, groups, ["doc_id", "parents"], "_n").select("doc_id", place(1, F.col("first"), 1, F.col("pos")), "piece")
-    tags = lambda c, mark: F.array_join(F.transform(c, lambda t: F.concat(F.lit(mark), t, F.lit(">"))), "")
-    opened = groups.select("doc_id", place(1, F.col("first"), 0, zero), tags(F.col("parents"), "<").alias("piece"))
-    closed = groups.select("doc_id", place(1, F.col("first"), 2, zero), tags(F.reverse("parents"), "</").alias("piece"))
+    opened = groups.select("doc_id", place(1, F.col("first"), 0, zero), _xml_tags(F.col("parents"), "<").alias("piece"))
+    closed = groups.select("doc_id", place(1, F.col("first"), 2, zero), _xml_tags(F.reverse("parents"), "</").alias("piece"))
     docs = rows.select("doc_id").distinct()
     head = docs.select("doc_id", place(0, zero, 0, zero), F.lit(XML_HEAD).alias("piece"))
     foot = docs.select("doc_id", place(2, zero, 0, zero), F.lit(XML_FOOT).alias("piece"))
@@ -119,10 +126,19 @@ def xml_pieces(records: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def xml_documents(records: DataFrame, pos: str = "pos") -> DataFrame:
-    """K4: one XML text per document, for documents that fit a cell."""
-    whole = F.array_sort(F.collect_list(F.struct("place", "piece")))
-    return xml_pieces(records, pos).groupBy("doc_id").agg(whole.alias("_p")).select(
-        "doc_id", F.array_join(F.transform("_p", lambda p: p["piece"]), "").alias("xml"))
+    """K4: one XML text per document, for documents that fit a cell.
+
+    Records under the same parents are gathered first, then the groups of a document: two aggregates, nothing is stored
+    or joined. A record without parents is a group of its own.
+    """
+    members = F.array_sort(F.collect_list(F.struct("pos", "piece")))
+    groups = _xml_rows(records, pos).groupBy("doc_id", "parents").agg(F.min("pos").alias("first"), members.alias("members"))
+    text = F.concat(_xml_tags(F.col("parents"), "<"), F.array_join(F.col("members.piece"), ""), _xml_tags(F.reverse("parents"), "</"))
+    inner = F.array(F.struct(F.col("first").alias("pos"), text.alias("piece")))
+    items = F.when(F.size("parents") == 0, F.col("members")).otherwise(inner)
+    whole = F.array_sort(F.flatten(F.collect_list("_items")))
+    return groups.select("doc_id", items.alias("_items")).groupBy("doc_id").agg(whole.alias("_p")).select(
+        "doc_id", F.concat(F.lit(XML_HEAD), F.array_join(F.col("_p.piece"), ""), F.lit(XML_FOOT)).alias("xml"))
 
 
 def write_xml(records: DataFrame, path: str, folders: bool = False) -> None:
