@@ -20,12 +20,16 @@ cloudpickle.register_pickle_by_value(textrules)
 # An array of objects inside other text, and the keys that may hold the list.
 JSON_ARRAY = r"(?s)\[[%s]*\{.*\}[%s]*\]" % (tx.WS, tx.WS)
 LIST_KEYS = ("records", "items", "data", "attributes")
+BEGINS_WITH_LETTER = r"\A[ \t\r\n]*[A-Za-z]"
 
 
 def scalar_text(v: Column, null_text: str = "") -> Column:
     """Text of a JSON scalar: booleans capitalised, whole decimals with ``.0``."""
-    kind = F.schema_of_variant(v)
-    plain = F.try_variant_get(v, "$", "string")
+    return _worded(F.schema_of_variant(v), F.try_variant_get(v, "$", "string"), null_text)
+
+
+def _worded(kind: Column, plain: Column, null_text: str) -> Column:
+    """``scalar_text`` of a scalar's schema and plain text."""
     short = F.regexp_replace(plain, r"\.0E", "E")
     exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         short, r"E-(\d)$", "e-0$1"), r"E-", "e-"), r"E(\d+)$", "e+$1")
@@ -238,24 +242,32 @@ def unparsable_xml(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def salvage_list(text: Column | str) -> Column:
     """The list a model response holds: the whole text, a list under a known key, or the first
-    bracketed run of objects."""
+    bracketed run of objects.
+
+    Every text is parsed once, and one that begins with a letter, which holds no list as a whole, not at all: a
+    malformed text costs an exception each time it is parsed.
+    """
     c = tx.col(text)
-    whole = F.try_parse_json(c)
+    whole = F.try_parse_json(F.when(~c.rlike(BEGINS_WITH_LETTER), c))
     as_list = lambda v, path: F.try_variant_get(v, path, "array<variant>")
-    found = F.regexp_extract(c, JSON_ARRAY, 0)
-    return F.coalesce(as_list(whole, "$"), *[as_list(whole, f"$.{k}") for k in LIST_KEYS],
-                      as_list(F.try_parse_json(F.when(found != "", found)), "$"))
+    found = tx.let(F.regexp_extract(c, JSON_ARRAY, 0), lambda f: as_list(F.try_parse_json(F.when(f != "", f)), "$"))
+    return F.coalesce(tx.let(whole, lambda w: F.coalesce(as_list(w, "$"), *[as_list(w, f"$.{k}") for k in LIST_KEYS])), found)
 
 
 def salvaged_records(responses: DataFrame, text: str = "response") -> DataFrame:
     """One record per salvaged object with a name and a value."""
     rest = [c for c in responses.columns if c != text]
-    items = tx.explode_costly(responses, salvage_list(text), "item", "pos").drop(text)
-
-    def member(key: str) -> Column:
-        value = F.try_variant_get("item", f"$.{key}", "variant")
-        return tx.strip(F.when(value.isNull(), F.lit("")).otherwise(scalar_text(value, null_text="None")))
 
-    found = items.filter(F.schema_of_variant("item").startswith("OBJECT")).select(
-        *rest, F.col("pos").cast("bigint").alias("pos"), member("attribute").alias("attribute"), member("value").alias("value"))
+    def member(item: Column, key: str) -> Column:
+        def worded(value: Column) -> Column:
+            parts = F.struct(F.schema_of_variant(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("plain"))
+            return F.when(value.isNull(), F.lit("")).otherwise(tx.let(parts, lambda p: tx.strip(_worded(p["kind"], p["plain"], "None"))))
+        return tx.let(F.try_variant_get(item, f"$.{key}", "variant"), worded)
+
+    # An item that is no object has no member, so its name is empty. Names and values are made inside the row: a filter
+    # over them behind the explode would be pushed below and make them twice.
+    named = F.transform(salvage_list(text), lambda item: F.struct(
+        member(item, "attribute").alias("attribute"), member(item, "value").alias("value")))
+    items = tx.explode_costly(responses, named, "item", "pos")
+    found = items.select(*[F.col(f"`{c}`") for c in rest], F.col("pos").cast("bigint").alias("pos"), "item.attribute", "item.value")
     return found.filter((F.col("attribute") != "") & (F.col("value") != ""))

@@ -230,6 +230,18 @@ def test_salvage(spark):
     assert got == [(1, "a", "1"), (1, "b", "None"), (2, "k", "True"), (3, "d", "1")]
 
 
+def test_salvage_parses_a_text_once(spark):
+    df = spark.createDataFrame([(1, '{"items": [{"attribute": "k", "value": 1.0}]}')], "doc_id int, response string")
+    plan = ns.salvaged_records(df)._jdf.queryExecution().optimizedPlan().toString()
+    # Once as a whole and once as a bracketed run; five parses of a malformed text were five exceptions.
+    assert plan.count("parse_json") + plan.count("parseJson") == 2
+    odd = ['No [{"attribute": "a", "value": 1e-7}] more', '\n[{"attribute": "a", "value": 2.0}, [1], null, 7, {"value": 3}]',
+           '[[{"attribute": "b", "value": false}]', '{"data": {}, "x": [{"attribute": "c", "value": "d", "e": 1}]}', "nothing", None, "{"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id int, response string")
+    got = [(r["doc_id"], r["pos"], r["attribute"], r["value"]) for r in ns.salvaged_records(df).orderBy("doc_id", "pos").collect()]
+    assert got == [(0, 0, "a", "1e-07"), (1, 0, "a", "2.0"), (2, 0, "b", "False"), (3, 0, "c", "d")]
+
+
 def cut(text, size, overlap):
     """The chunk boundaries restated on Python strings."""
     text, out, start = text.strip(), [], 0
