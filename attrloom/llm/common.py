@@ -11,12 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+#: Bytes at which a batch for a Python worker ends. The default bounds its rows (10,000) and 64 MB only, and a task holds a batch several times.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the batches that go to Python workers end by their bytes, too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone; a null text is the empty text."""
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
