@@ -15,7 +15,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrloom.functions import text as tx
 from attrloom.operators.matching import FUZZY_THRESHOLD, SEMANTIC_THRESHOLD, TIERS, CANDIDATE, name_texts
 from attrloom.plans.normalize import map_names
 from attrloom.session import materialize
@@ -66,7 +65,7 @@ class MappingStore:
 
         The tiers do not run at all where every name is known.
         """
-        names = materialize(name_texts(records.select(tx.strip(F.coalesce(name, F.lit(""))).alias(name)), name), "names")
+        names = materialize(name_texts(records.select(F.coalesce(name, F.lit("")).alias(name)), name), "names")
         unseen = materialize(names.join(self.mapping().select("norm"), "norm", "left_anti"), "unseen-names")
         if not unseen.isEmpty():
             self._append(map_names(unseen, self.dictionary, **self.options))
