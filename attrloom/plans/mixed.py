@@ -65,7 +65,8 @@ def document_records(inputs: DocumentInputs) -> tuple[DataFrame, DataFrame, Data
             def texts(ids, rows=rows, lines=lines, text=text):
                 return text(rows.join(ids, "doc_id", "left_semi"), lines.join(ids, "doc_id", "left_semi"))
 
-            take(dc.route_lines(*plan(rows, lines), texts, lines))
+            verdict = dc.line_verdicts(lines)
+            take(dc.route_lines(*plan(rows, lines, verdict), texts, lines, verdict))
             seen += [rows.select("doc_id"), lines.select("doc_id")]
     if inputs.texts is not None:
         for fmt, plan, broken in (("json", dc.json_records, unparsable_json), ("xml", dc.xml_records, unparsable_xml)):

@@ -246,8 +246,9 @@ def n03_csv(t: Tables):
 def t03_pdf(t: Tables):
     """Records of page documents after routing: structured ones, and free-text records of the narrative ones."""
     rows, lines = t.sql(_table_rows(q.SPARK)), t.sql(_text_lines(q.SPARK))
-    records, docs = dc.pdf_records(rows, lines)
-    return dc.route_lines(records, docs, dc.pdf_text(lines), lines)[0].select("doc_id", "attribute", "value")
+    verdict = dc.line_verdicts(lines)
+    records, docs = dc.pdf_records(rows, lines, verdict)
+    return dc.route_lines(records, docs, dc.pdf_text(lines), lines, verdict)[0].select("doc_id", "attribute", "value")
 
 
 @case("t03_routed_docx_records", f"""
@@ -260,5 +261,6 @@ def t03_pdf(t: Tables):
 def t03_docx(t: Tables):
     """Records of word-processor documents after routing."""
     rows, lines = t.sql(_table_rows(q.SPARK)), t.sql(_text_lines(q.SPARK))
-    records, docs = dc.docx_records(rows, lines)
-    return dc.route_lines(records, docs, dc.docx_text(rows, lines), lines)[0].select("doc_id", "attribute", "value")
+    verdict = dc.line_verdicts(lines)
+    records, docs = dc.docx_records(rows, lines, verdict)
+    return dc.route_lines(records, docs, dc.docx_text(rows, lines), lines, verdict)[0].select("doc_id", "attribute", "value")

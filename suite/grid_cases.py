@@ -345,8 +345,9 @@ def s10(t: Tables):
     LEFT JOIN kept r USING (doc_id) GROUP BY doc_id""")
 def t03(t: Tables):
     rows, lines = t.sql(_table_rows(q.SPARK)), t.sql(_text_lines(q.SPARK))
-    records, docs = dc.pdf_records(rows, lines)
-    _, kinds = dc.route_lines(records, docs, dc.pdf_text(lines), lines)
+    verdict = dc.line_verdicts(lines)
+    records, docs = dc.pdf_records(rows, lines, verdict)
+    _, kinds = dc.route_lines(records, docs, dc.pdf_text(lines), lines, verdict)
     return kinds.select("doc_id", F.col("n_records").alias("n_structured"), (F.col("doc_type") == "unstructured").alias("routed"))
 
 
