@@ -94,7 +94,11 @@ def clean_workbook(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def prepare_grid(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cleaned non-blank rows with the ``headers`` of their sheet; a header row is consumed."""
-    keys = keys or SHEET
+    return _prepared(grid, keys or SHEET)
+
+
+def _prepared(grid: DataFrame, keys: list[str], at: Column | None = None) -> DataFrame:
+    """``prepare_grid``, with ``at``, which follows from the headers, as ``_at``."""
     clean = grid.withColumn("cells", tx.clean_cells("cells")).filter(has_content("cells"))
     top = clean.groupBy(*keys).agg(
         F.min_by("cells", "row_no").alias("first"), F.min("row_no").alias("first_no"),
@@ -104,7 +108,7 @@ def prepare_grid(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
     generic = F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.concat(F.lit("col_"), i.cast("string")))
     header = header.select(*keys, "_n", "has_header", "first_no",
                            F.when(F.col("has_header"), unique_headers("padded")).otherwise(generic).alias("headers"))
-    rows = join_per_key(clean, header, keys, "_n")
+    rows = join_per_key(clean, header if at is None else header.withColumn("_at", at), keys, "_n")
     full = F.concat("cells", F.array_repeat(F.lit(""), F.size("headers") - F.size("cells")))
     return (rows.filter(~F.col("has_header") | (F.col("row_no") > F.col("first_no")))
             .withColumn("cells", full).drop("has_header", "first_no"))
@@ -113,30 +117,32 @@ def prepare_grid(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def extract_wide(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Records of a grid with more than two columns, all source columns kept in ``extras``."""
     keys = keys or SHEET
-    prepared = prepare_grid(grid, keys)
-    pairs = prepared.select(
-        *keys, F.col("row_no").alias("pos"),
-        F.get("cells", attribute_position("headers")).alias("attribute"),
-        F.get("cells", value_position("headers")).alias("value"),
-        "headers", "cells")
+    # The columns are looked for once per sheet, and cells and pair made once per row.
+    at = F.struct(attribute_position("headers").alias("attribute"), value_position("headers").alias("value"))
+    prepared = tx.compute_once(_prepared(grid, keys, at), F.col("cells"), "_cells")
+    pair = F.struct(F.get("_cells", F.col("_at.attribute")).alias("attribute"), F.get("_cells", F.col("_at.value")).alias("value"))
+    pairs = tx.compute_once(prepared, pair, "_pair").select(
+        *keys, F.col("row_no").alias("pos"), "_pair.attribute", "_pair.value", "headers", F.col("_cells").alias("cells"))
     # The extras are built behind the dedupe, whose shuffle then carries every cell once.
     kept = dedupe_records(usable(pairs), keys, also=["cells"])
     return kept.withColumn("extras", F.map_from_arrays("headers", "cells")).drop("headers", "cells")
 
 
+def _row_pairs(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """The first two filled cells of every row, looked for once."""
+    paired = tx.compute_once(grid.select(*keys, F.col("row_no").alias("pos"), "cells"), tx.row_pair("cells"), "_pair")
+    return paired.select(*keys, "pos", "_pair.attribute", "_pair.value")
+
+
 def extract_pairs(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """First two filled cells of every row; header lines go, first (name, value) per sheet stays."""
     keys = keys or SHEET
-    a, v = tx.row_to_pair("cells")
-    pairs = grid.select(*keys, F.col("row_no").alias("pos"), a.alias("attribute"), v.alias("value"))
-    return dedupe_records(pairs.filter(~tx.is_header_row("attribute", "value")), keys)
+    return dedupe_records(_row_pairs(grid, keys).filter(~tx.is_header_row("attribute", "value")), keys)
 
 
 def extract_csv_pairs(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """First two filled cells of every row unless the first is a header word; no dedupe."""
-    keys = keys or SHEET
-    a, v = tx.row_to_pair("cells")
-    pairs = grid.select(*keys, F.col("row_no").alias("pos"), a.alias("attribute"), v.alias("value"))
+    pairs = _row_pairs(grid, keys or SHEET)
     return pairs.filter((F.col("attribute") != "") & ~F.lower("attribute").isin("field label", "attribute", "name"))
 
 

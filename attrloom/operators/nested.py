@@ -8,14 +8,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrloom.functions import jsonleaves, textrules
+from attrloom.functions import jsonleaves, textrules, xmlleaves
 from attrloom.functions import text as tx
 from attrloom.operators.lookups import first_per_key
-from attrloom.operators.records import explode_first, first_places, name_value_key, usable_pair
+from attrloom.operators.records import first_places, name_value_key, usable_pair
 
 # The readers go to the workers by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(jsonleaves)
 cloudpickle.register_pickle_by_value(textrules)
+cloudpickle.register_pickle_by_value(xmlleaves)
 
 # An array of objects inside other text, and the keys that may hold the list.
 JSON_ARRAY = r"(?s)\[[%s]*\{.*\}[%s]*\]" % (tx.WS, tx.WS)
@@ -48,7 +49,6 @@ LEAF = "array<struct<attribute:string,value:string,raw_attribute:string>>"
 PIECED_BYTES = 64 << 10
 PIECE_BYTES = 16 << 10
 
-_READ = "array<struct<path:string,value:string,literal:string,name:string>>"
 _ITEM = "array<struct<pos:bigint,path:string,value:string,literal:string,name:string>>"
 
 
@@ -57,22 +57,18 @@ def _short_reader(keep, noise: tuple[str, ...]):
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from_python, named = jsonleaves.storable, jsonleaves.naming(keep, noise)
-        field = [pa.field(name, pa.string()) for name in ("path", "value", "literal", "name")]
+        storable, named, parse = jsonleaves.storable, jsonleaves.naming(keep, noise), jsonleaves.parser()
         for batch in batches:
-            ends, columns, bad, plain = [0], ([], [], [], []), [], []
+            documents, bad, plain = [], [], []
             for text in batch.column("text").to_pylist():
-                found = jsonleaves.whole_leaves(text)
+                found = jsonleaves.whole_leaves(text, parse)
                 bad.append(found is None)
                 ready = named(found or ())
                 plain.append(ready is not None)
-                for leaf in [(*x, None) for x in found] if ready is None else ready:
-                    for column, part in zip(columns, leaf, strict=True):
-                        column.append(from_python(part))
-                ends.append(len(columns[0]))
-            items = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], fields=field)
-            leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), leaves, pa.array(plain, pa.bool_()), pa.array(bad, pa.bool_())],
+                leaves = [(*x, None) for x in found or ()] if ready is None else ready
+                # Only an escape makes a lone surrogate.
+                documents.append(leaves if not leaves or "\\u" not in text else [tuple(map(storable, x)) for x in leaves])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), jsonleaves.leaf_lists(documents), pa.array(plain, pa.bool_()), pa.array(bad, pa.bool_())],
                                              names=["doc_id", "leaves", "plain", "malformed"])
 
     return read
@@ -122,7 +118,7 @@ def _sized(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
 def _short_leaves(docs: DataFrame, strip_headers: bool = True) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keep = textrules.usable_name if strip_headers else lambda name: name.strip() != ""
-    return docs.mapInArrow(_short_reader(keep, tx.PATH_NOISE), f"doc_id {id_type}, leaves {_READ}, plain boolean, malformed boolean")
+    return docs.mapInArrow(_short_reader(keep, tx.PATH_NOISE), f"doc_id {id_type}, leaves {_ITEM}, plain boolean, malformed boolean")
 
 
 def _long_leaves(docs: DataFrame) -> DataFrame:
@@ -142,6 +138,18 @@ def _leaf(path: Column, value: Column, literal: Column) -> Column:
                     F.coalesce(value, scalar_text(F.try_parse_json(literal)), literal).alias("value"), path.alias("raw_attribute"))
 
 
+def _named_items(held: DataFrame, keep) -> DataFrame:
+    """The leaves of documents in rows ``(doc_id, leaves, plain)`` as rows ``x``, the first of each name and value."""
+    def firsts(leaves: Column) -> Column:
+        item = lambda n, at: F.struct(at.cast("bigint").alias("pos"), n["raw_attribute"].alias("path"), n["value"].alias("value"),
+                                      F.lit(None).cast("string").alias("literal"), n["attribute"].alias("name"))
+        return F.transform(first_places(leaves, name_value_key), lambda at: item(F.get(leaves, at - 1), at - 1)).cast(_ITEM)
+
+    # What the reader has left to Spark is named here, and its repeats fall away.
+    odd = F.filter(F.transform("leaves", lambda n: _leaf(n["path"], n["value"], n["literal"])).cast(LEAF), keep)
+    return tx.explode_costly(held, F.when(F.col("plain"), F.col("leaves")).otherwise(tx.let(odd, firsts)), "x")
+
+
 def flatten_json(docs: DataFrame, text: str = "text", strip_headers: bool = True) -> DataFrame:
     """Records of JSON documents, friendly names, first (name, value) per document.
 
@@ -155,16 +163,7 @@ def flatten_json(docs: DataFrame, text: str = "text", strip_headers: bool = True
     short, long = _sized(docs, text)
     held = _short_leaves(short, strip_headers).filter("NOT malformed")
 
-    def firsts(leaves: Column) -> Column:
-        item = lambda n, at: F.struct(at.cast("bigint").alias("pos"), n["raw_attribute"].alias("path"), n["value"].alias("value"),
-                                      F.lit(None).cast("string").alias("literal"), n["attribute"].alias("name"))
-        return F.transform(first_places(leaves, name_value_key), lambda at: item(F.get(leaves, at - 1), at - 1)).cast(_ITEM)
-
-    # What the reader has not named is named here, and its repeats fall away.
-    odd = F.filter(F.transform("leaves", lambda n: _leaf(n["path"], n["value"], n["literal"])).cast(LEAF), keep)
-    plain = F.transform("leaves", lambda n, i: F.struct(i.cast("bigint").alias("pos"), n["path"], n["value"], n["literal"], n["name"])).cast(_ITEM)
-    items = tx.explode_costly(held, F.when(F.col("plain"), plain).otherwise(tx.let(odd, firsts)), "x")
-    parsed = items.select("doc_id", "x.*", F.try_parse_json("x.literal").alias("_number"))
+    parsed = _named_items(held, keep).select("doc_id", "x.*", F.try_parse_json("x.literal").alias("_number"))
     from_short = parsed.select("doc_id", "pos", F.col("name").alias("attribute"), F.coalesce("value", scalar_text(F.col("_number")), "literal").alias("value"),
                                F.col("path").alias("raw_attribute"))
     rows = _long_leaves(long).filter("path IS NOT NULL").select(
@@ -178,41 +177,14 @@ def flatten_json(docs: DataFrame, text: str = "text", strip_headers: bool = True
 def unparsable_json(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents S3 cannot read, with the reason as ``error``. Empty and null texts are malformed too."""
     short, long = _sized(docs, text)
-    bad = _short_leaves(short).filter("malformed").select("doc_id").unionByName(
+    bad = short.mapInArrow(jsonleaves.malformed_ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}").unionByName(
         _long_leaves(long).filter("path IS NULL").select("doc_id"))
     return docs.join(bad.distinct(), "doc_id", "left_semi").withColumn("error", F.lit("malformed"))
 
 
-def _xml_parser():
-    # Nested on purpose: shipped by value, so executors need no copy of this package.
-    def parse(batches: Iterator) -> Iterator:
-        import xml.etree.ElementTree as ET
-
-        import pandas as pd
-
-        def leaves(text):
-            root = ET.fromstring(text or "")
-            found, stack = [], [(root, root.tag)]
-            while stack:
-                node, path = stack.pop()
-                found += [{"raw_attribute": f"{path}.{key}", "value": value} for key, value in node.attrib.items()]
-                if node.text and node.text.strip():
-                    found.append({"raw_attribute": path, "value": node.text.strip()})
-                stack.extend((child, f"{path}.{child.tag}") for child in reversed(list(node)))
-            return found
-
-        for batch in batches:
-            parsed, errors = [], []
-            for text in batch["text"]:
-                try:
-                    parsed.append(leaves(text))
-                    errors.append(None)
-                except ET.ParseError as problem:
-                    parsed.append([])
-                    errors.append(str(problem))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "leaves": parsed, "error": errors})
-
-    return parse
+def _read_xml(docs: DataFrame, text: str, reader, columns: str = "") -> DataFrame:
+    slim = docs.select("doc_id", tx.col(text).alias("text"))
+    return slim.mapInArrow(reader, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {columns}error string")
 
 
 def xml_leaves(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -221,23 +193,23 @@ def xml_leaves(docs: DataFrame, text: str = "text") -> DataFrame:
     Parsing one document is the only step Spark has no typed-as-text operator for, so it runs in an
     Arrow batch function; everything after it is built from DataFrame operators.
     """
-    slim = docs.select("doc_id", tx.col(text).alias("text"))
-    id_type = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, leaves array<struct<raw_attribute:string,value:string>>, error string"
-    return slim.mapInPandas(_xml_parser(), schema)
+    found = _read_xml(docs, text, xmlleaves.leaf_reader(), f"leaves {_ITEM}, plain boolean, ")
+    return found.select("doc_id", F.transform("leaves", lambda n: F.struct(n["path"].alias("raw_attribute"), n["value"].alias("value"))).alias("leaves"), "error")
 
 
 def flatten_xml(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Records of XML documents, friendly names, first (name, value) per document."""
-    named = F.transform("leaves", lambda n: F.struct(
-        tx.friendly_name(n["raw_attribute"]).alias("attribute"), n["value"].alias("value"), n["raw_attribute"].alias("raw_attribute")))
-    leaves = xml_leaves(docs, text).filter(F.col("error").isNull()).select("doc_id", named.cast(LEAF).alias("leaves"))
-    return explode_first(leaves.withColumn("leaves", F.filter("leaves", usable_pair)), "leaves", name_value_key)
+    """Records of XML documents, friendly names, first (name, value) per document.
+
+    The reader names and filters the leaves unless a path is not ASCII, which Spark does inside the row.
+    """
+    read = _read_xml(docs, text, xmlleaves.leaf_reader(textrules.usable_name, tx.PATH_NOISE), f"leaves {_ITEM}, plain boolean, ")
+    return _named_items(read.filter(F.col("error").isNull()), usable_pair).select(
+        "doc_id", "x.pos", F.col("x.name").alias("attribute"), "x.value", F.col("x.path").alias("raw_attribute"))
 
 
 def unparsable_xml(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents S4 cannot read, with the reason."""
-    return xml_leaves(docs, text).filter(F.col("error").isNotNull()).select("doc_id", "error")
+    return _read_xml(docs, text, xmlleaves.unreadable)
 
 
 def salvage_list(text: Column | str) -> Column:
